@@ -60,10 +60,12 @@ def cut_large_groups(df: DataFrame, keys: list[str], on: str, max_group_rows: in
         numbered = Bucketizer(splits=splits, inputCol="__on0", outputCol="__bucket").transform(numbered)
     else:
         numbered = numbered.withColumn("__bucket", F.lit(0.0))
+    cut = F.when(numbered["__on"].isNull(), F.lit(-1)).otherwise(numbered["__bucket"].cast("int"))
+    if not keys:
+        return numbered.select(*df.columns, cut.alias("__range"))
     large = numbered.groupBy(*keys).count().where(F.col("count") > max_group_rows)
     large = large.select(*keys, F.lit(True).alias("__large"))
     kept = [numbered[c] for c in df.columns]
-    cut = F.when(numbered["__on"].isNull(), F.lit(-1)).otherwise(numbered["__bucket"].cast("int"))
     return numbered.join(large, same(numbered, large, keys), "left").select(
         *kept, F.when(F.col("__large"), cut).otherwise(F.lit(WHOLE)).alias("__range")
     )
@@ -87,7 +89,7 @@ def in_order(
     source columns.
     """
     previous, following, running = previous or {}, following or {}, running or {}
-    cut = cut_large_groups(df, keys, order[0], max_group_rows) if keys or max_group_rows else None
+    cut = cut_large_groups(df, keys, order[0], max_group_rows)
     if cut is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 PLAN_MODULES: list[str] = [
-    "relational", "columns",
+    "relational", "columns", "ordered",
 ]
 
 
