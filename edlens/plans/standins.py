@@ -104,6 +104,8 @@ def with_(names: str, body: str) -> str:
     body = body.strip()
     if not wanted:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head}, {body[5:]}"
     return f"WITH {head} {body}"
