@@ -6,6 +6,8 @@ and the seed gives the same value on every attempt and on every engine that has
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,11 +30,22 @@ def key_unit(ids: list[str | Column], seed: int | str) -> Column:
     return digest_unit(key_digest(ids, seed))
 
 
-def poisson_weight(unit: Column, rate: Column | float = 1.0) -> Column:
-    """Poisson draw by inverting its distribution at ``unit``.
+def poisson_one(unit: Column) -> Column:
+    """Poisson(1) draw by inverting its distribution at ``unit`` (12 steps leave less than 1e-9)."""
+    out, mass, upto = None, math.exp(-1.0), math.exp(-1.0)
+    for k in range(12):
+        hit = unit <= upto
+        out = F.when(hit, float(k)) if out is None else out.when(hit, float(k))
+        mass /= k + 1
+        upto += mass
+    return out.otherwise(12.0)
+
+
+def poisson_weight(unit: Column, rate: Column | float) -> Column:
+    """Poisson draw with a given rate.
 
-    Rates up to 40 walk the exact distribution (80 terms leave less than 1e-8 of mass); above
-    that a rounded normal with the same mean and variance is used, by a probit approximation.
+    Rates up to 40 walk the exact distribution (90 terms leave less than 1e-8 of mass); above that
+    a rounded normal with the same mean and variance is used.
     """
     rate = F.lit(float(rate)) if not isinstance(rate, Column) else rate.cast("double")
     state = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
@@ -47,8 +60,8 @@ def poisson_weight(unit: Column, rate: Column | float = 1.0) -> Column:
         )
 
     exact = F.aggregate(F.sequence(F.lit(1), F.lit(90)), state, step, lambda acc: acc["k"].cast("double"))
-    normal = F.greatest(F.lit(0.0), F.round(rate + F.sqrt(rate) * probit(unit)))
-    return F.when(rate <= 40, exact).otherwise(normal)
+    normal = F.greatest(F.lit(0.0), F.floor(rate + F.sqrt(rate) * probit(unit) + 0.5).cast("double"))
+    return F.when(rate == 1, poisson_one(unit)).when(rate <= 40, exact).otherwise(normal)
 
 
 def probit(unit: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edlens.functions import tails
 
@@ -16,32 +17,32 @@ def _over(fn):
     return batch
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(_over(tails.chi2_sf)(x, df), dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(_over(tails.student_t_two_sided)(x, df), dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(_over(tails.f_sf)(x, d1, d2), dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tq(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(_over(tails.student_t_quantile)(p, df), dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal(z: pd.Series) -> pd.Series:
     return pd.Series(_over(lambda v: 2 * tails.normal_sf(abs(v)))(z), dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ks(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series(_over(tails.kolmogorov_sf)(d, n, m), dtype="float64")
 

@@ -65,7 +65,7 @@ def main(argv):
 
     con = connect(folder)
     qs, sqls = entry.queries(), entry.oracle_sql()
-    names = [n for n in qs if not argv or any(n.startswith(a) for a in argv)]
+    names = [n for n in qs if not argv or n in argv]
     failed = []
     for n in names:
         t = time.time()
