@@ -42,12 +42,12 @@ def _(t):
     return rounded(I.bootstrap_ci(lp(t), ["model"], ["y", "pred"], I.label_metrics, reps=100))
 
 
-@query("mean_ci_by_model", LP, f"""WITH cells AS (SELECT model, floor(round(abs(p - y) * 10, 6)) / 10 AS err, count(*)::DOUBLE AS n FROM long_predictions GROUP BY 1, 2), dr AS (SELECT *, {UNIT.format('model, CAST(CAST(round(err * 10) AS BIGINT) AS VARCHAR), rep')} AS u FROM cells, (SELECT unnest(range(1, 101)) AS rep)),
+@query("mean_ci_by_model", LP, f"""WITH cells AS (SELECT model, floor(round(abs(p - y) * 3, 6)) / 3 AS err, count(*)::DOUBLE AS n FROM long_predictions GROUP BY 1, 2), dr AS (SELECT *, {UNIT.format('model, CAST(CAST(round(err * 3) AS BIGINT) AS VARCHAR), rep')} AS u FROM cells, (SELECT unnest(range(1, 101)) AS rep)),
  ww AS ({NORMAL.format('dr')}), reps AS (SELECT model, rep, sum(err * w) / sum(w) AS v FROM ww GROUP BY model, rep)
- SELECT model, 'mean_error' AS metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS ci_lower, round(quantile_cont(v, 0.975), 6) AS ci_upper, round(quantile_cont(v, 0.975) - quantile_cont(v, 0.025), 6) AS ci_width FROM reps WHERE (SELECT min(n) FROM cells) > 40 GROUP BY model""")
+ SELECT model, 'mean_error' AS metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS ci_lower, round(quantile_cont(v, 0.975), 6) AS ci_upper, round(quantile_cont(v, 0.975) - quantile_cont(v, 0.025), 6) AS ci_width FROM reps GROUP BY model""")
 def _(t):
-    cells = lp(t).withColumn("err", F.floor(F.round(F.abs(F.col("p") - F.col("y")) * 10, 6)).cast("bigint"))
-    return rounded(I.bootstrap_ci(cells, ["model"], ["err"], lambda w: {"mean_error": I.weighted_mean(F.col("err") / 10, w)}, reps=100))
+    cells = lp(t).withColumn("err", F.floor(F.round(F.abs(F.col("p") - F.col("y")) * 3, 6)).cast("bigint"))
+    return rounded(I.bootstrap_ci(cells, ["model"], ["err"], lambda w: {"mean_error": I.weighted_mean(F.col("err") / 3, w)}, reps=100))
 
 
 @query("cluster_bootstrap", "predictions", f"""WITH {W}, c AS (SELECT id_student, sum(CASE WHEN y = pred THEN 1 ELSE 0 END)::DOUBLE AS ok, count(*)::DOUBLE AS n, sum((p - y) ** 2) AS se FROM w0 GROUP BY 1),
@@ -172,7 +172,7 @@ def _(t):
 TB = {k: v for k, v in LM.items() if k != "accuracy"}
 
 
-@query("threshold_bootstrap", LP, f"{OPT}, th AS ({_opt('f1', '2 * pr * re / (pr + re + 1e-8)', 'true', True)}), w0 AS (SELECT y, CASE WHEN p >= (SELECT threshold FROM th WHERE model = 'prob_lstm') THEN 1 ELSE 0 END AS pred FROM long_predictions WHERE model = 'prob_lstm'), {_boot('w0', '', 100, TB)}")
+@query("threshold_bootstrap", LP, f"{OPT}, th AS ({_opt('youden', 'yo', 'true', False)}), w0 AS (SELECT y, CASE WHEN p >= (SELECT threshold FROM th WHERE model = 'prob_lstm') THEN 1 ELSE 0 END AS pred FROM long_predictions WHERE model = 'prob_lstm'), {_boot('w0', '', 100, TB)}")
 def _(t):
     w = wide(t, "prob_lstm")
-    return rounded(I.threshold_bootstrap(w, C.optimal_threshold(w, [], "f1").select("threshold").scalar()))
+    return rounded(I.threshold_bootstrap(w, C.optimal_threshold(w, [], "youden").select("threshold").scalar()))
