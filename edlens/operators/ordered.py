@@ -36,8 +36,11 @@ def as_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"cannot cut ranges on {name}: {kind.simpleString()}")
 
 
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match; keeps the left keys."""
+    right = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return left.join(right, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -60,14 +63,13 @@ def cut_large_groups(df: DataFrame, keys: list[str], on: str, max_group_rows: in
         numbered = Bucketizer(splits=splits, inputCol="__on0", outputCol="__bucket").transform(numbered)
     else:
         numbered = numbered.withColumn("__bucket", F.lit(0.0))
-    cut = F.when(numbered["__on"].isNull(), F.lit(-1)).otherwise(numbered["__bucket"].cast("int"))
+    cut = F.when(F.col("__on").isNull(), F.lit(-1)).otherwise(F.col("__bucket").cast("int"))
     if not keys:
         return numbered.select(*df.columns, cut.alias("__range"))
     large = numbered.groupBy(*keys).count().where(F.col("count") > max_group_rows)
     large = large.select(*keys, F.lit(True).alias("__large"))
-    kept = [numbered[c] for c in df.columns]
-    return numbered.join(large, same(numbered, large, keys), "left").select(
-        *kept, F.when(F.col("__large"), cut).otherwise(F.lit(WHOLE)).alias("__range")
+    return null_safe_join(numbered, large, keys, "left").select(
+        *df.columns, F.when(F.col("__large"), cut).otherwise(F.lit(WHOLE)).alias("__range")
     )
 
 
@@ -121,7 +123,7 @@ def in_order(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__skip"),
         F.lag("__last").over(across).alias("__prev"),
         F.lead("__first").over(across).alias("__next"),
-        *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__base_{n}") for n in running],
+        *[F.sum(f"__sum_{n}").over(before).alias(f"__base_{n}") for n in running],
     )
     w = Window.partitionBy(*keys, "__range").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -133,8 +135,8 @@ def in_order(
         *[F.lead(c).over(w).alias(f"__f_{n}") for n, c in following.items()],
         *[F.sum(c).over(upto).alias(f"__r_{n}") for n, c in running.items()],
     )
-    j = inner.join(carry, same(inner, carry, [*keys, "__range"]), "left")
-    out = [inner[c] for c in df.columns]
+    j = null_safe_join(inner, carry, [*keys, "__range"], "left")
+    out = [F.col(c) for c in df.columns]
     out += [
         F.when(F.col("__rn") == 1, F.col("__prev").getField(c)).otherwise(F.col(f"__p_{n}")).alias(n)
         for n, c in previous.items()
@@ -143,8 +145,9 @@ def in_order(
         F.when(F.col("__end"), F.col("__next").getField(c)).otherwise(F.col(f"__f_{n}")).alias(n)
         for n, c in following.items()
     ]
-    # A null running value means "nothing but nulls so far", as in a plain window.
-    out += [(F.col(f"__r_{n}") + F.coalesce(f"__base_{n}", F.lit(0))).alias(n) for n in running]
+    # Null on either side means "nothing but nulls there", as in a plain window.
+    inside, base = (lambda n: F.col(f"__r_{n}")), (lambda n: F.col(f"__base_{n}"))
+    out += [F.coalesce(inside(n) + base(n), inside(n), base(n)).alias(n) for n in running]
     if position:
         out.append((F.col("__rn") + F.coalesce("__skip", F.lit(0))).cast("bigint").alias(position))
     return j.select(*out)
@@ -172,9 +175,8 @@ def shuffled_position(df: DataFrame, strata: list[str], ids: list[str], seed: in
     )
     w = Window.partitionBy(*strata, "__part").orderBy("__digest", *ids)
     ranked = marked.withColumn("__rn", F.row_number().over(w))
-    joined = ranked.join(parts, same(ranked, parts, [*strata, "__part"]))
-    return joined.select(
-        *[ranked[c] for c in df.columns],
+    return null_safe_join(ranked, parts, [*strata, "__part"]).select(
+        *df.columns,
         (F.col("__rn") + F.col("__skip")).cast("bigint").alias("__pos"),
         F.col("__size").cast("bigint").alias("__size"),
     )
