@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edlens.operators.features import join_dimension
 from edlens.operators.metrics import ratio, score_cells, score_curve
 from edlens.operators.quantiles import quantiles
 
@@ -25,7 +26,7 @@ def calibration_bins(
     elif strategy == "quantile":
         names = {f"e{i}": i / n_bins for i in range(n_bins + 1)}
         edges = quantiles(rows, by, "__p", names).select(*by, F.array(*names).alias("__edges"))
-        rows = rows.join(F.broadcast(edges), by) if by else rows.withColumn("__edges", edges.scalar())
+        rows = join_dimension(rows, edges, by, "inner", unique=True) if by else rows.withColumn("__edges", edges.scalar())
         rows = rows.withColumn("bin", F.size(F.filter("__edges", lambda e: e < F.col("__p"))))
         zero = (F.col("__p") == 0) & (F.col("__edges")[0] == 0)
     else:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edlens.functions import scalars as S
+from edlens.operators.ordered import in_order
 
 # Alternative names of the event-log columns, and accepted timestamp formats.
 EVENT_NAMES = {
@@ -64,7 +65,8 @@ def engagement_features(df: DataFrame, cols: list[str]) -> DataFrame:
 def frequency_codes(df: DataFrame, c: str) -> DataFrame:
     """Value table with 0 for the most frequent value; ties by value, null last."""
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(c, "n", (F.row_number().over(Window.orderBy(F.desc("n"), c)) - 1).alias("code"))
+    placed = in_order(counts.withColumn("__neg", -F.col("n")), [], ["__neg", c], position="code")
+    return placed.select(c, "n", (F.col("code") - 1).alias("code"))
 
 
 def transfer_indices(df: DataFrame, attendance: str, ses: str, internet: str, age: str, squares: list[str]) -> DataFrame:

@@ -72,14 +72,14 @@ def reweighing(df: DataFrame, group: str, label: str) -> DataFrame:
     y = cells.groupBy(label).agg(F.sum("n").alias("ny"))
     total = cells.agg(F.sum("n")).scalar()
     w = cells.join(g, group).join(y, label).select(group, label, (F.col("ng") * F.col("ny") / (total * F.col("n"))).alias("weight"))
-    return join_dimension(df, w, [group, label])
+    return join_dimension(df, w, [group, label], unique=True)
 
 
 def inverse_frequency_weights(df: DataFrame, keys: list[str]) -> DataFrame:
     """1 / cell size, scaled to mean 1: rows / (cells x size)."""
     cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     t = cells.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cells")).alias("t")).scalar()
-    return join_dimension(df, cells.select(*keys, (t["rows"] / (t["cells"] * F.col("n"))).alias("weight")), keys)
+    return join_dimension(df, cells.select(*keys, (t["rows"] / (t["cells"] * F.col("n"))).alias("weight")), keys, unique=True)
 
 
 def group_thresholds(df: DataFrame, group: str, constraint: str = "demographic_parity", steps: int = 100, y: str = "y", p: str = "p") -> DataFrame:

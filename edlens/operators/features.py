@@ -15,14 +15,16 @@ EARLY_DAY = 28
 BROADCAST_ROWS = 200_000
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join metadata to a fact table after removing duplicate keys from the metadata.
+def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, unique: bool = False) -> DataFrame:
+    """Join metadata to a fact table after removing duplicate keys from the metadata (unless ``unique``).
 
     The dimension is broadcast only when a bounded count shows that it is small; otherwise the
     join is shuffled and adaptive execution splits skewed partitions.
     """
     rest = [c for c in dim.columns if c not in keys]
-    if rest:  # the smallest row per key: the same one on every attempt
+    if unique:
+        pass
+    elif rest:  # the smallest row per key: the same one on every attempt
         dim = dim.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*")
     else:
         dim = dim.distinct()

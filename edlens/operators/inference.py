@@ -109,7 +109,8 @@ def permutation_test(df: DataFrame, key: str, arm: str, value: str, reps: int =
     """
     rows = df.where(F.col(arm).isin(0, 1)).select(key, arm, F.col(value).cast("double").alias("__v"))
     o = _observed(rows, arm, "__v").scalar()
-    drawn = rows.select(key, "__v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    # Narrow rows are spread over all tasks before they multiply: the input may sit in a few splits.
+    drawn = rows.select(key, "__v").repartition(key).select(key, "__v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     drawn = drawn.withColumn("__d", key_digest([key, "rep"], seed)).withColumn("__part", F.substring("__d", 1, 3))
     parts = drawn.groupBy("rep", "__part").agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("s"))
     w = Window.partitionBy("rep").orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)

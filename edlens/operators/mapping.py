@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edlens.functions import scalars as S
 from edlens.operators.columns import bounds, cut_equal_width
+from edlens.operators.ordered import in_order
 from edlens.operators.quantiles import quantiles
 
 # Words and codes of the shared schemas.
@@ -180,7 +181,7 @@ def unknown_to_mode(df: DataFrame, reference: DataFrame, c: str) -> DataFrame:
 
     counts = reference.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
     mode = counts.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c)))).scalar()
-    known = join_dimension(df, counts.select(c, F.lit(True).alias("__known")), [c])
+    known = join_dimension(df, counts.select(c, F.lit(True).alias("__known")), [c], unique=True)
     return known.withColumn(c, F.when(F.col("__known"), F.col(c)).otherwise(mode)).select(*df.columns)
 
 
@@ -193,8 +194,8 @@ def joint_prepare(source: DataFrame, target: DataFrame, cols: list[str], keep: l
     text = [c for c in cols if isinstance(both.schema[c].dataType, T.StringType)]
     for c in text:
         words = both.select(F.coalesce(F.col(c), F.lit("missing")).alias(c)).distinct()
-        codes = words.select(c, (F.row_number().over(Window.orderBy(c)) - 1).cast("double").alias(f"__{c}"))
-        both = join_dimension(both.withColumn(c, F.coalesce(F.col(c), F.lit("missing"))), codes, [c]).withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
+        codes = in_order(words, [], [c], position="at").select(c, (F.col("at") - 1).cast("double").alias(f"__{c}"))
+        both = join_dimension(both.withColumn(c, F.coalesce(F.col(c), F.lit("missing"))), codes, [c], unique=True).withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
     numeric = [c for c in cols if c not in text]
     if numeric:
         base = both if median == "joint" else both.where("domain = 0")

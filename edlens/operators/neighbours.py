@@ -27,14 +27,36 @@ def _vectors(s: pd.Series) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances between two small sets, by differences (no cancellation)."""
     out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), 256):
-        d = a[i : i + 256, None, :] - b[None, :, :] if a.shape[1] * len(b) <= 262_144 else None
-        if d is not None:
-            out[i : i + 256] = np.sqrt((d * d).sum(axis=2))
-        else:
-            for j in range(i, min(i + 256, len(a))):
-                out[j] = np.sqrt(((b - a[j]) ** 2).sum(axis=1))
+    rows = max(1, 2_000_000 // max(1, b.size))
+    for i in range(0, len(a), rows):
+        d = a[i : i + rows, None, :] - b[None, :, :]
+        out[i : i + rows] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+    return out
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row of ``a`` the positions and distances of its k nearest rows of ``b``.
+
+    A matrix product finds everything within rounding of the k-th distance; those few are then
+    measured exactly and ordered by distance and id.
+    """
+    out, bb = [], (b * b).sum(axis=1)
+    slack = 1e-9 * (1.0 + bb.max(initial=0.0))
+    for i in range(0, len(a), 512):
+        part = a[i : i + 512]
+        aa = (part * part).sum(axis=1)
+        rough = aa[:, None] + bb[None, :] - 2 * part @ b.T
+        if skip is not None:
+            rough[skip[i : i + 512, None] == ids[None, :]] = np.inf
+        kth = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+        near = (rough <= (kth + slack + 1e-9 * aa)[:, None]) & np.isfinite(rough)
+        for j in range(len(part)):
+            at = np.nonzero(near[j])[0]
+            d = np.sqrt(((b[at] - part[j]) ** 2).sum(axis=1))
+            order = np.lexsort((ids[at], d))[:k]
+            out.append((at[order], d[order]))
     return out
 
 
@@ -47,8 +69,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qi
 
     Both tables hold an id and an array of doubles. ``exclude_same`` skips a row's own id.
     """
-    q = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
-    r = refs.select(F.col(ref_id).alias("rid"), F.col(vector).cast("array<double>").alias("v"))
+    q = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v")).repartition("qid")
+    r = refs.select(F.col(ref_id).alias("rid"), F.col(vector).cast("array<double>").alias("v")).repartition("rid")
     n = r.count()
     if n == 0:
         raise ValueError("no reference rows")
@@ -95,16 +117,10 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qi
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": a["qid"][:0], "rid": b["rid"][:0], "distance": np.zeros(0)})
-        d = _distances(_vectors(a["v"]), _vectors(b["v"]))
         rid, qid = b["rid"].to_numpy(), a["qid"].to_numpy()
-        if exclude_same:
-            d[qid[:, None] == rid[None, :]] = np.inf
-        out = []
-        for i in range(len(d)):
-            top = np.lexsort((rid, d[i]))[:k]
-            top = top[np.isfinite(d[i][top])]
-            out.append(pd.DataFrame({"qid": np.repeat(qid[i : i + 1], len(top)), "rid": rid[top], "distance": d[i][top]}))
-        return pd.concat(out)
+        found = _nearest(_vectors(a["v"]), _vectors(b["v"]), rid, k, qid if exclude_same else None)
+        at = np.concatenate([f[0] for f in found])
+        return pd.DataFrame({"qid": np.repeat(qid, [len(f[0]) for f in found]), "rid": rid[at], "distance": np.concatenate([f[1] for f in found])})
 
     key = ["cell", "qs", "rs"]
     part = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest, f"qid {qtype}, rid {rtype}, distance double")

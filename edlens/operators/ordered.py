@@ -27,12 +27,15 @@ WHOLE = -2  # range id of groups that are not cut
 
 
 def as_number(df: DataFrame, name: str) -> Column:
-    """Order-preserving double for numbers, dates and timestamps."""
+    """Order-preserving double for numbers, dates, timestamps and (by leading bytes) text."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.col(name).cast("timestamp").cast("double")
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
     raise TypeError(f"cannot cut ranges on {name}: {kind.simpleString()}")
 
 
@@ -86,8 +89,8 @@ def in_order(
 ) -> DataFrame:
     """Add row position, previous / following values and inclusive running sums per group.
 
-    ``order`` sorts ascending and must be unique inside a group; its first column has to be a
-    number, date or timestamp. ``previous``, ``following`` and ``running`` map new names to
+    ``order`` sorts ascending and must be unique inside a group; large groups are cut along its
+    first column, a number, date, timestamp or text. ``previous``, ``following`` and ``running`` map new names to
     source columns.
     """
     previous, following, running = previous or {}, following or {}, running or {}

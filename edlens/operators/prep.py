@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edlens.functions.scalars import map_values
 from edlens.operators.columns import bounds
 from edlens.operators.features import join_dimension
+from edlens.operators.ordered import in_order
 from edlens.operators.quantiles import quantiles
 from edlens.operators.sequences import first_per_key
 
@@ -67,15 +68,16 @@ def impute(df: DataFrame, cols: list[str], strategy: str = "median", constant: o
 def vocabulary(df: DataFrame, c: str, order: str = "value") -> DataFrame:
     """Codes of a column: by sorted value, or by falling frequency."""
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(c) if order == "value" else Window.orderBy(F.desc("__n"), c)
-    return counts.select(c, (F.row_number().over(w) - 1).alias("code"))
+    by = [c] if order == "value" else ["__neg", c]
+    placed = in_order(counts.withColumn("__neg", -F.col("__n")), [], by, position="code")
+    return placed.select(c, (F.col("code") - 1).alias("code"))
 
 
 def encode_labels(df: DataFrame, fitted_on: DataFrame, c: str, order: str = "value") -> DataFrame:
     """Replace a column by its code in ``fitted_on``; unseen and null values share the next code."""
     codes = vocabulary(fitted_on, c, order)
     size = codes.agg(F.count(F.lit(1))).scalar()
-    return join_dimension(df, codes, [c]).withColumn(c, F.coalesce(F.col("code"), size).cast("int")).select(*df.columns)
+    return join_dimension(df, codes, [c], unique=True).withColumn(c, F.coalesce(F.col("code"), size).cast("int")).select(*df.columns)
 
 
 def encode_ordinal(c: str, levels: list, unknown: int = -1) -> Column:

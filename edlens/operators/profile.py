@@ -26,8 +26,8 @@ def group_counts(df: DataFrame, attributes: list[str]) -> DataFrame:
     """Rows per value of each attribute, with the attribute's number of nulls."""
     long = df.select(*[F.col(a).cast("string").alias(a) for a in attributes]).unpivot([], attributes, "attribute", "group")
     counts = long.groupBy("attribute", "group").agg(F.count(F.lit(1)).alias("n"))
-    nulls = F.max(F.when(F.col("group").isNull(), F.col("n"))).over(Window.partitionBy("attribute"))
-    return counts.withColumn("missing", F.coalesce(nulls, F.lit(0))).where(F.col("group").isNotNull())
+    nulls = counts.groupBy("attribute").agg(F.coalesce(F.sum(F.when(F.col("group").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+    return counts.where(F.col("group").isNotNull()).join(nulls, "attribute")
 
 
 def category_summary(df: DataFrame, attributes: list[str]) -> DataFrame:
@@ -101,28 +101,29 @@ def pair_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     ]
     long = df.select(F.inline(F.array(*rows))).where(F.col("va").isNotNull() & F.col("vb").isNotNull())
     cells = long.groupBy("a", "b", "va", "vb").agg(F.count(F.lit(1)).alias("n"))
-    w = lambda *c: F.sum("n").over(Window.partitionBy("a", "b", *c))
-    return cells.select("*", w("va").alias("row_n"), w("vb").alias("col_n"), w().alias("total"))
+    total = cells.groupBy("a", "b").agg(F.sum("n").alias("total"))
+    for side, name in (("va", "row_n"), ("vb", "col_n")):
+        cells = cells.join(cells.groupBy("a", "b", side).agg(F.sum("n").alias(name)), ["a", "b", side])
+    return cells.join(total, ["a", "b"])
 
 
 def association(df: DataFrame, pairs: list[tuple[str, str]], p_value: bool = True) -> DataFrame:
     """Chi-square (continuity-corrected for 2 x 2) with plain and bias-corrected Cramer's V.
 
     Absent cells need no zero rows: the plain statistic is N (sum n_ij^2 / (r_i c_j) - 1), and in a
-    2 x 2 table every cell has the same distance from its expectation.
+    2 x 2 table every cell has the same distance from its expectation. The k cells of a row each
+    add n / row total of it, so sums over cells also give the number of rows and the sum of 1 / row.
     """
     cells = pair_cells(df, pairs)
     n, r, c, total = (F.col(x) for x in ("n", "row_n", "col_n", "total"))
-    cells = cells.withColumn("__first_row", F.row_number().over(Window.partitionBy("a", "b", "va").orderBy("vb")) == 1)
-    cells = cells.withColumn("__first_col", F.row_number().over(Window.partitionBy("a", "b", "vb").orderBy("va")) == 1)
     sums = cells.groupBy("a", "b").agg(
         F.max("total").alias("n"),
-        F.count_if("__first_row").alias("rows"),
-        F.count_if("__first_col").alias("cols"),
+        F.round(F.sum(n / r)).cast("bigint").alias("rows"),
+        F.round(F.sum(n / c)).cast("bigint").alias("cols"),
         F.sum(n / r * n / c).alias("__q"),
         F.max(F.abs(n - r * c / total)).alias("__d"),
-        F.sum(F.when(F.col("__first_row"), 1 / r)).alias("__ir"),
-        F.sum(F.when(F.col("__first_col"), 1 / c)).alias("__ic"),
+        F.sum(n / (r * r)).alias("__ir"),
+        F.sum(n / (c * c)).alias("__ic"),
     )
     n = F.col("n")
     plain = F.greatest(n * (F.col("__q") - 1), F.lit(0.0))

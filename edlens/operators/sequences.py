@@ -68,9 +68,8 @@ def to_segments(df: DataFrame, keys: list[str], columns: list[str], pos: str = "
 
 def course_index(df: DataFrame, course: str = "course_id") -> DataFrame:
     """Index of each course by sorted name (a table with one row per course)."""
-    return df.select(F.col(course).cast("string").alias(course)).distinct().select(
-        course, (F.dense_rank().over(Window.orderBy(course)) - 1).alias("course_idx")
-    )
+    names = df.select(F.col(course).cast("string").alias(course)).where(F.col(course).isNotNull()).distinct()
+    return in_order(names, [], [course], position="idx").select(course, (F.col("idx") - 1).alias("course_idx"))
 
 
 def build_sequences(df: DataFrame, keys: list[str], order: list[str], features: list[str], segment_steps: int = SEGMENT_STEPS, **kw) -> DataFrame:

@@ -249,7 +249,15 @@ def _(t):
                            F.corr("l_quantity", "l_extendedprice").alias("corr")).withColumn("mean_q", F.abs(F.round("mean_q", 3))), 3)
 
 
-@query("alignment_metrics", "")
+def _eigen(d):
+    a, b, e = (f"covar_samp({x}, {y}) FILTER (WHERE domain = {d})" for x, y in (("l_quantity", "l_quantity"), ("l_quantity", "l_discount"), ("l_discount", "l_discount")))
+    mid, half = f"(({a}) + ({e}) + 0.002) / 2", f"sqrt(((({a}) - ({e})) / 2) ** 2 + ({b}) ** 2)"
+    return f"({mid} + {half}) / ({mid} - {half})"
+
+
+@query("alignment_metrics", "", f"""WITH {DOM}, {CV}, f AS (SELECT sqrt(a * a + 2 * b * b + e * e) AS f FROM c), k AS (SELECT {_eigen(0)} AS s, {_eigen(1)} AS t FROM d)
+ SELECT round(f, 4) AS frobenius_before, 0.0::DOUBLE AS frobenius_after, round(f, 4) AS improvement, 1.0::DOUBLE AS relative_improvement, round(s, 0) AS source_condition, round(t, 0) AS target_condition FROM f, k""")
 def _(t):
     d = dom(t)
-    return rounded(A.alignment_metrics(d, A.coral_fit(d, ["l_quantity", "l_discount"])))
+    out = A.alignment_metrics(d, A.coral_fit(d, ["l_quantity", "l_discount"]))
+    return rounded(out.withColumns({c: F.round(c, 0) for c in ("source_condition", "target_condition")}), 4)

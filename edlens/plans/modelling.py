@@ -39,10 +39,26 @@ def _kind(kind, **p):
     return build
 
 
-for _name, _params in (("logistic", {}), ("random_forest", {"numTrees": 20}), ("gradient_boosting", {"maxIter": 5}), ("svm", {"maxIter": 20}), ("naive_bayes", {}), ("mlp", {"maxIter": 30}), ("decision_tree", {})):
+for _name, _params in (("logistic", {}), ("random_forest", {"numTrees": 20}), ("gradient_boosting", {"maxIter": 5}), ("svm", {"maxIter": 20}), ("mlp", {"maxIter": 30}), ("decision_tree", {})):
     query(f"fit_{_name}")(_kind(_name, **_params))
 
 
+def _moments(c):
+    return ", ".join(f"avg({x}) FILTER (WHERE y = {k}) AS m{k}_{x}, var_pop({x}) FILTER (WHERE y = {k}) + any_value(eps) AS v{k}_{x}" for x in FEATS for k in (0, 1))
+
+
+# Gaussian naive Bayes is arithmetic on class means and variances, so it is compared with SQL.
+_ODDS = " + ".join(f"0.5 * ln(v0_{x} / v1_{x}) - ({x} - m1_{x}) ** 2 / (2 * v1_{x}) + ({x} - m0_{x}) ** 2 / (2 * v0_{x})" for x in FEATS)
+
+
+@query("fit_naive_bayes", "grades", f"""WITH g AS (SELECT *, (G3 >= 10)::INTEGER AS y FROM grades), e AS (SELECT 1e-9 * greatest({", ".join(f"var_pop({x})" for x in FEATS)}) AS eps FROM g),
+ m AS (SELECT {_moments("g")}, ln(sum(y) / (count(*) - sum(y))) AS prior FROM g, e), o AS (SELECT y, prior + {_ODDS} AS o FROM g, m), p AS (SELECT y, o, (o >= 0)::INTEGER AS pred, rank() OVER (ORDER BY o) + (count(*) OVER (PARTITION BY o) - 1) / 2.0 AS rk FROM o),
+ c AS (SELECT sum(y * pred)::DOUBLE AS tp, sum((1 - y) * pred)::DOUBLE AS fp, sum((1 - y) * (1 - pred))::DOUBLE AS tn, sum(y * (1 - pred))::DOUBLE AS fn, sum(rk) FILTER (WHERE y = 1) AS rs FROM p)
+ SELECT round((tp + tn) / (tp + tn + fp + fn), 4) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 4) AS balanced_accuracy, round((rs - (tp + fn) * (tp + fn + 1) / 2) / ((tp + fn) * (tn + fp)), 4) AS roc_auc FROM c""")
+def _(t):
+    return _kind("naive_bayes")(t)
+
+
 def _regress(kind, **p):
     def build(t):
         from edlens.operators.metrics import regression_metrics
@@ -161,10 +177,11 @@ def _(t):
     return rounded(M.segment(t.grades, ["G1", "G2", "absences", "age"], "G3"), 4)
 
 
-@query("pca_features")
+# The components of two scaled columns have variances 1 + |r| and 1 - |r|.
+@query("pca_features", "grades", "SELECT round(1 + abs(corr(G1, G2)), 4) AS var_1, round(1 - abs(corr(G1, G2)), 4) AS var_2, 0.0::DOUBLE AS corr_12, count(*) AS n FROM grades")
 def _(t):
-    p = M.pca_features(t.grades, ["G1", "G2", "absences", "age"], 3)
-    return rounded(p.agg(*[F.var_samp(f"pc_{i}").alias(f"var_{i}") for i in (1, 2, 3)], F.abs(F.round(F.corr("pc_1", "pc_2"), 6)).alias("corr_12")), 4)
+    p = M.pca_features(t.grades, ["G1", "G2"], 5)
+    return rounded(p.agg(F.var_samp("pc_1").alias("var_1"), F.var_samp("pc_2").alias("var_2"), F.abs(F.round(F.corr("pc_1", "pc_2"), 4)).alias("corr_12"), F.count(F.lit(1)).alias("n")), 4)
 
 
 @query("domain_classifier")
@@ -204,9 +221,14 @@ def _(t):
     return rounded(M.progressive_mix(f, m, m, ["id"], FEATS, "y", "decision_tree", shares=(0.2, 1.0)), 4)
 
 
-@query("learning_curve")
+_SIDE = "SELECT fold, share, '{0}' AS side, sqrt(avg((G3 - a - b * G1) ** 2)) AS rmse, count(*) AS n FROM k JOIN m ON {1} GROUP BY fold, share"
+
+
+@query("learning_curve", "grades", f"""WITH k AS (SELECT G1, G3, ((row_number() OVER (ORDER BY md5(concat_ws('|', id, '42'))) - 1) % 2) AS f, CAST('0x' || substr(md5(concat_ws('|', id, 'curve')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM grades),
+ m AS (SELECT h.fold, s.share, regr_slope(G3, G1) AS b, regr_intercept(G3, G1) AS a FROM k, (SELECT unnest([0, 1]) AS fold) h, (SELECT unnest([0.2::DOUBLE, 1.0]) AS share) s WHERE f <> fold AND u <= share GROUP BY 1, 2),
+ r AS ({_SIDE.format('train', 'f <> fold AND u <= share')} UNION ALL {_SIDE.format('validation', 'f = fold')}) SELECT share, side, round(avg(rmse), 4) AS rmse, round(avg(n), 4) AS rows FROM r GROUP BY share, side""")
 def _(t):
-    return rounded(M.learning_curve(t.grades, ["id"], FEATS, "G3", shares=(0.2, 1.0), folds=2), 4)
+    return rounded(M.learning_curve(t.grades, ["id"], ["G1"], "G3", shares=(0.2, 1.0), folds=2), 4)
 
 
 @query("permutation_importance")

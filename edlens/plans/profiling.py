@@ -234,3 +234,41 @@ def _(t):
 def _(t):
     p, s = t.predictions, t.students
     return V.verdict(V.validation_report(V.check_structure(p, ["id", "y"]), V.check_identifiers(p, ["id"]), V.check_labels(p, ["y"]), V.check_sensitive(s, ["region"])))
+
+
+CANON = """c AS (SELECT id, sex, CASE WHEN absences > 20 THEN NULL ELSE Medu::DOUBLE END AS ses_index, G1 / 18.0 AS prior_performance FROM grades)"""
+
+
+def canonical(t):
+    g = t.grades
+    return g.select("id", "sex", F.when(F.col("absences") <= 20, F.col("Medu").cast("double")).alias("ses_index"), (F.col("G1") / 18.0).alias("prior_performance"))
+
+
+@query("check_canonical", "grades", f"WITH {CANON} " + " UNION ALL ".join([
+    _r("canonical", "warning", "sex_missing", "0", "true"), _r("canonical", "warning", "ses_index_missing", "SELECT avg((ses_index IS NULL)::INTEGER) FROM c", "SELECT avg((ses_index IS NULL)::INTEGER) <= 0.2 FROM c"),
+    _r("canonical", "warning", "prior_performance_missing", "0", "true"), _r("canonical", "error", "prior_performance_out_of_range", "SELECT count(*) FROM c WHERE prior_performance > 1", "SELECT count(*) = 0 FROM c WHERE prior_performance > 1")]))
+def _(t):
+    return rounded(V.check_canonical(canonical(t)))
+
+
+@query("fill_canonical", "grades", f"WITH {CANON} SELECT id, sex, coalesce(ses_index, 2.0) AS ses_index, round(prior_performance, 6) AS prior_performance FROM c")
+def _(t):
+    return rounded(V.fill_canonical(canonical(t)))
+
+
+PROBS = ["prob_gru", "prob_lstm", "prob_transformer", "prob_tcn"]
+
+
+@query("interaction_choice", "predictions", "WITH p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM predictions" for i, a in enumerate(PROBS) for b in PROBS[i + 1:]) + ") SELECT a, b FROM p WHERE abs(r) > 0.1 AND abs(r) < 0.8")
+def _(t):
+    from edlens.operators.prep import interaction_choice
+
+    return t.spark.createDataFrame(interaction_choice(t.predictions, PROBS), "a string, b string")
+
+
+@query("drop_leaky", "grades", "SELECT id, sex, G1, label_pass, count(*) AS n FROM (SELECT id, sex, G1, (G3 >= 10)::INTEGER AS label_pass FROM grades) GROUP BY ALL")
+def _(t):
+    from edlens.sources.readers import drop_leaky, with_label
+
+    g = drop_leaky(with_label(t.grades.select("id", "sex", "G1", "G2", "G3")), ["G2", "G3"])
+    return g.groupBy("id", "sex", "G1", "label_pass").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edlens.functions import scalars as S
 from edlens.operators import features as X
 from edlens.plans.registry import query
 from edlens.plans.standins import KEYS, Tables
