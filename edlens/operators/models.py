@@ -23,6 +23,7 @@ from edlens.operators.metrics import classification_metrics, ranking_metrics, re
 from edlens.operators.ordered import shuffled_position
 from edlens.operators.profile import numeric_columns
 from edlens.operators.splits import stratified_kfold
+from edlens.session import materialise
 
 SEED = 42
 CLASSIFIERS: dict[str, Callable] = {
@@ -179,6 +180,7 @@ def stack(df: DataFrame, key: list[str], features: list[str], label: str, bases:
         s = cross_predict(df.select(*key, *features, label), key, features, label, b, folds=folds, out=f"prob_{b}")
         s = s.select(*key, f"prob_{b}") if wide is not None else s.select(*key, label, f"prob_{b}")
         wide = s if wide is None else wide.join(s, key)
+    wide = materialise(wide)  # one fold of lineage per base model and fold ends here
     meta = fit_model(wide, [f"prob_{b}" for b in bases], label)
     return meta.score(wide)
 

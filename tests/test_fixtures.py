@@ -206,3 +206,14 @@ def test_last_steps_beyond_pushdown(spark):
     assert {r.t for r in big.collect()} == set(range(600, 3000))
     head = Q.first_steps(df, ["k"], ["t"], 1200, max_group_rows=500)
     assert {r.t for r in head.collect()} == set(range(2400))
+
+
+def test_plain_aggregates_run_on_a_stream(spark, tmp_path):
+    from edlens.operators.profile import risk_list
+
+    src = spark.createDataFrame([("a", 0.2), ("a", 0.8), ("b", 0.1)], "user string, p double")
+    src.write.parquet(f"{tmp_path}/in")
+    stream = risk_list(spark.readStream.schema(src.schema).parquet(f"{tmp_path}/in"), ["user"], "p", 0.4)
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("risk_stream").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(str, spark.table("risk_stream").collect())) == sorted(map(str, risk_list(src, ["user"], "p", 0.4).collect()))
