@@ -17,6 +17,7 @@ from edlens.functions.hashing import key_digest, key_unit, poisson_one, poisson_
 from edlens.functions.pvalues import chi2_p, f_p, normal_p, t_p, t_quantile
 from edlens.operators.ordered import in_order
 from edlens.operators.quantiles import quantiles
+from edlens.session import fan_out
 
 Metrics = Callable[[Column], dict[str, Column]]
 
@@ -110,14 +111,14 @@ def permutation_test(df: DataFrame, key: str, arm: str, value: str, reps: int =
     rows = df.where(F.col(arm).isin(0, 1)).select(key, arm, F.col(value).cast("double").alias("__v"))
     o = _observed(rows, arm, "__v").scalar()
     # Narrow rows are spread over all tasks before they multiply: the input may sit in a few splits.
-    drawn = rows.select(key, "__v").repartition(key).select(key, "__v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    drawn = fan_out(rows.select(key, "__v"), key).select(key, "__v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     drawn = drawn.withColumn("__d", key_digest([key, "rep"], seed)).withColumn("__part", F.substring("__d", 1, 3))
     parts = drawn.groupBy("rep", "__part").agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("s"))
     w = Window.partitionBy("rep").orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = parts.select("*", F.sum("n").over(w).alias("upto"))
     whole = parts.groupBy("rep").agg(F.coalesce(F.sum(F.when(F.col("upto") <= o["n1"], F.col("s"))), F.lit(0.0)).alias("whole"))
     edge = parts.where((F.col("upto") > o["n1"]) & (F.col("upto") - F.col("n") < o["n1"])).select("rep", "__part", (o["n1"] - F.col("upto") + F.col("n")).alias("need"))
-    inside = drawn.join(edge, ["rep", "__part"])
+    inside = drawn.join(F.broadcast(edge), ["rep", "__part"])  # one row per replicate
     rank = F.row_number().over(Window.partitionBy("rep", "__part").orderBy("__d", key))
     rest = inside.withColumn("__r", rank).where(F.col("__r") <= F.col("need")).groupBy("rep").agg(F.sum("__v").alias("rest"))
     sums = whole.join(rest, "rep", "left").select("rep", (F.col("whole") + F.coalesce("rest", F.lit(0.0))).alias("a"))

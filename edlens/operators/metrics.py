@@ -66,11 +66,16 @@ def score_cells(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> Dat
     return rows.groupBy(*by, F.col(p).alias("score")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
 
 
-def score_curve(df: DataFrame, by: list[str], y: str = "y", p: str = "p", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Per distinct score: cell counts, cumulative tp / all at and above it, and group totals."""
+def score_runs(df: DataFrame, by: list[str], y: str = "y", p: str = "p", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Per distinct score: cell counts and cumulative tp / all at and above it."""
     cells = score_cells(df, by, y, p).withColumn("__neg", -F.col("score"))
-    curve = in_order(cells, by, ["__neg"], running={"tp": "pos", "called": "n"}, max_group_rows=max_group_rows).drop("__neg")
-    totals = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.sum(F.col(y).cast("bigint")).alias("P"), F.count(F.lit(1)).alias("total"))
+    return in_order(cells, by, ["__neg"], running={"tp": "pos", "called": "n"}, max_group_rows=max_group_rows).drop("__neg")
+
+
+def score_curve(df: DataFrame, by: list[str], y: str = "y", p: str = "p", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """``score_runs`` with the totals of the group (``P`` positives, ``total`` rows) on every line."""
+    curve = score_runs(df, by, y, p, max_group_rows)
+    totals = score_cells(df, by, y, p).groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("n").alias("total"))  # same shuffle as the cells
     if by:
         return curve.join(totals, by)
     t = totals.select(F.struct("P", "total").alias("t")).scalar()
@@ -84,9 +89,8 @@ def ranking_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", **
     """ROC-AUC (.5 for one class), average precision (0 without positives), log-loss, Brier score."""
     s, pos, n = F.col("score"), F.col("pos"), F.col("n")
     c = F.greatest(F.least(s, F.lit(1 - LOSS_CLIP)), F.lit(LOSS_CLIP))
-    curve = score_curve(df, by, y, p, **kw)
-    g = curve.groupBy(*by).agg(
-        F.max("P").alias("__P"), F.max("total").alias("n"),
+    g = score_runs(df, by, y, p, **kw).groupBy(*by).agg(
+        F.sum("pos").alias("__P"), F.sum("n").alias("n"),
         F.sum((n - pos) * (F.col("tp") - pos / 2.0)).alias("__area"),
         F.sum(pos * F.col("tp") / F.col("called")).alias("__ap"),
         F.sum(-(pos * F.log(c) + (n - pos) * F.log(1 - c))).alias("__loss"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from edlens.functions.hashing import digest_unit, key_digest, key_unit
 from edlens.operators.ordered import shuffled_position
+from edlens.session import fan_out
 
 MAX_PIVOTS = 512
 SHARD_ROWS = 4096
@@ -69,8 +70,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qi
 
     Both tables hold an id and an array of doubles. ``exclude_same`` skips a row's own id.
     """
-    q = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v")).repartition("qid")
-    r = refs.select(F.col(ref_id).alias("rid"), F.col(vector).cast("array<double>").alias("v")).repartition("rid")
+    q = fan_out(queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v")), "qid")
+    r = fan_out(refs.select(F.col(ref_id).alias("rid"), F.col(vector).cast("array<double>").alias("v")), "rid")
     n = r.count()
     if n == 0:
         raise ValueError("no reference rows")

@@ -25,6 +25,16 @@ def build_session(app: str = "edlens", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows by key before a step that multiplies them or computes long on each.
+
+    The count is explicit, so adaptive execution does not merge these (still small) partitions.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable folder named by ``spark.checkpoint.dir``.
 
