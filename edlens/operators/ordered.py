@@ -14,6 +14,8 @@ re-run task always assigns a row to the same range.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -51,22 +53,43 @@ def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def cut_large_groups(df: DataFrame, keys: list[str], on: str, max_group_rows: int) -> DataFrame | None:
-    """Add ``__range``; ``None`` when no group is larger than ``max_group_rows``."""
+def _bucket(df: DataFrame, c: str, cuts: list[float], out: str) -> DataFrame:
+    """0-based index of the left-closed range a number falls in; -1 for null."""
+    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    if len(splits) == 2:
+        return df.withColumn(out, F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint"))
+    filled = df.withColumn("__filled", F.coalesce(c, F.lit(0.0)))
+    got = Bucketizer(splits=splits, inputCol="__filled", outputCol="__idx").transform(filled)
+    index = F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.col("__idx")).cast("bigint")
+    return got.withColumn(out, index).drop("__filled", "__idx")
+
+
+def cut_large_groups(df: DataFrame, keys: list[str], order: list[str], max_group_rows: int) -> DataFrame | None:
+    """Add ``__range``; ``None`` when no group is larger than ``max_group_rows``.
+
+    Ranges follow the first ordering column. A value so frequent that it fills ranges alone (a day
+    with a billion clicks) gets a range of its own, which is cut further along the second column.
+    """
     top, total = largest_group(df, keys)
     if top <= max_group_rows:
         return None
-    ranges = min(MAX_RANGES, max(2, -(-2 * total // max_group_rows)))
-    numbered = df.withColumn("__on", as_number(df, on))
+    ranges = min(MAX_RANGES, max(2, -(-4 * total // max_group_rows)))
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = numbered.agg(F.percentile_approx("__on", probs, 10 * MAX_RANGES)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    numbered = numbered.withColumn("__on0", F.coalesce("__on", F.lit(0.0)))
-    if len(splits) > 2:
-        numbered = Bucketizer(splits=splits, inputCol="__on0", outputCol="__bucket").transform(numbered)
-    else:
-        numbered = numbered.withColumn("__bucket", F.lit(0.0))
-    cut = F.when(F.col("__on").isNull(), F.lit(-1)).otherwise(F.col("__bucket").cast("int"))
+    quantile = lambda c: F.percentile_approx(c, probs, 10 * MAX_RANGES)
+    numbered = df.withColumn("__on", as_number(df, order[0]))
+    cuts, biggest = numbered.agg(quantile("__on"), F.max(F.abs("__on"))).first()
+    cuts = cuts or []
+    frequent = [v for v, n in Counter(cuts).items() if n > 1]
+    numbered = _bucket(numbered, "__on", [*cuts, *[math.nextafter(v, math.inf) for v in frequent]], "__b1")
+    # Equal numbers must mean equal values: not so for text prefixes and integers beyond 2^53.
+    exact = not isinstance(df.schema[order[0]].dataType, T.StringType) and (biggest or 0) < 2**53
+    cut = F.col("__b1")
+    if frequent and exact and len(order) > 1:
+        tied = F.coalesce(F.col("__on").isin(frequent), F.lit(False))
+        numbered = numbered.withColumn("__on2", as_number(df, order[1]))
+        again = numbered.where(tied).agg(quantile("__on2")).first()[0] or []
+        numbered = _bucket(numbered, "__on2", again, "__b2")
+        cut = F.when(F.col("__b1") < 0, F.lit(-1)).otherwise(F.col("__b1") * (2 * MAX_RANGES) + F.when(tied, F.col("__b2") + 1).otherwise(F.lit(0)))
     if not keys:
         return numbered.select(*df.columns, cut.alias("__range"))
     large = numbered.groupBy(*keys).count().where(F.col("count") > max_group_rows)
@@ -94,7 +117,7 @@ def in_order(
     source columns.
     """
     previous, following, running = previous or {}, following or {}, running or {}
-    cut = cut_large_groups(df, keys, order[0], max_group_rows)
+    cut = cut_large_groups(df, keys, order, max_group_rows)
     if cut is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

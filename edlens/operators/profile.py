@@ -173,9 +173,12 @@ def dataset_summary(df: DataFrame, rates: list[str], distinct: list[str]) -> Dat
 
 
 def risk_list(preds: DataFrame, keys: list[str], prob: str, threshold: float) -> DataFrame:
-    """Mean and top risk per group; null keys are a group of their own."""
+    """Mean and top risk per group; null keys are a group of their own.
+
+    The mean is compared after rounding to 12 places, so the flag does not depend on summation order.
+    """
     return preds.groupBy(*keys).agg(F.avg(prob).alias("prob_avg"), F.max(prob).alias("prob_max"), F.count(prob).alias("n_rows")).withColumn(
-        "high_risk", (F.col("prob_avg") >= threshold).cast("int")
+        "high_risk", (F.round("prob_avg", 12) >= threshold).cast("int")
     )
 
 

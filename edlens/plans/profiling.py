@@ -117,7 +117,7 @@ def _(t):
     return rounded(P.dataset_summary(X.derive_labels(t.students, t.registrations), ["label_pass"], ["code_module", "id_student"]))
 
 
-@query("risk_list", "predictions", """SELECT CASE WHEN id_student % 10 = 0 THEN NULL ELSE id_student END AS student, grp, round(avg(prob_gru), 6) AS prob_avg, max(prob_gru) AS prob_max, count(prob_gru) AS n_rows, CASE WHEN avg(prob_gru) >= 0.4 THEN 1 ELSE 0 END AS high_risk FROM predictions GROUP BY 1, 2""")
+@query("risk_list", "predictions", """SELECT CASE WHEN id_student % 10 = 0 THEN NULL ELSE id_student END AS student, grp, round(avg(prob_gru), 6) AS prob_avg, max(prob_gru) AS prob_max, count(prob_gru) AS n_rows, CASE WHEN round(avg(prob_gru), 12) >= 0.4 THEN 1 ELSE 0 END AS high_risk FROM predictions GROUP BY 1, 2""")
 def _(t):
     p = t.predictions.withColumn("student", F.when(F.col("id_student") % 10 != 0, F.col("id_student")))
     return rounded(P.risk_list(p, ["student", "grp"], "prob_gru", 0.4))

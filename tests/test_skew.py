@@ -29,7 +29,7 @@ def test_in_order_matches_plain(hot, limit):
     args = dict(position="pos", previous={"pv": "v", "pid": "id"}, following={"nv": "v"}, running={"rv": "v"})
     plain = in_order(hot, ["k"], ["t", "id"], **args)
     cut = in_order(hot, ["k"], ["t", "id"], **args, max_group_rows=limit)
-    assert cut_large_groups(hot, ["k"], "t", limit) is not None
+    assert cut_large_groups(hot, ["k"], ["t", "id"], limit) is not None
     assert cut.columns == plain.columns
     assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
 
@@ -41,10 +41,26 @@ def test_in_order_without_keys(hot):
 
 
 def test_cut_ranges_are_bounded(hot):
-    sizes = cut_large_groups(hot.where("t IS NOT NULL"), ["k"], "t", 200).groupBy("k", "__range").count().agg(F.max("count")).first()[0]
+    sizes = cut_large_groups(hot.where("t IS NOT NULL"), ["k"], ["t", "id"], 200).groupBy("k", "__range").count().agg(F.max("count")).first()[0]
     assert sizes <= 200
 
 
+def test_frequent_order_values_are_cut_further(hot):
+    """Three days hold everything: the second ordering column has to share the load."""
+    days = hot.where("t IS NOT NULL").select("k", (F.col("t") % 3).cast("int").alias("day"), "id", "v")
+    sizes = cut_large_groups(days, ["k"], ["day", "id"], 200).groupBy("k", "__range").count().agg(F.max("count")).first()[0]
+    assert sizes <= 200
+    args = dict(position="pos", previous={"pid": "id"}, following={"nid": "id"}, running={"rv": "v"})
+    plain, cut = in_order(days, ["k"], ["day", "id"], **args), in_order(days, ["k"], ["day", "id"], **args, max_group_rows=200)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_text_order(hot):
+    words = hot.select("k", F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
+    plain, cut = in_order(words, ["k"], ["w"], position="pos"), in_order(words, ["k"], ["w"], position="pos", max_group_rows=150)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_in_order_same_after_repartition(hot):
     run = lambda df: sorted(map(str, in_order(df, ["k"], ["t", "id"], position="pos", running={"r": "v"}, max_group_rows=150).collect()))
     assert run(hot) == run(hot.repartition(3, "id"))
