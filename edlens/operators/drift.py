@@ -11,6 +11,7 @@ from edlens.functions.scalars import histogram_bin
 from edlens.operators.columns import bounds
 from edlens.operators.ordered import MAX_GROUP_ROWS, in_order, shuffled_position
 from edlens.operators.quantiles import quantiles
+from edlens.session import materialise
 
 EPS = 1e-8
 
@@ -87,19 +88,15 @@ def label_shift_em(df: DataFrame, source_prior: float, p: str = "p", max_iter: i
     current prior as a literal. ``variant='em'`` weights by the prior alone, without dividing by
     the source prior.
     """
-    cells = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        prior = source_prior
-        for i in range(1, max_iter + 1):
-            base = source_prior if variant == "saerens" else 0.5
-            new = cells.agg(F.sum(F.col("n") * correct_priors("p", base, prior)) / F.sum("n")).first()[0]
-            done = abs(new - prior) * 2**0.5 < tol
-            prior = prior if done else float(new)
-            if done:
-                return prior, i
-        return prior, max_iter
-    finally:
-        cells.unpersist()
+    cells = materialise(df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n")))
+    prior = source_prior
+    for i in range(1, max_iter + 1):
+        base = source_prior if variant == "saerens" else 0.5
+        new = cells.agg(F.sum(F.col("n") * correct_priors("p", base, prior)) / F.sum("n")).first()[0]
+        if abs(new - prior) * 2**0.5 < tol:
+            return prior, i
+        prior = float(new)
+    return prior, max_iter
 
 
 def label_shift_confusion(source: DataFrame, target: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:

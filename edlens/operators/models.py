@@ -90,6 +90,7 @@ class Fitted:
 def fit_model(df: DataFrame, features: list[str], label: str, kind: str = "logistic", task: str = "classification", weight: str | None = None, **params) -> Fitted:
     cols = [F.col(c).cast("double").alias(c) for c in features]
     data = df.select(*cols, F.col(label).cast("double").alias("label"), *([F.col(weight).alias("__weight")] if weight else []))
+    data = data.hint("rebalance")  # even partitions, as many as the size needs: training passes over them many times
     if weight:
         params["weightCol"] = "__weight"
     stages = [T.VectorAssembler(inputCols=features, outputCol="raw" if kind in SCALED else "features", handleInvalid="error")]
@@ -111,7 +112,7 @@ def evaluate(scored: DataFrame, label: str, by: list[str] | None = None, p: str
 def cross_predict(df: DataFrame, key: list[str], features: list[str], label: str, kind: str = "logistic", task: str = "classification", folds: int = 5, strata: list[str] | None = None, out: str = "p", **params) -> DataFrame:
     """Out-of-fold scores: every row is scored by the model that has not seen it."""
     parts = stratified_kfold(df, key, strata if strata is not None else ([label] if task == "classification" else []), folds)
-    parts = parts.persist()
+    parts = materialise(parts)
     scored = None
     for f in range(folds):
         m = fit_model(parts.where(F.col("fold") != f), features, label, kind, task, **params)
@@ -143,7 +144,7 @@ def fit_stacking_calibrator(df: DataFrame, y: str, l2: float = 1e-3, prefix: str
 def grid_search(df: DataFrame, key: list[str], features: list[str], label: str, kind: str, grid: dict[str, list], task: str = "classification", folds: int = 5, parallelism: int = 4) -> tuple[dict, DataFrame]:
     """Best parameters and the mean score of every grid point, on stratified folds."""
     parts = stratified_kfold(df, key, [label] if task == "classification" else [], folds)
-    data = parts.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("label"), "fold").persist()
+    data = materialise(parts.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("label"), "fold"))
     raw = "raw" if kind in SCALED else "features"
     est = make_estimator(kind, task, len(features))
     stages = [T.VectorAssembler(inputCols=features, outputCol=raw), *([T.StandardScaler(inputCol=raw, outputCol="features", withMean=True)] if kind in SCALED else []), est]
@@ -161,7 +162,7 @@ def grid_search(df: DataFrame, key: list[str], features: list[str], label: str,
 
 def nested_cv(df: DataFrame, key: list[str], features: list[str], label: str, kind: str, grid: dict[str, list], task: str = "regression", outer: int = 10, inner: int = 5) -> tuple[DataFrame, DataFrame]:
     """Per outer fold metrics with parameters chosen inside, and out-of-fold predictions."""
-    parts = stratified_kfold(df, key, [label] if task == "classification" else [], outer, seed=SEED + 1).withColumnRenamed("fold", "outer_fold").persist()
+    parts = materialise(stratified_kfold(df, key, [label] if task == "classification" else [], outer, seed=SEED + 1).withColumnRenamed("fold", "outer_fold"))
     preds = None
     for f in range(outer):
         train = parts.where(F.col("outer_fold") != f)
@@ -252,7 +253,7 @@ def early_risk(df: DataFrame, key: list[str], features: list[str], label: str, g
 def segment(df: DataFrame, features: list[str], grade: str, k: int = 3) -> DataFrame:
     """Count and mean grade per cluster of k-means and bisecting k-means on scaled features."""
     prep = Pipeline(stages=[T.VectorAssembler(inputCols=features, outputCol="__raw"), T.StandardScaler(inputCol="__raw", outputCol="features", withMean=True)]).fit(df)
-    data = prep.transform(df).select("features", grade).persist()
+    data = materialise(prep.transform(df).select("features", grade))
     out = None
     for name, est in (("kmeans", G.KMeans(k=k, seed=0)), ("bisecting_kmeans", G.BisectingKMeans(k=k, seed=0))):
         s = est.fit(data).transform(data).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("count"), F.avg(grade).alias(f"avg_{grade}"))
@@ -267,7 +268,7 @@ def transfer_experiment(source: DataFrame, target: DataFrame, key: str, cols: li
 
     out = None
     for (a, an), (b, bn) in [((source, names[0]), (target, names[1])), ((target, names[1]), (source, names[0]))][: 1 + both_ways]:
-        table = joint_prepare(a, b, cols, [key, label, group], products=0).persist()
+        table = materialise(joint_prepare(a, b, cols, [key, label, group], products=0))
         for kind in kinds:
             m = fit_model(table.where("domain = 0"), cols, label, kind)
             s = m.score(table.where("domain = 1")).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
@@ -314,7 +315,7 @@ def progressive_mix(source: DataFrame, train: DataFrame, test: DataFrame, key: l
 
 def learning_curve(df: DataFrame, key: list[str], features: list[str], label: str, kind: str = "linear", shares: tuple[float, ...] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5) -> DataFrame:
     """Mean RMSE on training and validation rows per training share; smaller subsets lie inside larger ones."""
-    parts = stratified_kfold(df, key, [], folds).withColumn("__u", key_unit(key, "curve")).persist()
+    parts = materialise(stratified_kfold(df, key, [], folds).withColumn("__u", key_unit(key, "curve")))
     out = None
     for f in range(folds):
         val = parts.where(F.col("fold") == f)
