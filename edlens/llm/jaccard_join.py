@@ -19,6 +19,8 @@ LOAD_BITS = 20
 BITS_PER_SHINGLE = 4
 #: Members compared with one leader inside one task; larger sets of them are salted.
 MEMBERS_PER_TASK = 256
+#: Members from which a tile brings bitmaps, and the partners each of them names before all others are tried.
+LARGE_TILE, NEAREST = 32, 2
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -156,34 +158,65 @@ def tiles(prefixes: DataFrame, percent: int) -> DataFrame:
     return prefixes.repartition(S.wide(prefixes), "key").sortWithinPartitions("key", "n", "cls").mapInArrow(band, "key long, n long, cls long, lead long")
 
 
-def crossing(tile_rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of classes in a tile that are still in different components and of fitting size."""
+def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
+    """Pairs ``a``, ``b`` of classes in a tile that are still in different components and of fitting size.
+
+    Members of a large tile carry their bitmaps, and only pairs with room for the threshold come out; with
+    ``nearest``, large tiles alone are asked, and each member names just that many of the closest ones before it.
+    """
+    split = tile_rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", (F.col("m") > LARGE_TILE).alias("large"))
+    rows = tile_rows.join(split, "key")
+    large = rows.where("large").join(classes.select("cls", "bits"), "cls").select("key", "n", "cls", "root", "bits")
+    if nearest is None:
+        large = large.union(rows.where("not large").select("key", "n", "cls", "root", F.lit(None).cast("binary")))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, start, ns, cs, roots = None, 0, [], [], []
+        key, tile = None, []
         for batch in batches:
-            out_a, out_b = [], []
-            for k, n, c, root in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if k != key:
-                    key, start, ns, cs, roots = k, 0, [], [], []
-                while percent * n > 100 * ns[start] if start < len(ns) else False:
-                    start += 1
-                if start > 4096 and start * 2 > len(ns):
-                    ns, cs, roots, start = ns[start:], cs[start:], roots[start:], 0
-                for other, far in zip(cs[start:], roots[start:]):
-                    if far != root:
-                        out_a.append(min(c, other))
-                        out_b.append(max(c, other))
-                ns.append(n)
-                cs.append(c)
-                roots.append(root)
-                if len(out_a) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-                    out_a, out_b = [], []
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return tile_rows.select("key", "n", "cls", "root").repartition(S.wide(tile_rows), "key").sortWithinPartitions("key", "n", "cls").mapInArrow(pair, "a long, b long").distinct()
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if row[0] != key:
+                    yield from meet(tile)
+                    key, tile = row[0], []
+                tile.append(row[1:])
+        yield from meet(tile)
+
+    def meet(tile: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not tile:
+            return
+        n, cls, root = (np.array([r[i] for r in tile], np.int64) for i in range(3))
+        widths = np.array([len(r[3]) if r[3] else 0 for r in tile])
+        packed = {w: np.frombuffer(b"".join(r[3] for r in tile if r[3] and len(r[3]) == w), np.uint64).reshape(-1, w // 8) for w in set(widths.tolist()) if w}
+        place = np.array([0] * len(tile))
+        for w in packed:
+            place[widths == w] = np.arange(int((widths == w).sum()))
+        first = np.searchsorted(100 * n, percent * n)  # smallest partner by size
+        out_a, out_b, held = [], [], 0
+        for i in range(len(tile)):
+            j = np.arange(first[i], i)
+            j = j[root[j] != root[i]]
+            if len(j) and widths[i]:
+                bound = np.zeros(len(j), np.int64)
+                mine = packed[widths[i]][place[i]]
+                for w in (widths[i], widths[i] // 2):
+                    some = widths[j] == w
+                    if w != widths[i]:
+                        mine = mine[: len(mine) // 2] | mine[len(mine) // 2 :]
+                    if some.any():
+                        theirs = packed[w][place[j[some]]]
+                        bound[some] = np.minimum(n[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[j[some]] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+                room = (100 + percent) * bound >= percent * (n[i] + n[j])
+                j, bound = j[room], bound[room]
+                if nearest is not None and len(j) > nearest:
+                    j = j[np.argsort(n[j] - 2 * bound, kind="stable")[:nearest]]
+            if len(j):
+                out_a.append(np.minimum(cls[j], cls[i]))
+                out_b.append(np.maximum(cls[j], cls[i]))
+                held += len(j)
+            if held > 50_000 or (held and i == len(tile) - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                out_a, out_b, held = [], [], 0
+
+    return large.repartition(S.wide(tile_rows), "key").sortWithinPartitions("key", "n", "cls").mapInArrow(pair, "a long, b long").distinct()
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -201,7 +234,15 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(room, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str, words: int, percent: int) -> DataFrame:
+def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``cls`` and the text of its first document, of the classes in ``wanted``: a written table."""
+    heads = classes.select("cls", F.col("id").alias("head"), F.col("mark").alias("head_mark")).join(wanted, "cls", "left_semi")
+    body = S.text_of(text)
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("mark"), body.alias("text"))
+    return S.written(source.join(heads, source["id"].eqNullSafe(heads["head"]) & (source["mark"] == heads["head_mark"])).select("cls", "text"), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose shingle sets, cut again from the texts, reach the threshold.
 
     Sets meet at the smaller class: its text goes to every salt of its members, and members follow it.
@@ -211,11 +252,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     seats = pairs.join(counts, "a").select("a", "b", salt.alias("salt"))
     seats = S.written(seats, "pairs")
     asked = seats.select("a", "salt", F.col("b").alias("cls")).union(seats.select("a", "salt", F.col("a").alias("cls")).distinct())
-    heads = classes.select("cls", F.col("id").alias("head"), F.col("mark").alias("head_mark")).join(seats.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
-    body = S.text_of(text)
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("mark"), body.alias("text"))
-    found = source.join(heads, source["id"].eqNullSafe(heads["head"]) & (source["mark"] == heads["head_mark"])).select("cls", "text")
-    rows = asked.join(found, "cls").select("a", "salt", "cls", "text").repartition(S.wide(pairs), "a", "salt")
+    rows = asked.join(texts, "cls").select("a", "salt", "cls", "text").repartition(S.wide(pairs), "a", "salt")
     rows = rows.withColumn("rest", F.col("a") != F.col("cls")).sortWithinPartitions("a", "salt", "rest", "cls")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least
     ``percent`` / 100; ``component_id`` is the smallest id reachable by links. The join is exact: equal sets
     form one class, classes meet in tiles of (prefix shingle, size band), bitmap signatures bound the overlap
-    from above, and sorted arrays decide. Each tile first compares its members with the band's leader; only
-    pairs still in different components are compared after that, so a large group of near copies costs little
-    more than one comparison per member.
+    from above, and sorted arrays decide. Each tile first compares its members with the band's leader, large tiles
+    then each with its nearest by bitmap while that finds links, and at last all pairs that are still in different
+    components, so a large group of near copies costs a few comparisons per member.
 
     Null text and text without words: an empty set, linked with nothing, ``component_id`` its own id. Repeated
     rows and exact copies: the same class, one row each. Null ids: kept, and never a component's id unless all
@@ -256,14 +293,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                         .select(F.col("s1").alias("cls"), "n", "r.*"), "classes")
     rows = S.written(tiles(classes.select(F.explode("prefix").alias("key"), "n", "cls"), percent), "tiles")
     stars = rows.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    links = verified(bounded(stars, classes, percent), classes, docs, id_col, text, words, percent)
-    links = S.written(links, "first-links")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = rows.join(roots, rows["cls"] == roots["node"], "left").select("key", "n", "cls", F.coalesce("root", "cls").alias("root"))
-    known = S.written(known, "rooted")
-    split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    more = verified(bounded(crossing(known.join(split, "key"), percent), classes, percent), classes, docs, id_col, text, words, percent)
-    roots = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    texts = class_texts(rows.select("cls").distinct(), classes, docs, id_col, text)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return S.written(verified(bounded(pairs, classes, percent), texts, words, percent), "near-links")
+
+    def rooted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        known = rows.join(roots, rows["cls"] == roots["node"], "left").select("key", "n", "cls", F.coalesce("root", "cls").alias("root"))
+        return roots, S.written(known, "rooted")
+
+    links = linked(stars)
+    roots, known = rooted(links)
+    while (found := linked(crossing(known, classes, percent, NEAREST))).take(1):
+        links = links.union(found)
+        roots, known = rooted(links)
+    found = linked(crossing(known, classes, percent))
+    if found.take(1):
+        roots = components(links.union(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = full.select("id", "mark", "n", F.col("s1").alias("cls"))
     placed = placed.join(roots, placed["cls"] == roots["node"], "left").select("id", "mark", "n", "cls", F.coalesce("root", "cls").alias("root"))
     names = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "cls", "mark")).alias("h"))
