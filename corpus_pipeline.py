@@ -27,7 +27,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand earlier; n_chars follows, and documents of which nothing is left go."""
     importable(spark)
-    cut = substring_dedup.remove_repeats(docs, carry=F.struct(*docs.columns))
+    cut = substring_dedup.remove_repeats(docs, carry=docs.columns)
     cut = cut.where("n_removed = 0 or n_removed < n_words")
     text = F.coalesce("kept_text", "row.text")
     changed = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)}

@@ -7,15 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edlens.llm import shared as S
 
 #: Rounds of run and pair naming. Two leave symbols whose context is 5 to 10 words, the best fit to 20-word windows.
 ROUNDS = 2
-#: Place of a window or symbol in one number: 24 bits of the text's hash, 32 of the word, 8 of a count.
-TIE, COUNT = 40, 8
+#: Place of windows in one number: 19 bits of the text's hash, 28 of the first word, 16 of their number.
+TIE, COUNT = 44, 16
 
 
 class Level:
@@ -75,7 +75,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
         levels.append(name_pairs(name_runs(levels[-1]), i + 1))
     walls = np.cumsum(wall)
     todo = np.flatnonzero(walls[window - 1 :] == np.append(0, walls)[: n - window + 1]) if n >= window else np.empty(0, np.int64)
-    starts, keys, sites = [], [], []
+    starts, keys = [], []
     for number in range(ROUNDS, -1, -1):
         x = levels[number]
         free = ~x.wall
@@ -93,21 +93,27 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
                 best = np.where(key[other] < key[best], other, best)
             starts.append(s)
             keys.append(key[best])
-            sites.append(low[best])
     if not starts:
         return (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    s, key, site = np.concatenate(starts), np.concatenate(keys), np.concatenate(sites)
+    s, key = np.concatenate(starts), np.concatenate(keys)
     order = np.argsort(s)
-    s, key, site = s[order], key[order], site[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (site[1:] != site[:-1]) | (s[1:] != s[:-1] + 1))
-    at = np.flatnonzero(new)
+    s, key = s[order], key[order]
+    at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (s[1:] != s[:-1] + 1)))
+    n = np.diff(np.append(at, len(s)))
+    most = (1 << COUNT) - 1
+    if n.max() > most:  # a long run of one symbol
+        cuts = -(-n // most)
+        at, n = np.repeat(at, cuts), np.repeat(n, cuts)
+        step = (np.arange(len(at)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * most
+        at, n = at + step, np.minimum(n - step, most)
     row = walls[s[at]] - 1
-    return row, key[at], s[at] - first[row] - row - 1, np.diff(np.append(at, len(s)))
+    return row, key[at], s[at] - first[row] - row - 1, n
 
 
-def source(docs: DataFrame, id_col: str, text: str, *more: Column) -> DataFrame:
-    body = S.text_of(text)
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(body).bitwiseAND((1 << 24) - 1).alias("tie"), body.alias("text"), *more)
+def source(docs: DataFrame, id_col: str, text: str, carry: list[str]) -> DataFrame:
+    """``id``, ``tie`` (a hash of the text), ``row`` (text and carried columns): the same shuffle serves both joins."""
+    tie = F.xxhash64(S.text_of(text)).bitwiseAND((1 << 63 - TIE) - 1)
+    return docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.struct(F.col(text).cast("string").alias("__text"), *carry).alias("row"))
 
 
 def repeats(rows: DataFrame, all_but_first: bool) -> DataFrame:
@@ -145,31 +151,39 @@ def attach(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return texts.join(found, texts["id"].eqNullSafe(found["__id"]) & (texts["tie"] == found["__tie"]), how).drop("__id", "__tie")
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """``id``, ``tie``, ``places``: the first words of each document's windows that also start earlier.
+def first_in_row(row: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Indices of the first of equal keys within each row."""
+    order = np.lexsort((start, key, row))
+    return order[np.append(True, (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1]))[: len(order)]]
+
+
+def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
+    """``id``, ``tie``, ``places``: the first words of windows that also start in an earlier document.
 
     Symbols named in rounds (runs, then pairs) by hashing are the same everywhere without a common
     dictionary. Those that occur again point to the candidate windows, which are then compared by a hash of all
-    their words; the first place stays. Sorted rows stream through both comparisons.
+    their words; the first place stays. Of equal windows within a document only the first is compared with others.
+    Sorted rows stream through both comparisons.
     """
-    texts = source(docs, id_col, text)
     kind = texts.schema["id"].dataType.simpleString()
+    shape = f"key long, id {kind}, place long"
+    names = ["key", "id", "place"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ties = batch.column(1).to_numpy()
-            for i, j, data, at in S.blocks(batch.column(2)):
+            for i, j, data, at in S.blocks(batch.column(2).field(0)):
                 starts, ends, first = S.word_bounds(data, at)
                 row, key, begin, n = anchors(S.word_hashes(data, starts, ends), first, window)
                 if len(row):
                     place = (ties[i:j][row] << TIE) | (begin << COUNT) | n
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(place)], names=["key", "id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(place)], names=names)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ties, places = batch.column(1).to_numpy(), batch.column(3)
             flat, offsets = places.flatten().to_numpy(), np.append(0, np.cumsum(places.value_lengths().to_numpy()))
-            for i, j, data, at in S.blocks(batch.column(2)):
+            for i, j, data, at in S.blocks(batch.column(2).field(0)):
                 starts, ends, first = S.word_bounds(data, at)
                 grams = S.window_hashes(S.word_hashes(data, starts, ends), window)
                 mine = flat[offsets[i] : offsets[j]]
@@ -178,16 +192,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                 row = np.repeat(row, n)
                 start = np.repeat(begin - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
                 key = grams[first[:-1][row] + start]
+                some = first_in_row(row, key, start)
+                row, key, start = row[some], key[some], start[some]
                 place = (ties[i:j][row] << TIE) | start
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(place)], names=["key", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(place)], names=names)
 
-    shape = f"key long, id {kind}, place long"
     shared = by_document(repeats(texts.mapInArrow(name, shape), False))
-    windows = attach(texts, shared, "inner").select("id", "tie", "text", "places").mapInArrow(candidates, shape)
+    windows = attach(texts, shared, "inner").select("id", "tie", "row", "places").mapInArrow(candidates, shape)
     return by_document(repeats(windows, True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, carry: Column | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``row`` (the carried columns), ``n_words``, ``n_removed``, ``kept_sha256``, ``kept_text``.
 
     A word goes when a window of ``window`` words that covers it also starts earlier: in a document of a
@@ -196,31 +211,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null or empty text: no words, empty kept text. Null ids come before all others. Rows of one id and one text
     are one document and fare alike; other texts of the same id are ordered by hash. Further columns matter only
-    in ``carry`` (a struct column; by default the id alone), so their names cannot clash.
+    if named in ``carry`` (by default the id alone) and stay within ``row``, so names cannot clash.
     """
-    carry = F.struct(F.col(id_col)) if carry is None else carry
-    found = repeated_windows(docs, id_col, text, window)
-    joined = attach(source(docs, id_col, text, carry.alias("row")), found, "left").select("row", "text", "places")
-    kind = joined.schema["row"].dataType.simpleString()
+    carry = [id_col] if carry is None else carry
+    texts = source(docs, id_col, text, carry)
+    joined = attach(texts, repeated_windows(texts, window), "left").select("id", "tie", "row", "places")
+    kind = docs.select(F.struct(*carry).alias("row")).schema["row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            fields, places = batch.column(2).flatten(), batch.column(3)
             words, removed, digests, kept = [], [], [], []
-            for body, places in zip(batch.column(1), batch.column(2)):
-                all_words = body.as_buffer().to_pybytes().split()
-                out = all_words
-                if places.is_valid:
-                    edge = np.zeros(len(all_words) + 1, np.int64)
-                    at = places.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    out = [w for w, gone in zip(all_words, (np.cumsum(edge) > 0).tolist()) if not gone]
-                joined_words = b" ".join(out)
-                words.append(len(all_words))
-                removed.append(len(all_words) - len(out))
-                digests.append(hashlib.sha256(joined_words).hexdigest())
-                kept.append(joined_words.decode() if removed[-1] else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())],
+            for i, _, data, at in S.blocks(fields[0]):
+                starts, ends, first = S.word_bounds(data, at)
+                grams = S.window_hashes(S.word_hashes(data, starts, ends), window)
+                raw = data.tobytes()
+                for k in range(len(at) - 1):
+                    out = all_words = raw[at[k] : at[k + 1]].split()
+                    mine = grams[first[k] : max(first[k], first[k + 1] - window + 1)]
+                    known, once = np.unique(mine, return_index=True)
+                    gone = np.ones(len(mine), bool)
+                    gone[once] = False
+                    if places[i + k].is_valid:
+                        gone[places[i + k].values.to_numpy()] = True
+                    if gone.any():
+                        edge = np.zeros(len(all_words) + 1, np.int64)
+                        edge[: len(gone)] += gone
+                        edge[window : window + len(gone)] -= gone
+                        out = [w for w, x in zip(all_words, (np.cumsum(edge) > 0).tolist()) if not x]
+                    joined_words = b" ".join(out)
+                    words.append(len(all_words))
+                    removed.append(len(all_words) - len(out))
+                    digests.append(hashlib.sha256(joined_words).hexdigest())
+                    kept.append(joined_words.decode() if removed[-1] else None)
+            row = pa.StructArray.from_arrays(fields[1:], names=carry)
+            yield pa.RecordBatch.from_arrays([row, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())],
                                              names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return joined.mapInArrow(cut, f"row {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
