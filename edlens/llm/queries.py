@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edlens.llm import byte_bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, secret_scan, substring_dedup, token_counts, url_filters
+from edlens.llm import byte_bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, secret_scan, sql, substring_dedup, token_counts, url_filters
 from edlens.llm.shared import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +41,12 @@ def _(docs):
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "n_owned", "n_shared")
 
 
-@query("op2_substring_dedup", "documents")
+@query("op2_substring_dedup", "documents", sql.SUBSTRING_DEDUP)
 def _(docs):
     return substring_dedup.remove_repeats(docs.select("doc_id", "text")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op3_quality_rules", "documents")
+@query("op3_quality_rules", "documents", sql.QUALITY_RULES)
 def _(docs):
     return quality_rules.judge(docs.select("doc_id", "text", "source")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -70,7 +70,7 @@ def _(docs):
     return byte_bpe.encode_texts(docs.select("doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-@query("op7_jaccard_join", "documents")
+@query("op7_jaccard_join", "documents", sql.JACCARD_JOIN)
 def _(docs):
     return jaccard_join.near_duplicates(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
@@ -85,6 +85,6 @@ def _(docs):
     return fingerprints.fingerprint_edits(docs.select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
-@query("op10_url_filters", "pages")
+@query("op10_url_filters", "pages", sql.URL_FILTERS)
 def _(pages):
     return url_filters.judge(pages.select("page_id", "url")).withColumnRenamed("id", "page_id")

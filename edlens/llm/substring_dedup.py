@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +117,14 @@ def source(docs: DataFrame, id_col: str, text: str, carry: list[str]) -> DataFra
     return docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.struct(F.col(text).cast("string").alias("__text"), *carry).alias("row"))
 
 
+def equal_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """Whether each row but the first has the id and place of the one before it."""
+    ids, place = batch.column(1), batch.column(2).to_numpy()
+    one, two = ids.slice(0, len(ids) - 1), ids.slice(1)
+    same = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(pc.is_null(one), pc.is_null(two)))
+    return same.to_numpy(zero_copy_only=False).astype(bool) & (place[1:] == place[:-1])
+
+
 def repeats(rows: DataFrame, all_but_first: bool) -> DataFrame:
     """``id``, ``place`` of the rows whose ``key`` occurs again; the first of each key only if asked.
 
@@ -130,7 +139,10 @@ def repeats(rows: DataFrame, all_but_first: bool) -> DataFrame:
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             key = batch.column(0).to_numpy()
-            same = np.append(before and held is not None, key[1:] == key[:-1])
+            same = np.append(before, key[1:] == key[:-1])
+            if all_but_first:  # a repeated row stands where the first stands
+                at = np.flatnonzero(np.append(True, ~(same[1:] & equal_rows(batch))))
+                same = np.repeat(same[at], np.diff(np.append(at, len(key))))
             keep = same[:-1] if all_but_first else same[:-1] | same[1:]
             yield batch.slice(0, len(keep)).select(["id", "place"]).filter(pa.array(keep))
             held, before = batch.slice(len(key) - 1, 1), bool(same[-1])

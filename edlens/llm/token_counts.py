@@ -66,9 +66,15 @@ class Counter:
             known[""] = len(self.model.encode("a ", num_threads=1)) - len(self.model.encode("a", num_threads=1))
         return [sum(map(known.__getitem__, x)) for x in units]
 
-    def spans(self, raw: bytes, a: int, b: int) -> np.ndarray:
-        """First bytes, within the whole text, of the tokens of raw[a:b]."""
-        return a + np.array([p.begin for p in self.model.encode(raw[a:b].decode(), return_type="proto").pieces], np.int64)
+    def spans(self, raw: bytes, a: int, b: int, spliced: bool = False) -> np.ndarray:
+        """First bytes, within the whole text, of the tokens of raw[a:b].
+
+        The model puts a space in front; at a splice it stands for the one that is there.
+        """
+        skip = (1 if raw[a] == 32 else len(BLANK.encode())) if spliced else 0
+        out = a + skip + np.array([p.begin for p in self.model.encode(raw[a + skip : b].decode(), return_type="proto").pieces], np.int64)
+        out[:1] = a
+        return out
 
     def count_huge(self, raw: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Tokens of a huge text: chunks that overlap, cut at a boundary both of them have.
@@ -85,7 +91,7 @@ class Counter:
                 begin = self.edge(raw, max(start, end - width))
                 if begin <= start:
                     end = self.edge(raw, min(len(raw), start + 2 * (end - start)))
-                    left = self.spans(raw, start, end)
+                    left = self.spans(raw, start, end, start > 0)
                     break
                 stop = self.edge(raw, min(len(raw), begin + max(chunk, 2 * width)))
                 right = self.spans(raw, begin, stop)
