@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,28 +104,36 @@ def grouped_predictions(df: DataFrame, keys: list[str], y: str = "y", p: str = "
     return df.groupBy(*keys).agg(F.avg(p).alias(p), (F.avg(y) >= 0.5).cast("int").alias(y))
 
 
-def optimal_threshold(df: DataFrame, by: list[str], metric: str = "f1", floor: float = 0.7, **kw) -> DataFrame:
-    """Best observed score as threshold.
+def best_thresholds(df: DataFrame, by: list[str], metrics: Sequence[str], floor: float = 0.7, **kw) -> DataFrame:
+    """Best observed score as threshold, for each metric, from one score curve and one aggregate.
 
     ``precision`` is maximised where recall reaches ``floor`` and ``recall`` where precision does
     (anywhere when nothing does). Ties: the lowest threshold for f1 / precision / recall, the
     highest for youden / balanced_accuracy / accuracy.
     """
     c = score_curve(df, by, **kw).select(*by, F.col("score").alias("threshold"), *[v.alias(n) for n, v in scan_scores().items()])
-    if metric == "f1":
-        value, ok, low = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-8), F.lit(True), True
-    elif metric == "precision":
-        value, ok, low = F.col("precision"), F.col("recall") >= floor, True
-    elif metric == "recall":
-        value, ok, low = F.col("recall"), F.col("precision") >= floor, True
-    elif metric in ("youden", "balanced_accuracy", "accuracy"):
-        value, ok, low = F.col(metric), F.lit(True), False
-    else:
-        raise ValueError(f"unknown metric {metric}")
-    tie = F.col("threshold") if low else -F.col("threshold")
-    rank = F.struct((~ok).cast("int").alias("o"), (-value).alias("v"), tie.alias("t"))
-    best = F.min_by(F.struct("threshold", value.alias("score")), rank)
-    return c.groupBy(*by).agg(best.alias("b")).select(*by, F.lit(metric).alias("metric"), "b.threshold", "b.score")
+
+    def best(metric: str) -> Column:
+        if metric == "f1":
+            value, ok, low = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-8), F.lit(True), True
+        elif metric == "precision":
+            value, ok, low = F.col("precision"), F.col("recall") >= floor, True
+        elif metric == "recall":
+            value, ok, low = F.col("recall"), F.col("precision") >= floor, True
+        elif metric in ("youden", "balanced_accuracy", "accuracy"):
+            value, ok, low = F.col(metric), F.lit(True), False
+        else:
+            raise ValueError(f"unknown metric {metric}")
+        tie = F.col("threshold") if low else -F.col("threshold")
+        rank = F.struct((~ok).cast("int").alias("o"), (-value).alias("v"), tie.alias("t"))
+        return F.min_by(F.struct(F.lit(metric).alias("metric"), "threshold", value.alias("score")), rank)
+
+    return c.groupBy(*by).agg(F.array(*map(best, metrics)).alias("b")).select(*by, F.inline("b"))
+
+
+def optimal_threshold(df: DataFrame, by: list[str], metric: str = "f1", floor: float = 0.7, **kw) -> DataFrame:
+    """``best_thresholds`` for one metric."""
+    return best_thresholds(df, by, [metric], floor, **kw)
 
 
 def confidence_histogram(df: DataFrame, by: list[str], bins: int = 20, y: str = "y", p: str = "p") -> DataFrame:
@@ -134,6 +144,6 @@ def confidence_histogram(df: DataFrame, by: list[str], bins: int = 20, y: str =
 def calibration_summary(df: DataFrame, by: list[str], n_bins: int = 10, metrics: tuple[str, ...] = ("f1", "youden")) -> DataFrame:
     """One row per model: errors, Brier parts and best thresholds."""
     out = calibration_error(df, by, n_bins=n_bins).join(brier_decomposition(df, by), by)
-    for m in metrics:
-        out = out.join(optimal_threshold(df, by, m).select(*by, F.col("threshold").alias(f"{m}_threshold")), by)
-    return out
+    best = best_thresholds(df, by, metrics)
+    best = best.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("threshold"))).alias(f"{m}_threshold") for m in metrics])
+    return out.join(best, by)

@@ -115,8 +115,8 @@ def label_shift_confusion(source: DataFrame, target: DataFrame, y: str = "y", pr
         prior = prior / prior.sum()
     except np.linalg.LinAlgError:
         prior = shares
-    rows = [(int(c), float(s), float(v)) for c, s, v in zip(classes, shares, prior)]
-    return source.sparkSession.createDataFrame(rows, "class int, source_prior double, target_prior double")
+    rows = [(c, float(s), float(v)) for c, s, v in zip(classes, shares, prior)]
+    return source.sparkSession.createDataFrame(rows, f"class {source.schema[y].dataType.simpleString()}, source_prior double, target_prior double")
 
 
 def shift_distances(priors: DataFrame, source: str = "source_prior", target: str = "target_prior") -> DataFrame:

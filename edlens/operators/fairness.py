@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edlens.operators.calibration import threshold_scan
 from edlens.operators.features import before_after, join_dimension
 from edlens.operators.metrics import ranking_metrics
+from edlens.operators.ordered import null_safe_join
 
 
 def group_rates(y: str = "y", pred: str = "pred") -> dict[str, Column]:
@@ -62,7 +63,7 @@ def overall_gaps(df: DataFrame, group: str, y: str = "y", pred: str = "pred") ->
 def group_quality(df: DataFrame, group: str, y: str = "y", pred: str = "pred", p: str = "p") -> DataFrame:
     """Size, accuracy, AUC and positive rate per group."""
     base = fairness_by_group(df, [group], y, pred).select(group, F.col("n").alias("size"), "accuracy", F.col("selection_rate").alias("positive_rate"))
-    return base.join(ranking_metrics(df, [group], y, p).select(group, F.col("roc_auc").alias("auc")), group)
+    return null_safe_join(base, ranking_metrics(df, [group], y, p).select(group, F.col("roc_auc").alias("auc")), [group])
 
 
 def reweighing(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -71,8 +72,8 @@ def reweighing(df: DataFrame, group: str, label: str) -> DataFrame:
     g = cells.groupBy(group).agg(F.sum("n").alias("ng"))
     y = cells.groupBy(label).agg(F.sum("n").alias("ny"))
     total = cells.agg(F.sum("n")).scalar()
-    w = cells.join(g, group).join(y, label).select(group, label, (F.col("ng") * F.col("ny") / (total * F.col("n"))).alias("weight"))
-    return join_dimension(df, w, [group, label], unique=True)
+    w = null_safe_join(null_safe_join(cells, g, [group]), y, [label]).select(group, label, (F.col("ng") * F.col("ny") / (total * F.col("n"))).alias("weight"))
+    return null_safe_join(df, w, [group, label])
 
 
 def inverse_frequency_weights(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,14 +12,13 @@ from edlens.functions import scalars as S
 
 KEYS = ["id_student", "code_module", "code_presentation"]
 EARLY_DAY = 28
-BROADCAST_ROWS = 200_000
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, unique: bool = False) -> DataFrame:
+def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", unique: bool = False) -> DataFrame:
     """Join metadata to a fact table after removing duplicate keys from the metadata (unless ``unique``).
 
-    The dimension is broadcast only when a bounded count shows that it is small; otherwise the
-    join is shuffled and adaptive execution splits skewed partitions.
+    No count and no hint: adaptive execution broadcasts the dimension if its bytes allow it, and splits
+    skewed partitions of a shuffled join.
     """
     rest = [c for c in dim.columns if c not in keys]
     if unique:
@@ -28,8 +27,7 @@ def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str =
         dim = dim.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*")
     else:
         dim = dim.distinct()
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return fact.join(F.broadcast(dim) if small else dim, keys, how)
+    return fact.join(dim, keys, how)
 
 
 def derive_labels(students: DataFrame, registrations: DataFrame, how: str = "left", pass_values: tuple[str, ...] = S.PASS_VALUES) -> DataFrame:
@@ -152,11 +150,20 @@ def drop_missing(df: DataFrame, subset: list[str]) -> tuple[DataFrame, DataFrame
 
 
 def one_to_one_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join that fails when either side repeats a key."""
-    for side, df in (("left", left), ("right", right)):
-        if not df.groupBy(*keys).count().where(F.col("count") > 1).isEmpty():
-            raise ValueError(f"{side} side repeats {keys}")
-    return left.join(right, keys)
+    """Inner join that fails, when it runs, if either side repeats a key.
+
+    Each side is one aggregate by key, whose shuffle the join reuses.
+    """
+
+    def once(side: str, df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        row = F.first(F.struct(*rest)) if rest else F.lit(None)
+        got = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), row.alias("__row"))
+        repeated = F.raise_error(F.lit(f"{side} side repeats {keys}")).cast(got.schema["__row"].dataType)
+        got = got.withColumn("__row", F.when(F.col("__n") == 1, F.col("__row")).otherwise(repeated))
+        return got.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+
+    return once("left", left).join(once("right", right), keys)
 
 
 def shared_keys(frames: list[DataFrame], defaults: list[str]) -> list[str]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edlens.operators.ordered import MAX_GROUP_ROWS, in_order
+from edlens.operators.ordered import MAX_GROUP_ROWS, in_order, null_safe_join
 from edlens.operators.quantiles import quantiles
 
 
@@ -77,7 +77,7 @@ def score_curve(df: DataFrame, by: list[str], y: str = "y", p: str = "p", max_gr
     curve = score_runs(df, by, y, p, max_group_rows)
     totals = score_cells(df, by, y, p).groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("n").alias("total"))  # same shuffle as the cells
     if by:
-        return curve.join(totals, by)
+        return null_safe_join(curve, totals, by)
     t = totals.select(F.struct("P", "total").alias("t")).scalar()
     return curve.select("*", t["P"].alias("P"), t["total"].alias("total"))
 
@@ -152,4 +152,4 @@ def improvement_over_baseline(results: DataFrame, name: str, baseline: str, metr
 def residuals_by_group(df: DataFrame, by: list[str], y: str, yhat: str) -> DataFrame:
     r = df.select(*by, (F.col(y) - F.col(yhat)).alias("residual"))
     q = quantiles(r, by, "residual", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return r.groupBy(*by).agg(F.avg("residual").alias("mean"), F.count("residual").alias("n")).join(q, by)
+    return r.groupBy(*by).agg(F.avg("residual").alias("mean"), F.count("residual").alias("n")).transform(lambda x: null_safe_join(x, q, by))

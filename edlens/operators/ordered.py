@@ -33,6 +33,8 @@ def as_number(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.col(name).cast("timestamp").cast("double")
+    if isinstance(kind, T.BooleanType):
+        return F.col(name).cast("int").cast("double")
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
     if isinstance(kind, T.StringType):
@@ -54,13 +56,13 @@ def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
 
 
 def _bucket(df: DataFrame, c: str, cuts: list[float], out: str) -> DataFrame:
-    """0-based index of the left-closed range a number falls in; -1 for null."""
+    """0-based index of the left-closed range a number falls in; -1 for null, one more than the last for NaN."""
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     if len(splits) == 2:
-        return df.withColumn(out, F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint"))
-    filled = df.withColumn("__filled", F.coalesce(c, F.lit(0.0)))
+        return df.withColumn(out, F.when(F.col(c).isNull(), F.lit(-1)).when(F.isnan(c), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    filled = df.withColumn("__filled", F.when(F.isnan(c), F.lit(0.0)).otherwise(F.coalesce(c, F.lit(0.0))))
     got = Bucketizer(splits=splits, inputCol="__filled", outputCol="__idx").transform(filled)
-    index = F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.col("__idx")).cast("bigint")
+    index = F.when(F.col(c).isNull(), F.lit(-1)).when(F.isnan(c), F.lit(len(splits) - 1)).otherwise(F.col("__idx")).cast("bigint")
     return got.withColumn(out, index).drop("__filled", "__idx")
 
 
@@ -70,14 +72,15 @@ def cut_large_groups(df: DataFrame, keys: list[str], order: list[str], max_group
     Ranges follow the first ordering column. A value so frequent that it fills ranges alone (a day
     with a billion clicks) gets a range of its own, which is cut further along the second column.
     """
+    on = as_number(df, order[0])  # refuses the types that cannot be cut, at any size
     top, total = largest_group(df, keys)
     if top <= max_group_rows:
         return None
     ranges = min(MAX_RANGES, max(2, -(-4 * total // max_group_rows)))
     probs = [i / ranges for i in range(1, ranges)]
-    quantile = lambda c: F.percentile_approx(c, probs, 10 * MAX_RANGES)
-    numbered = df.withColumn("__on", as_number(df, order[0]))
-    cuts, biggest = numbered.agg(quantile("__on"), F.max(F.abs("__on"))).first()
+    quantile = lambda c: F.percentile_approx(F.when(~F.isnan(c), F.col(c)), probs, 10 * MAX_RANGES)
+    numbered = df.withColumn("__on", on)
+    cuts, biggest = numbered.agg(quantile("__on"), F.max(F.when(~F.isnan("__on"), F.abs("__on")))).first()
     cuts = cuts or []
     frequent = [v for v, n in Counter(cuts).items() if n > 1]
     numbered = _bucket(numbered, "__on", [*cuts, *[math.nextafter(v, math.inf) for v in frequent]], "__b1")

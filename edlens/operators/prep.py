@@ -94,8 +94,13 @@ def levels_of(df: DataFrame, c: str, limit: int = 1000) -> list:
 
 def one_hot(df: DataFrame, c: str, levels: list, *, drop_first: bool = False, prefix: str | None = None) -> DataFrame:
     prefix = c if prefix is None else prefix
-    name = lambda v: re.sub(r"\W+", "_", str(v)).strip("_")
-    flags = [F.coalesce((F.col(c) == F.lit(v)), F.lit(False)).cast("int").alias(f"{prefix}_{name(v)}") for v in levels[int(drop_first) :]]
+    names: dict = {}
+    for v in levels:  # values that differ in other characters only get numbered names
+        name = re.sub(r"\W+", "_", str(v)).strip("_")
+        while name in names.values():
+            name += "_2"
+        names[v] = name
+    flags = [F.coalesce((F.col(c) == F.lit(v)), F.lit(False)).cast("int").alias(f"{prefix}_{names[v]}") for v in levels[int(drop_first) :]]
     return df.select(*[x for x in df.columns if x != c], *flags)
 
 

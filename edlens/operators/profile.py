@@ -147,11 +147,11 @@ def cramers_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def quantile_bin(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
-    """Replace numeric columns by the index of their quantile bin (number of cut points below)."""
+    """Replace numeric columns by the index of their quantile bin (number of cut points below); null stays null."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
     cuts = quantiles(long, ["column"], "value", {f"q{i}": i / k for i in range(1, k)}).collect()  # one row per column
     at = {r["column"]: [r[f"q{i}"] for i in range(1, k)] for r in cuts}
-    binned = {c: sum((F.when(F.col(c) > v, 1).otherwise(0) for v in at[c]), F.lit(0)) for c in cols}
+    binned = {c: F.when(F.col(c).isNotNull(), sum((F.when(F.col(c) > v, 1).otherwise(0) for v in at.get(c, [])), F.lit(0))) for c in cols}
     return df.withColumns(binned)
 
 

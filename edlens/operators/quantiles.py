@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edlens.operators.ordered import in_order
+from edlens.operators.ordered import in_order, null_safe_join
 
 MAX_DISTINCT = 2_000_000
 
@@ -34,7 +34,7 @@ def quantiles(
     ranked = in_order(cells, by, ["__v"], running={"__cum": "__n"}, max_group_rows=max_distinct)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
     if by:
-        ranked = ranked.join(sizes, by)
+        ranked = null_safe_join(ranked, sizes, by)
     else:
         ranked = ranked.withColumn("__total", sizes.scalar())
     picks = []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edlens.functions import scalars as S
-from edlens.operators.ordered import MAX_GROUP_ROWS, in_order
+from edlens.operators.ordered import MAX_GROUP_ROWS, in_order, null_safe_join
 
 SEGMENT_STEPS = 10_000
 LIMIT_PUSHDOWN = 1000  # Spark trims groups before the shuffle for row_number bounds below this
@@ -42,7 +42,8 @@ def last_steps(df: DataFrame, keys: list[str], order: list[str], n: int, max_gro
         w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
         return df.withColumn("__back", F.row_number().over(w)).where(F.col("__back") <= n).drop("__back")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    placed = in_order(df, keys, order, position="__pos", max_group_rows=max_group_rows).join(sizes, keys)
+    placed = in_order(df, keys, order, position="__pos", max_group_rows=max_group_rows)
+    placed = null_safe_join(placed, sizes, keys)
     return placed.where(F.col("__pos") > F.col("__size") - n).drop("__pos", "__size")
 
 
@@ -118,8 +119,11 @@ def standardize(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def average_rank(df: DataFrame, block: list[str], value: str, name: str = "rank", **kw) -> DataFrame:
-    """Rank inside the block, ties sharing the mean rank; equal values are counted before ordering."""
-    cells = df.groupBy(*block, value).agg(F.count(F.lit(1)).alias("__n"))
+    """Rank inside the block, ties sharing the mean rank; equal values are counted before ordering.
+
+    A null value has no rank and does not count; a null block is a block like any other.
+    """
+    cells = df.where(F.col(value).isNotNull()).groupBy(*block, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = in_order(cells, block, [value], running={"__upto": "__n"}, **kw)
     ranked = ranked.select(*block, value, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name))
-    return df.join(ranked, [*block, value])
+    return null_safe_join(df, ranked, [*block, value], "left")

@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edlens.functions.hashing import key_unit
-from edlens.operators.ordered import in_order, shuffled_position
+from edlens.operators.ordered import in_order, shuffled_position, null_safe_join
 from edlens.operators.sequences import first_per_key
 
-GREEDY_GROUPS = 20_000
 
 
 def check_leakage(assigned: DataFrame, key: str, splits: list[str], split: str = "split") -> DataFrame:
@@ -38,12 +37,16 @@ def resolve_overlap(assigned: DataFrame, key: str, on_overlap: str = "report") -
 
 
 def chronological_split(df: DataFrame, period: str, key: str = "id_student", on_overlap: str = "report") -> DataFrame:
-    """Last period is test, the one before it validation, earlier ones training; fewer than three: all training."""
+    """Last period is test, the one before it validation, earlier ones training; fewer than three: all training.
+
+    Rows without a period belong to no late one: they are training rows.
+    """
     order = df.select(period).where(F.col(period).isNotNull()).distinct()
     order = order.select(period, F.row_number().over(Window.orderBy(F.desc(period))).alias("__back"))
     n = order.agg(F.count(F.lit(1))).scalar()
     name = F.when(n < 3, "train").when(F.col("__back") == 1, "test").when(F.col("__back") == 2, "val").otherwise("train")
-    return resolve_overlap(df.join(order.select(period, name.alias("split")), period), key, on_overlap)
+    placed = df.join(order.select(period, name.alias("split")), period, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    return resolve_overlap(placed, key, on_overlap)
 
 
 def by_share(pos: str | Column, size: str | Column, shares: list[tuple[str, float]]) -> Column:
@@ -103,26 +106,16 @@ def group_key(df: DataFrame, kind: str = "module_presentation") -> Column:
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Fold per group, balanced by size: largest group first into the lightest fold.
+    """Fold per group, balanced by size: groups ranked by size are dealt to the folds back and forth.
 
-    The greedy pass reads one row per group and runs on the driver only while there are few groups;
-    beyond that, groups ranked by size are dealt to the folds back and forth.
+    One rule at every size, without a pass over groups on the driver. A greedy deal (the next group into the
+    lightest fold) can differ from it in single groups. A null group is a group.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    some = sizes.orderBy(F.desc("n"), group).limit(GREEDY_GROUPS + 1).collect()
-    if len(some) <= GREEDY_GROUPS:
-        load = [0] * k
-        rows = []
-        for r in some:
-            f = load.index(min(load))
-            load[f] += r["n"]
-            rows.append((r[group], f))
-        folds = df.sparkSession.createDataFrame(rows, f"`{group}` {sizes.schema[group].dataType.simpleString()}, fold int")
-        return df.join(F.broadcast(folds), group)
     ranked = in_order(sizes.withColumn("__neg", -F.col("n")), [], ["__neg", group], position="__p")
     lap, at = F.floor((F.col("__p") - 1) / k), (F.col("__p") - 1) % k
     folds = ranked.select(group, F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
-    return df.join(folds, group)
+    return null_safe_join(df, folds, [group])
 
 
 def stratified_kfold(df: DataFrame, key: list[str], strata: list[str], k: int = 5, seed: int = 42) -> DataFrame:

@@ -178,10 +178,8 @@ def _opt(metric, expr, ok, low):
     " " + _opt("f1", "2 * pr * re / (pr + re + 1e-8)", "true", True), _opt("precision", "pr", "re >= 0.7", True), _opt("recall", "re", "pr >= 0.7", True),
     _opt("youden", "yo", "true", False), _opt("accuracy", "ac", "true", False), _opt("balanced_accuracy", "(yo + 1) / 2", "true", False)]))
 def _(t):
-    parts = [C.optimal_threshold(t.long_predictions, ["model"], m) for m in ("f1", "precision", "recall", "youden", "accuracy", "balanced_accuracy")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    metrics = ("f1", "precision", "recall", "youden", "accuracy", "balanced_accuracy")
+    out = C.best_thresholds(t.long_predictions, ["model"], metrics)
     return rounded(out)
 
 

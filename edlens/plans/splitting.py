@@ -60,11 +60,9 @@ def _(t):
     return L.resolve_overlap(a, "id_student", "train_excludes_test").select("event_id", "split")
 
 
-@query("group_kfold", "clicks", """WITH RECURSIVE g AS (SELECT concat_ws('_', code_module, code_presentation) AS grp, count(*) AS n FROM clicks GROUP BY 1),
- o AS (SELECT *, row_number() OVER (ORDER BY n DESC, grp) AS i FROM g),
- f(i, grp, fold, load) AS (SELECT 0::BIGINT, ''::VARCHAR, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL
- SELECT o.i, o.grp, list_position(f.load, list_min(f.load)) - 1, list_transform(range(1, 6), lambda x: f.load[x] + CASE WHEN x = list_position(f.load, list_min(f.load)) THEN o.n ELSE 0 END) FROM f JOIN o ON o.i = f.i + 1)
- SELECT f.grp, f.fold::INTEGER AS fold, g.n FROM f JOIN g ON g.grp = f.grp""")
+@query("group_kfold", "clicks", """WITH g AS (SELECT concat_ws('_', code_module, code_presentation) AS grp, count(*) AS n FROM clicks GROUP BY 1),
+ o AS (SELECT *, row_number() OVER (ORDER BY n DESC, grp) - 1 AS i FROM g)
+ SELECT grp, (CASE WHEN i // 5 % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::INTEGER AS fold, n FROM o""")
 def _(t):
     keyed = t.clicks.withColumn("grp", L.group_key(t.clicks))
     return L.group_kfold(keyed, "grp", 5).groupBy("grp", "fold").agg(F.count(F.lit(1)).alias("n"))

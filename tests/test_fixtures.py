@@ -176,12 +176,6 @@ def test_leakage_found(spark):
 def test_groups_never_span_folds(twelve):
     f = L.group_kfold(twelve.withColumn("g", L.group_key(twelve)), "g", 3)
     assert f.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0 and f.count() == 12
-    L.GREEDY_GROUPS, keep = 2, L.GREEDY_GROUPS
-    try:
-        d = L.group_kfold(twelve.withColumn("g", L.group_key(twelve)), "g", 3)
-        assert d.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0 and d.count() == 12
-    finally:
-        L.GREEDY_GROUPS = keep
 
 
 def test_null_keys_and_recodes(spark):
@@ -194,8 +188,8 @@ def test_null_keys_and_recodes(spark):
 
 def test_one_to_one_join_refuses_duplicates(spark):
     a = spark.createDataFrame([(1, 2.0), (1, 3.0)], "k long, v double")
-    with pytest.raises(ValueError):
-        X.one_to_one_join(a, a.withColumnRenamed("v", "w"), ["k"])
+    with pytest.raises(Exception, match="left side repeats"):
+        X.one_to_one_join(a, a.limit(1).withColumnRenamed("v", "w"), ["k"]).collect()
 
 
 def test_last_steps_beyond_pushdown(spark):

@@ -43,6 +43,15 @@ def test_poisson_weights_have_the_right_moments(spark):
 def test_beta_draws(spark):
     r = spark.range(4000).select(N.beta_symmetric(["id"], 0.4, 1).alias("b")).agg(F.avg("b").alias("m"), F.var_pop("b").alias("v"), F.min("b"), F.max("b")).first()
     assert r.m == pytest.approx(0.5, abs=0.03) and r.v == pytest.approx(0.25 / 1.8, rel=0.08)
+    for a in (0.05, 2.0, 5.0):
+        r = spark.range(4000).select(N.beta_symmetric(["id"], a, 1).alias("b")).agg(F.avg("b").alias("m"), F.var_pop("b").alias("v"), F.count_if(F.col("b") == 0.5).alias("half")).first()
+        assert r.m == pytest.approx(0.5, abs=0.03) and r.v == pytest.approx(0.25 / (2 * a + 1), rel=0.08) and r.half == 0
+
+
+def test_smote_repeats_a_single_row(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(4)] + [(9, [5.0, 5.0], 1)], "k long, x array<double>, y int")
+    made = N.smote(df, "k", "x", "y", k=2).collect()
+    assert [(r.k, r.x) for r in made] == [(9, [5.0, 5.0])] * 3
 
 
 @pytest.fixture(scope="module")

@@ -69,7 +69,8 @@ def test_in_order_same_after_repartition(hot):
 def test_quantiles_by_counting(hot):
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.975, "e": 1.0}
     exact = {r.k: r for r in quantiles(hot, ["k"], "t", probs).collect()}
-    counted = {r.k: r for r in quantiles(hot.where("k IS NOT NULL"), ["k"], "t", probs, max_distinct=20).collect()}
+    counted = {r.k: r for r in quantiles(hot, ["k"], "t", probs, max_distinct=20).collect()}
+    assert set(counted) == set(exact) and None in counted
     for k, row in counted.items():
         assert [round(row[p], 9) for p in probs] == [round(exact[k][p], 9) for p in probs]
     one = quantiles(hot, [], "t", probs, max_distinct=20).first()
@@ -120,6 +121,23 @@ def test_score_curve_and_ks_in_ranges(hot):
 
 
 def test_average_rank_with_ties(hot):
-    got = {r.id: r.rank for r in Q.average_rank(hot.where("k IS NOT NULL AND v IS NOT NULL").select("k", "v", "id"), ["k"], "v", max_group_rows=3).collect()}
-    ref = {r.id: r.rank for r in Q.average_rank(hot.where("k IS NOT NULL AND v IS NOT NULL").select("k", "v", "id"), ["k"], "v").collect()}
+    got = {r.id: r.rank for r in Q.average_rank(hot.select("k", "v", "id"), ["k"], "v", max_group_rows=3).collect()}
+    ref = {r.id: r.rank for r in Q.average_rank(hot.select("k", "v", "id"), ["k"], "v").collect()}
     assert got == ref
+
+
+def test_nan_and_boolean_order_in_both_branches(spark):
+    rows = [(k, float("nan") if i % 5 == 0 else None if i % 7 == 0 else i * 37 % 11 / 2.0, i % 2 == 0, i) for k in ("a", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, v double, b boolean, id long")
+    for order in (["v", "id"], ["b", "id"]):
+        small, large = ({(r.k, r.id): r.p for r in in_order(df, ["k"], order, position="p", max_group_rows=n).collect()} for n in (1000, 10))
+        assert small == large
+    text = spark.createDataFrame([([1], 1)], "a array<int>, id long")
+    for n in (1000, 0):
+        with pytest.raises(TypeError):
+            in_order(text, [], ["a"], position="p", max_group_rows=n)
+
+
+def test_null_keys_of_last_steps(spark):
+    df = spark.createDataFrame([(k, i) for k in ("a", None) for i in range(5)], "k string, i int")
+    assert Q.last_steps(df, ["k"], ["i"], 3).count() == Q.last_steps(df, ["k"], ["i"], 1500).count() - 4 == 6
