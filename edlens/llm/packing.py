@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from edlens.llm import shared as S
 
-#: Words whose tokens a Python worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 300_000
+#: Words whose tokens a Python worker remembers, half of them new and half older; results do not depend on it.
+REMEMBERED = 400_000
 #: Bytes of text tokenised at once.
 AT_ONCE = 1 << 21
 #: Pieces packed in one task, and the fill (in eighths) under which a sequence is opened again in the next round.
@@ -25,24 +25,52 @@ TOKENIZERS: dict = {}
 
 
 class WordIds(dict):
-    """Little-endian 32-bit token ids of words, for a tokenizer in which white space ends every token."""
+    """Little-endian 32-bit token ids of words, for a tokenizer in which white space ends every token.
+
+    Words are encoded many at once, a mark between them; words that hold the mark are encoded by themselves.
+    When full, the words of the older half that are not asked for again are forgotten.
+    """
+
+    MARK, JOINED = "0", 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.older: dict[bytes, bytes] = {}
+        self.batch = Tokenizer.from_file(path).encode_batch_fast
+        self.mark = self.encode([self.MARK])[0]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.batch(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self]
-        if len(self) + len(fresh) > REMEMBERED:
+        """Makes the ids of all the words known."""
+        missing = [w for w in words if w not in self]
+        if len(self) + len(missing) > REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
-            fresh = list(words)
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+            missing = list(words)
+        older = self.older
+        self.update((w, older[w]) for w in missing if w in older)
+        fresh = [w for w in missing if w not in older]
+        mark = self.MARK.encode()
+        plain = [w for w in fresh if mark not in w] if len(self.mark) == 1 else []
+        alone = [w for w in fresh if mark in w] if len(self.mark) == 1 else fresh
+        for i in range(0, len(plain), 20 * self.JOINED):
+            groups = [plain[k : k + self.JOINED] for k in range(i, min(i + 20 * self.JOINED, len(plain)), self.JOINED)]
+            for group, ids in zip(groups, self.encode([(b" " + mark + b" ").join(g).decode() for g in groups])):
+                found = np.array(ids, "<u4")
+                edges = np.flatnonzero(found == self.mark[0])
+                if len(edges) != len(group) - 1:
+                    alone += group
+                    continue
+                raw = found.tobytes()
+                self.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(group, [0, *(edges + 1).tolist()], [*edges.tolist(), len(found)]))
+        for i in range(0, len(alone), 20_000):
+            part = alone[i : i + 20_000]
+            self.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(part, self.encode([w.decode() for w in part])))
 
 
 def token_bytes(column: pa.Array, path: str) -> Iterator[bytes]:
