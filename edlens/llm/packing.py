@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from edlens.llm import shared as S
 
 #: Words whose tokens a Python worker remembers, half of them new and half older; results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Bytes of text tokenised at once.
 AT_ONCE = 1 << 21
 #: Pieces packed in one task, and the fill (in eighths) under which a sequence is opened again in the next round.
@@ -27,11 +28,17 @@ TOKENIZERS: dict = {}
 class WordIds(dict):
     """Little-endian 32-bit token ids of words, for a tokenizer in which white space ends every token.
 
-    Words are encoded many at once, a mark between them; words that hold the mark are encoded by themselves.
-    When full, the words of the older half that are not asked for again are forgotten.
+    If the tokenizer's file says that it takes small letters and parts letters from signs (``APART``), a word's signs
+    at the end are taken off, ASCII capitals made small, and words of letters encoded many at once, cut after the ids that
+    end a word. Other words are encoded by themselves. When full, the words of the older half that are not
+    asked for again are forgotten.
     """
 
-    MARK, JOINED = "0", 500
+    #: Fixed value: the end of a pattern that parts letters, digits and signs.
+    APART = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: ASCII signs but the apostrophe, which may belong to letters after it.
+    SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+    JOINED = 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,38 +46,70 @@ class WordIds(dict):
 
         super().__init__()
         self.older: dict[bytes, bytes] = {}
-        self.batch = Tokenizer.from_file(path).encode_batch_fast
-        self.mark = self.encode([self.MARK])[0]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.batch(texts, add_special_tokens=False)]
+        tokenizer = Tokenizer.from_file(path)
+        self.batch = tokenizer.encode_batch_fast
+        rules = json.loads(tokenizer.to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        splits = [x["pattern"].get("Regex", "") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        small = any(x["type"] == "Lowercase" for x in (rules["normalizer"] or {}).get("normalizers", []))
+        self.apart = bool(suffix) and small and len(splits) == 1 and splits[0].endswith(self.APART)
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.batch(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
         """Makes the ids of all the words known."""
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > REMEMBERED // 2:
+        if len(self) > REMEMBERED // 2:
             self.older = dict(self)
             self.clear()
-            missing = list(words)
-        older = self.older
-        self.update((w, older[w]) for w in missing if w in older)
-        fresh = [w for w in missing if w not in older]
-        mark = self.MARK.encode()
-        plain = [w for w in fresh if mark not in w] if len(self.mark) == 1 else []
-        alone = [w for w in fresh if mark in w] if len(self.mark) == 1 else fresh
-        for i in range(0, len(plain), 20 * self.JOINED):
-            groups = [plain[k : k + self.JOINED] for k in range(i, min(i + 20 * self.JOINED, len(plain)), self.JOINED)]
-            for group, ids in zip(groups, self.encode([(b" " + mark + b" ").join(g).decode() for g in groups])):
-                found = np.array(ids, "<u4")
-                edges = np.flatnonzero(found == self.mark[0])
-                if len(edges) != len(group) - 1:
-                    alone += group
+        fresh = self.unknown(words)
+        if not self.apart:
+            return self.learn_alone(fresh)
+        letters = [w for w in fresh if w.isalpha() and w.islower()]
+        parted = [(w, *self.part(w)) for w in fresh if not (w.isalpha() and w.islower())]
+        self.learn_joined(letters)
+        wanted = self.unknown({x for _, *both in parted for x in both})
+        letters = [w for w in wanted if w.isalpha() or ((t := w.decode()).isalpha() and t.islower())]
+        self.learn_alone(wanted.difference(letters))
+        self.learn_joined(letters)
+        self.update([(w, self[a] + self[b]) for w, a, b in parted if b or a != w])
+
+    def unknown(self, words: set[bytes]) -> set[bytes]:
+        """The words neither known nor remembered; the remembered ones become known."""
+        missing = words.difference(filter(self.__contains__, words))
+        again = [w for w in missing if w in self.older]
+        self.update(zip(again, map(self.older.__getitem__, again)))
+        return missing.difference(again)
+
+    def part(self, w: bytes) -> tuple[bytes, bytes]:
+        """The word in ASCII small letters and its signs at the end, if the tokenizer surely parts them."""
+        core = w.rstrip(self.SIGNS)
+        if core.isascii():
+            return (core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, b"")
+        if len(core) == len(w):
+            return w, b""
+        last = core.decode()[-1]
+        return (core, w[len(core) :]) if last.isalpha() and last.islower() else (w, b"")
+
+    def learn_joined(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 20 * self.JOINED):
+            groups = [words[k : k + self.JOINED] for k in range(i, min(i + 20 * self.JOINED, len(words)), self.JOINED)]
+            for group, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups])):
+                edges = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(edges) != len(group):  # each word has one end at least
+                    self.learn_alone(group)
                     continue
-                raw = found.tobytes()
-                self.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(group, [0, *(edges + 1).tolist()], [*edges.tolist(), len(found)]))
-        for i in range(0, len(alone), 20_000):
-            part = alone[i : i + 20_000]
-            self.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(part, self.encode([w.decode() for w in part])))
+                raw = ids.tobytes()
+                self.update(zip(group, [raw[x:y] for x, y in zip([0, *edges], edges)]))
+
+    def learn_alone(self, words: Iterable[bytes]) -> None:
+        words = list(words)
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            self.update(zip(part, [ids.tobytes() for ids in self.encode([w.decode() for w in part])]))
 
 
 def token_bytes(column: pa.Array, path: str) -> Iterator[bytes]:
