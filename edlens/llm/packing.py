@@ -30,7 +30,7 @@ class WordIds(dict):
 
     If the tokenizer's file says that it takes small letters and parts letters from signs (``APART``), a word's signs
     at the end are taken off, ASCII capitals made small, and words of letters encoded many at once, cut after the ids that
-    end a word. Other words are encoded by themselves. When full, the words of the older half that are not
+    end a word. Other words, and those with the string of an added token, are encoded by themselves. When full, the words of the older half that are not
     asked for again are forgotten.
     """
 
@@ -52,7 +52,8 @@ class WordIds(dict):
         suffix = rules["model"].get("end_of_word_suffix")
         splits = [x["pattern"].get("Regex", "") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         small = any(x["type"] == "Lowercase" for x in (rules["normalizer"] or {}).get("normalizers", []))
-        self.apart = bool(suffix) and small and len(splits) == 1 and splits[0].endswith(self.APART)
+        self.added = [x["content"].lower().encode() for x in rules["added_tokens"]]
+        self.apart = bool(suffix) and small and len(splits) == 1 and splits[0].endswith(self.APART) and not any(x.isalpha() for x in self.added)
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
@@ -86,6 +87,9 @@ class WordIds(dict):
 
     def part(self, w: bytes) -> tuple[bytes, bytes]:
         """The word in ASCII small letters and its signs at the end, if the tokenizer surely parts them."""
+        low = w.lower()
+        if any(x in low for x in self.added):
+            return w, b""
         core = w.rstrip(self.SIGNS)
         if core.isascii():
             return (core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, b"")

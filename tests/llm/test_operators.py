@@ -366,3 +366,17 @@ def test_pipeline(spark, docs):
         if k == 4:
             assert {r.doc_id for r in out.collect()} == {i for i, _ in rows}
         now = out
+
+
+def test_word_ids_equal_the_library():
+    """Words of letters, signs, capitals, marks and added tokens, encoded together, have the ids of each alone."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    encode = Tokenizer.from_file(path).encode
+    draw = random.Random(3)
+    parts = [*"aAbzZ09'.,!&#\"-_éÉßİıſḰ̸ͅकक़ǅ中»…ﬁ ​\x1c\x85ª²٣", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    words = {w for _ in range(20_000) for w in "".join(draw.choices(parts, k=draw.randint(1, 7))).encode().split()}
+    known = packing.WordIds(path)
+    known.learn(words)
+    assert [w for w in words if known[w] != struct.pack(f"<{len(x := encode(w.decode(), add_special_tokens=False).ids)}I", *x)] == []
