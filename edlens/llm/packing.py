@@ -70,7 +70,9 @@ class WordIds(dict):
         if not self.apart:
             return self.learn_alone(fresh)
         letters = [w for w in fresh if w.isalpha() and w.islower()]
-        parted = [(w, *self.part(w)) for w in fresh if not (w.isalpha() and w.islower())]
+        others = [w for w in fresh if not (w.isalpha() and w.islower())]
+        added = set(filter(self.holds_added, others)) if self.holds_added(b" ".join(others)) else ()
+        parted = [(w, w, b"") if w in added else (w, *self.part(w)) for w in others]
         self.learn_joined(letters)
         wanted = self.unknown({x for _, *both in parted for x in both})
         letters = [w for w in wanted if w.isalpha() or ((t := w.decode()).isalpha() and t.islower())]
@@ -85,11 +87,12 @@ class WordIds(dict):
         self.update(zip(again, map(self.older.__getitem__, again)))
         return missing.difference(again)
 
+    def holds_added(self, text: bytes) -> bool:
+        low = text.lower()
+        return any(x in low for x in self.added)
+
     def part(self, w: bytes) -> tuple[bytes, bytes]:
         """The word in ASCII small letters and its signs at the end, if the tokenizer surely parts them."""
-        low = w.lower()
-        if any(x in low for x in self.added):
-            return w, b""
         core = w.rstrip(self.SIGNS)
         if core.isascii():
             return (core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, b"")
