@@ -11,9 +11,8 @@ WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
 #: Base limits: fewest words, and the share (in percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: A line is frequent in a host above this many distinct documents and this share of them. Lines
-#: of more characters are passages, which the duplicate operators judge.
-LINE_DOCS, LINE_SHARE, LINE_CHARS = 20, 0.005, 160
+#: A line is frequent in a host above this many distinct documents and this share of them.
+LINE_DOCS, LINE_SHARE = 20, 0.005
 #: A document is depleted if less than this share of its characters in lines is left.
 LEFT_SHARE = 0.2
 
@@ -41,17 +40,16 @@ def normalised(line: Column) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
-    """A written row per document: counts, and its distinct short lines with their characters."""
+    """A written row per document: counts, and the hashes of its lines with their characters."""
     body = S.text_of(text)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), body.alias("text"))
     rows = rows.withColumn("words", S.words_of(F.col("text"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(S.SPACE_CHARS)) != ""))
-    short = F.filter("lines", lambda x: F.length(x) <= LINE_CHARS)
     rows = repeated_words(rows, "words").select(
         "id", "host", F.xxhash64("text").alias("mark"), F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS + "+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("line_chars"),
-        F.transform(short, lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.length(x).alias("chars"))).alias("short"))
+        F.transform("lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.length(x).alias("chars"))).alias("hashed"))
     return S.written(rows.withColumn("row", F.monotonically_increasing_id()), "quality")
 
 
@@ -65,7 +63,7 @@ def frequent_lines(rows: DataFrame, lines: DataFrame, docs_limit: int, share: fl
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", docs_limit: int = LINE_DOCS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
     """One row per document: ``id``, ``mark``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``frequent_chars``, ``base_failed``, ``kept``.
 
-    Lines of at most 160 characters are normalised (small letters, single spaces) and hashed; distinct documents per
+    Lines of any length are normalised (small letters, single spaces) and hashed; distinct documents per
     host are counted, and the lines above both limits taken out. A document fails the base rules, or is depleted when less than
     ``left_share`` of the characters in its lines would be left; otherwise it is kept.
 
@@ -73,7 +71,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
     each; equal texts count once as documents. Other columns are ignored.
     """
     rows = statistics(docs, id_col, text, host)
-    each = rows.select("row", "host", "mark", F.explode("short").alias("s")).select("row", "host", "mark", "s.line", "s.chars")
+    each = rows.select("row", "host", "mark", F.explode("hashed").alias("s")).select("row", "host", "mark", "s.line", "s.chars")
     lines = each.groupBy("row", "host", "mark", "line").agg(F.sum("chars").alias("chars"))
     gone = lines.join(frequent_lines(rows, lines, docs_limit, share), ["host", "line"]).groupBy("row").agg(F.sum("chars").alias("frequent_chars"))
     out = rows.join(gone, "row", "left").withColumn("frequent_chars", F.coalesce("frequent_chars", F.lit(0).cast("long")))

@@ -146,6 +146,17 @@ def test_frequent_lines(spark):
     assert all(kept[i] for i in range(30)) and not kept[100] and kept[101]
 
 
+def test_frequent_lines_of_any_length(spark):
+    """A notice of more than 160 characters counts like a short one: documents with little else go."""
+    rng = random.Random(3)
+    notice = "Legal notice " + " ".join(str(k) for k in range(100))
+    own = [" ".join(str(rng.random()) for _ in range(60)) for _ in range(30)]
+    rows = [(i, notice + "\n" + t, "h") for i, t in enumerate(own)] + [(100, notice.upper() + "\na b c d e f g h i j", "h"), (101, notice + "\na b c d e f g h i j k", "other")]
+    got = {r.id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(notice) > 160 and all(got[i].kept and got[i].frequent_chars == len(notice) for i in range(30))
+    assert not got[100].kept and got[101].kept and got[101].frequent_chars == 0
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
