@@ -14,8 +14,10 @@ from edlens.llm.shared import importable, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, unchanged."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality rules keep, without the lines frequent in their host; n_chars follows."""
+    kind = docs.schema["n_chars"].dataType
+    kept = quality_rules.keep_good(docs.withColumn("__before", F.length("text")))
+    return kept.withColumn("n_chars", F.when(F.length("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

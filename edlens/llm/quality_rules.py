@@ -60,27 +60,42 @@ def frequent_lines(rows: DataFrame, lines: DataFrame, docs_limit: int, share: fl
     return per_line.join(per_host, "host").where(F.col("n") > F.col("all") * share).select("host", "line")
 
 
+def verdicts(docs: DataFrame, id_col: str, text: str, host: str, docs_limit: int, share: float, left_share: float) -> DataFrame:
+    """The rows of ``judge`` with ``host`` and ``gone``, the hashes of the document's frequent lines (null without any)."""
+    rows = statistics(docs, id_col, text, host)
+    each = rows.select("row", "host", "mark", F.explode("hashed").alias("s")).select("row", "host", "mark", "s.line", "s.chars")
+    lines = each.groupBy("row", "host", "mark", "line").agg(F.sum("chars").alias("chars"))
+    gone = lines.join(frequent_lines(rows, lines, docs_limit, share), ["host", "line"]).groupBy("row").agg(F.sum("chars").alias("frequent_chars"), F.collect_list("line").alias("gone"))
+    out = rows.join(gone, "row", "left").withColumn("frequent_chars", F.coalesce("frequent_chars", F.lit(0).cast("long")))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    left = (F.col("line_chars") - F.col("frequent_chars")) >= left_share * F.col("line_chars")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & left)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", docs_limit: int = LINE_DOCS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
     """One row per document: ``id``, ``mark``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``frequent_chars``, ``base_failed``, ``kept``.
 
     Lines of any length are normalised (small letters, single spaces) and hashed; distinct documents per
     host are counted, and the lines above both limits taken out. A document fails the base rules, or is depleted when less than
-    ``left_share`` of the characters in its lines would be left; otherwise it is kept.
+    ``left_share`` of the characters in its lines would be left; otherwise it is kept. ``keep_good`` gives the texts.
 
     Null or empty text: no words, so not kept. Null host: a host of its own. Repeated rows and null ids: a row
     each; equal texts count once as documents. Other columns are ignored.
     """
-    rows = statistics(docs, id_col, text, host)
-    each = rows.select("row", "host", "mark", F.explode("hashed").alias("s")).select("row", "host", "mark", "s.line", "s.chars")
-    lines = each.groupBy("row", "host", "mark", "line").agg(F.sum("chars").alias("chars"))
-    gone = lines.join(frequent_lines(rows, lines, docs_limit, share), ["host", "line"]).groupBy("row").agg(F.sum("chars").alias("frequent_chars"))
-    out = rows.join(gone, "row", "left").withColumn("frequent_chars", F.coalesce("frequent_chars", F.lit(0).cast("long")))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    left = (F.col("line_chars") - F.col("frequent_chars")) >= left_share * F.col("line_chars")
-    return out.select("id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "frequent_chars", failed.alias("base_failed"), (~failed & left).alias("kept"))
+    return verdicts(docs, id_col, text, host, docs_limit, share, left_share).select(
+        "id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "frequent_chars", "base_failed", "kept")
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose hash is in ``gone``; the others stay as they are, and null takes nothing."""
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x))))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """``docs`` without the documents that the rules reject; texts stay as they are."""
-    good = judge(docs, id_col, text, host, **limits).where("kept").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
-    return docs.join(good, docs[id_col].eqNullSafe(good["__id"]) & (F.xxhash64(S.text_of(text)) == good["__mark"]), "left_semi")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", docs_limit: int = LINE_DOCS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """``docs`` without the documents that the rules reject; texts lose the lines that are frequent in their host."""
+    found = verdicts(docs, id_col, text, host, docs_limit, share, left_share).where("kept")
+    good = found.groupBy(F.col("id").alias("__id"), F.col("host").alias("__host"), F.col("mark").alias("__mark")).agg(F.first("gone").alias("__gone"))
+    home = F.coalesce(docs[host].cast("string"), F.lit(""))
+    joined = docs.join(good, docs[id_col].eqNullSafe(good["__id"]) & (home == good["__host"]) & (F.xxhash64(S.text_of(text)) == good["__mark"]))
+    return joined.select(*(without_lines(docs[c], F.col("__gone")).alias(c) if c == text else docs[c] for c in docs.columns))

@@ -157,6 +157,18 @@ def test_frequent_lines_of_any_length(spark):
     assert not got[100].kept and got[101].kept and got[101].frequent_chars == 0
 
 
+def test_frequent_lines_are_removed(spark):
+    """Kept texts lose the lines frequent in their own host, and nothing else; n_chars follows in the pipeline."""
+    rng = random.Random(4)
+    own = [" ".join(str(rng.random()) for _ in range(30)) for _ in range(30)]
+    texts = [(i, f"Cookie  NOTICE accept\r\n{t}\n\n  end of {i}\ncookie notice accept\n", "h") for i, t in enumerate(own)] + [(0, "Cookie  NOTICE accept\r\n" + own[0], "other"), (50, own[0], None)]
+    rows = [(i, t, h, 7) for i, t, h in [*texts, texts[1]]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    clean = lambda i, t, h: f"{own[i]}\n\n  end of {i}\n" if h == "h" else t
+    same(quality_rules.keep_good(table), [(i, clean(i, t, h), h, n) for i, t, h, n in rows])
+    same(corpus_pipeline.rules(spark, table, ""), [(i, x := clean(i, t, h), h, len(x) if h == "h" else n) for i, t, h, n in rows])
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
