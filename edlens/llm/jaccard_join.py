@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edlens.llm import shared as S
@@ -21,6 +21,8 @@ BITS_PER_SHINGLE = 4
 MEMBERS_PER_TASK = 256
 #: Members from which a tile brings bitmaps, and the partners each of them names before all others are tried.
 LARGE_TILE, NEAREST = 32, 2
+#: Members, on average, of a block of a tile; a task holds two blocks at a time.
+BLOCK = 1024
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -124,78 +126,107 @@ def tiles(prefixes: DataFrame, percent: int) -> DataFrame:
     """``key``, ``n``, ``cls``, ``lead`` of the classes that share a prefix shingle, in size bands.
 
     Rows of a key come sorted by size; the first opens a band and leads it, the first that is too large to
-    reach the threshold with it opens the next. Keys of one class are left out. Rows stream through.
+    reach the threshold with it opens the next. Keys of one class are left out. Rows stream through: a task
+    holds a batch of them, the leader and its size.
     """
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        last, now, size = None, 0, 0
+        waiting = [np.empty(0, np.int64)] * 3  # a first row of a key that may be its only one
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = held["key"].to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield from lead(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield from lead(held)
-
-    def lead(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, n, cls = (table[c].to_numpy() for c in ("key", "n", "cls"))
-        new = np.append(True, key[1:] != key[:-1])
-        many = ~(new & np.append(new[1:], True))
-        key, n, cls, new = key[many], n[many], cls[many], new[many]
-        if not len(key):
-            return
-        leads = np.empty(len(cls), np.int64)
-        now, size = 0, 0
-        for i, (first, m, c) in enumerate(zip(new.tolist(), n.tolist(), cls.tolist())):
-            if first or percent * m > 100 * size:
-                now, size = c, m
-            leads[i] = now
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(cls), pa.array(leads)], names=["key", "n", "cls", "lead"])
+            if not batch.num_rows:
+                continue
+            key, n, cls = (np.concatenate([w, batch.column(i).to_numpy()]) for i, w in enumerate(waiting))
+            new = np.append(last is None or key[0] != last, key[1:] != key[:-1])
+            end = len(key) - int(new[-1])
+            waiting = [x[end:] for x in (key, n, cls)]
+            last = int(key[end - 1]) if end else last
+            many = ~(new & np.append(new[1:], True))
+            key, n, cls, new = key[many], n[many], cls[many], new[many]
+            leads = np.empty(len(cls), np.int64)
+            for i, (first, m, c) in enumerate(zip(new.tolist(), n.tolist(), cls.tolist())):
+                if first or percent * m > 100 * size:
+                    now, size = c, m
+                leads[i] = now
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(cls), pa.array(leads)], names=["key", "n", "cls", "lead"])
 
     return prefixes.repartition(S.wide(prefixes), "key").sortWithinPartitions("key", "n", "cls").mapInArrow(band, "key long, n long, cls long, lead long")
 
 
+def seated(rows: DataFrame, percent: int) -> DataFrame:
+    """``key``, ``n``, ``cls``, ``root`` of large tiles with the ``block`` of each member.
+
+    Each root with a quarter of a block or more is apart from the others, sizes fall in bands of which only neighbours
+    can reach the threshold, and a hash of the class cuts a band into blocks of about BLOCK members.
+    """
+    apart = rows.groupBy("key", "root").agg(F.count("*").alias("c")).where(F.col("c") * 4 >= BLOCK).select("key", "root", F.lit(True).alias("apart"))
+    band = F.floor(F.log("n") / float(np.log(max(100 / percent, 1.01))))
+    rows = rows.join(apart, ["key", "root"], "left").withColumn("cell", F.xxhash64(F.when(F.col("apart"), F.col("root")), F.col("apart").isNotNull(), band))
+    cells = rows.groupBy("key", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    return rows.join(cells, ["key", "cell"]).select("key", "n", "cls", "root", F.xxhash64("cell", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"))
+
+
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """``key``, ``n``, ``cls``, ``root``, ``one``, ``two``, ``block`` of the members of each two blocks (or one with
+    itself) of a large tile whose sizes and roots can still meet."""
+    rows = S.written(seated(rows, percent), "blocks")
+    blocks = rows.groupBy("key", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    x = blocks.select("key", F.col("block").alias("one"), F.struct("n0", "n1", "r0", "r1").alias("x"))
+    y = blocks.select("key", F.col("block").alias("two"), F.struct("n0", "n1", "r0", "r1").alias("y"))
+    sizes = (100 * F.col("x.n1") >= percent * F.col("y.n0")) & (100 * F.col("y.n1") >= percent * F.col("x.n0"))
+    pairs = x.join(y, "key").where((F.col("one") <= F.col("two")) & sizes & (F.least("x.r0", "y.r0") < F.greatest("x.r1", "y.r1")))
+    asked = pairs.select("key", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    return rows.join(asked, ["key", "block"]).select("key", "n", "cls", "root", "one", "two", "block")
+
+
 def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` of classes in a tile that are still in different components and of fitting size.
 
     Members of a large tile carry their bitmaps, and only pairs with room for the threshold come out; with
     ``nearest``, large tiles alone are asked, and each member names just that many of the closest ones before it.
+    Tiles of more than BLOCK members meet in pairs of blocks, so a task holds two blocks at most.
     """
-    split = tile_rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", (F.col("m") > LARGE_TILE).alias("large"))
-    rows = tile_rows.join(split, "key")
-    large = rows.where("large").join(classes.select("cls", "bits"), "cls").select("key", "n", "cls", "root", "bits")
+    split = tile_rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
+    split = S.written(split.select("key", (F.col("m") > LARGE_TILE).alias("large"), (F.col("m") > BLOCK).alias("cut")), "split")
+    rows = tile_rows.join(split.where("not cut"), "key").withColumns({c: F.lit(0).cast("long") for c in ("one", "two", "block")})
+    fields = ["key", "one", "two", "n", "cls", "root", "block"]
+    large = rows.where("large").select(fields)
+    if split.where("cut").take(1):
+        large = large.union(meetings(tile_rows.join(split.where("cut"), "key"), percent).select(fields))
+    large = large.join(classes.select("cls", "bits"), "cls").select(*fields, "bits")
     if nearest is None:
-        large = large.union(rows.where("not large").select("key", "n", "cls", "root", F.lit(None).cast("binary")))
+        large = large.union(rows.where("not large").select(*fields, F.lit(None).cast("binary")))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tile = None, []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if row[0] != key:
-                    yield from meet(tile)
-                    key, tile = row[0], []
-                tile.append(row[1:])
-        yield from meet(tile)
-
-    def meet(tile: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if row[:3] != key:
+                    yield from meet(key, tile)
+                    key, tile = row[:3], []
+                tile.append(row[3:])
+        yield from meet(key, tile)
+
+    def meet(key: tuple | None, tile: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not tile:
             return
-        n, cls, root = (np.array([r[i] for r in tile], np.int64) for i in range(3))
-        widths = np.array([len(r[3]) if r[3] else 0 for r in tile])
-        packed = {w: np.frombuffer(b"".join(r[3] for r in tile if r[3] and len(r[3]) == w), np.uint64).reshape(-1, w // 8) for w in set(widths.tolist()) if w}
+        n, cls, root, block = (np.array([r[i] for r in tile], np.int64) for i in range(4))
+        widths = np.array([len(r[4]) if r[4] else 0 for r in tile])
+        packed = {w: np.frombuffer(b"".join(r[4] for r in tile if r[4] and len(r[4]) == w), np.uint64).reshape(-1, w // 8) for w in set(widths.tolist()) if w}
         place = np.array([0] * len(tile))
         for w in packed:
             place[widths == w] = np.arange(int((widths == w).sum()))
         first = np.searchsorted(100 * n, percent * n)  # smallest partner by size
-        out_a, out_b, held = [], [], 0
+        both = key[1] != key[2]
+        others = {x: np.flatnonzero(block != x if both else block == x) for x in key[1:]}
+        out, held = [], 0
         for i in range(len(tile)):
-            j = np.arange(first[i], i)
+            j = others[tile[i][3]]
+            j = j[np.searchsorted(j, first[i]) : np.searchsorted(j, i)]
             j = j[root[j] != root[i]]
+            bound = np.zeros(len(j), np.int64)
             if len(j) and widths[i]:
-                bound = np.zeros(len(j), np.int64)
                 mine = packed[widths[i]][place[i]]
                 for w in (widths[i], widths[i] // 2):
                     some = widths[j] == w
@@ -207,16 +238,20 @@ def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: in
                 room = (100 + percent) * bound >= percent * (n[i] + n[j])
                 j, bound = j[room], bound[room]
                 if nearest is not None and len(j) > nearest:
-                    j = j[np.argsort(n[j] - 2 * bound, kind="stable")[:nearest]]
+                    close = np.argsort(n[j] - 2 * bound, kind="stable")[:nearest]
+                    j, bound = j[close], bound[close]
             if len(j):
-                out_a.append(np.minimum(cls[j], cls[i]))
-                out_b.append(np.maximum(cls[j], cls[i]))
+                out.append((np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i]), np.full(len(j), cls[i]), n[j] - 2 * bound))
                 held += len(j)
             if held > 50_000 or (held and i == len(tile) - 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-                out_a, out_b, held = [], [], 0
-
-    return large.repartition(S.wide(tile_rows), "key").sortWithinPartitions("key", "n", "cls").mapInArrow(pair, "a long, b long").distinct()
+                a, b, late, gap = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"key": np.full(held, key[0]), "a": a, "b": b, "late": late, "gap": gap})
+                out, held = [], 0
+
+    pairs = large.repartition(S.wide(tile_rows), "key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "cls").mapInArrow(pair, "key long, a long, b long, late long, gap long")
+    if nearest is not None:  # of all blocks that a member met
+        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("key", "late").orderBy("gap", "a", "b"))).where(F.col("rank") <= nearest)
+    return pairs.select("a", "b").distinct()
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

@@ -293,6 +293,70 @@ def test_large_tiles(spark):
     same(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "component_id"), brute_components(rows))
 
 
+def test_tiles_in_blocks(spark, monkeypatch):
+    """Tiles cut into small blocks give the same components; a task's members are bounded and blocks of one root do not meet."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(12)
+    text = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(120):
+        text = list(text)
+        text[rng.randrange(100)] = f"v{i}"
+        rows.append((i, " ".join(text[: 100 - i % 7])))
+    same(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "component_id"), brute_components(rows))
+    tile = [(1, 100 + i % 60, i, 0 if i < 2000 else i) for i in range(2010)]
+    met = jaccard_join.meetings(spark.createDataFrame(tile, "key long, n long, cls long, root long"), 80).collect()
+    groups = defaultdict(set)
+    for r in met:
+        groups[r.one, r.two].add((r.n, r.cls, r.root))
+    assert all(len(g) <= 4 * 16 and len({x[2] for x in g}) > 1 for g in groups.values())
+    pairs = {frozenset((x[1], y[1])) for g in groups.values() for x in g for y in g if x[2] != y[2]}
+    assert all(frozenset((i, k)) in pairs for i in range(2000, 2010) for k in range(i) if 100 * min(tile[i][1], tile[k][1]) >= 80 * max(tile[i][1], tile[k][1]))
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_nearest_of_all_blocks(spark, monkeypatch, block):
+    """Each member of a tile names its closest partners by bitmap, however the tile is cut."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 100 - c % 9], rng.integers(0, 2**63, c % 9, dtype=np.uint64)])) for c in range(70)]
+    bits = [jaccard_join.bitmap(x) for x in sets]
+    classes = spark.createDataFrame([(c, bytearray(b)) for c, b in enumerate(bits)], "cls long, bits binary")
+    tile = spark.createDataFrame([(1, len(x), c, c // 3) for c, x in enumerate(sets)], "key long, n long, cls long, root long")
+    got = defaultdict(list)
+    for x in jaccard_join.crossing(tile, classes, 80, 2).collect():
+        late, early = sorted((x.a, x.b), key=lambda c: (len(sets[c]), c), reverse=True)
+        got[late].append(early)
+    order = sorted(range(70), key=lambda c: (len(sets[c]), c))
+    gap = lambda a, b: len(sets[a]) - 2 * jaccard_join.overlap_bound(bits[a], len(sets[a]), bits[b], len(sets[b]))
+    for k, c in enumerate(order):
+        before = [x for x in order[:k] if x // 3 != c // 3]
+        assert sorted(gap(x, c) for x in got[c]) == sorted(gap(x, c) for x in before)[:2]
+
+
+def test_leaders_stream_across_batches(spark):
+    """The leader of a key and its size pass on from batch to batch; keys of one class are left out."""
+    rng = random.Random(8)
+    rows = [(k, rng.randint(10, 60), 1000 * k + c) for k in range(40) for c in range(rng.choice([1, 1, 2, 3, 90]))]
+    want, of_key = [], defaultdict(list)
+    for k, n, c in sorted(rows):
+        of_key[k].append((n, c))
+    for k, members in of_key.items():
+        for n, c in members:
+            if (n, c) == members[0] or 80 * n > 100 * size:
+                lead, size = c, n
+            want += [(k, n, c, lead)] * (len(members) > 1)
+    for batch in (1, 2, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            same(jaccard_join.tiles(spark.createDataFrame(rows, "key long, n long, cls long"), 80), want)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bitmaps_bound_from_above():
     import numpy as np
 
