@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edlens.llm import byte_bpe, fingerprints, jaccard_join, language_id, packing, quality_rules, secret_scan, sql, substring_dedup, token_counts, url_filters
+from edlens.llm import byte_bpe, filter_audit, fingerprints, jaccard_join, language_id, packing, quality_rules, secret_scan, sql, substring_dedup, token_counts, url_filters
 from edlens.llm.shared import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, table: str, sql: str | None = None):
-    def keep(build: Callable[[DataFrame], DataFrame]):
+def query(name: str, table: str, sql: str | None = None, *also: str):
+    def keep(build: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             importable(spark)
-            return build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return build(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in (table, *also)))
 
         QUERIES[name] = run
         if sql:
@@ -88,3 +88,8 @@ def _(docs):
 @query("op10_url_filters", "pages", sql.URL_FILTERS)
 def _(pages):
     return url_filters.judge(pages.select("page_id", "url")).withColumnRenamed("id", "page_id")
+
+
+@query("op11_filter_audit", "documents", sql.FILTER_AUDIT, "labels")
+def _(docs, labels):
+    return filter_audit.audit(docs.select("doc_id", "text", "source"), labels)

@@ -41,3 +41,16 @@ URL_FILTERS = r"""WITH p AS (SELECT page_id, CASE WHEN position('://' IN coalesc
  rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) v(verdict, rh, rp)),
  f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
  SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host || path, 'casino|free-bets|cheap-pills|ads-track') THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f USING (page_id)"""
+
+FILTER_AUDIT = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+ b AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT
+ + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS bits FROM d),
+ l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+ c AS (SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY ALL),
+ f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(x, bit)),
+ o AS (SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bs, a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+ s AS (SELECT filter_order, step, bs[step] AS bit, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS prior FROM o, range(1, 6) r(step)),
+ r AS (SELECT part, filter_order, step::INT AS step, bit, coalesce(sum(n) FILTER (bits & (prior | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (bits & prior = 0 AND bits & bit > 0), 0)::BIGINT AS removed,
+ coalesce(sum(n) FILTER (bits & prior > 0 AND bits & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (bits = bit), 0)::BIGINT AS unique_fails,
+ coalesce(sum(good) FILTER (bits & prior = 0 AND bits & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (bits & prior = 0 AND bits & bit > 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit)
+ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
