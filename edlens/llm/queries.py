@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edlens.llm import byte_bpe, filter_audit, fingerprints, jaccard_join, language_id, packing, quality_rules, secret_scan, sql, substring_dedup, token_counts, url_filters
+from edlens.llm import byte_bpe, conversation_repair, filter_audit, fingerprints, jaccard_join, language_id, packing, quality_rules, secret_scan, sql, substring_dedup, token_counts, top_k, url_filters
 from edlens.llm.shared import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,14 @@ def _(pages):
 @query("op11_filter_audit", "documents", sql.FILTER_AUDIT, "labels")
 def _(docs, labels):
     return filter_audit.audit(docs.select("doc_id", "text", "source"), labels)
+
+
+@query("op12_conversation_repair", "conversations", sql.CONVERSATION_REPAIR)
+def _(conversations):
+    rows = conversation_repair.damage(conversations)
+    return conversation_repair.repair(rows, conversations, tie=("tie_role", "tie_text", "tie_copy"))
+
+
+@query("op13_exact_top_k", "embeddings", sql.EXACT_TOP_K)
+def _(embeddings):
+    return top_k.top_k(embeddings.select("vec_id", "embedding"), "id % 50 = 0")

@@ -54,3 +54,35 @@ FILTER_AUDIT = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coal
  coalesce(sum(n) FILTER (bits & prior > 0 AND bits & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (bits = bit), 0)::BIGINT AS unique_fails,
  coalesce(sum(good) FILTER (bits & prior = 0 AND bits & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (bits & prior = 0 AND bits & bit > 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit)
  SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+CONVERSATION_REPAIR = r"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS chars FROM conversations),
+ h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(chars, lambda x: ascii(x)::BIGINT)), lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384))), 4294967295) % 20 AS h FROM c),
+ m AS (SELECT conv_id, turn, role0, text0, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy, CASE WHEN h = 4 THEN 'user' ELSE role0 END AS role,
+ CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text FROM h),
+ o AS (SELECT conv_id, turn, role, text, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role0, text0, copy) AS i FROM m),
+ f AS (SELECT *, CASE WHEN tail = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+ coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+ w(conv_id, i, st, best) AS (
+ SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'rows': []::VARCHAR[]} FROM f
+ UNION ALL
+ SELECT conv_id, i, e.st, min({'cost': e.cost, 'audit': e.audit, 'rows': e.rows}) FROM (
+ SELECT k.conv_id, f.i, unnest(CASE WHEN fault IN (1, 2) THEN [{'st': k.st, 'cost': k.cost + 4, 'audit': k.audit || 'D', 'rows': k.rows}] ELSE
+ [{'st': k.st, 'cost': k.cost + 4, 'audit': k.audit || 'D', 'rows': k.rows},
+ {'st': CASE WHEN k.st = 2 THEN 3 ELSE 2 END, 'cost': k.cost + 3 + f.t, 'audit': k.audit || 'R', 'rows': list_append(k.rows, CASE WHEN k.st = 2 THEN 'assistant:' ELSE 'user:' END || f.text)},
+ {'st': CASE role[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'cost': k.cost + f.t + CASE WHEN (role[1] = 's' AND k.st = 0) OR (role[1] = 'u' AND k.st <> 2) OR (role[1] = 'a' AND k.st = 2) THEN 0 ELSE 1000000000 END,
+ 'audit': k.audit || 'K', 'rows': list_append(k.rows, role || ':' || f.text)}] END) AS e
+ FROM (SELECT conv_id, i, g.st AS st, best.cost + 3 * g.n AS cost, best.audit || repeat('I', g.n) AS audit, best.rows || [CASE WHEN st0 = 2 THEN 'assistant:' ELSE 'user:' END, CASE WHEN st0 = 2 THEN 'user:' ELSE 'assistant:' END][1:g.n] AS rows
+ FROM (SELECT conv_id, i, st AS st0, best, unnest([{'st': st, 'n': 0}, {'st': CASE WHEN st = 2 THEN 3 ELSE 2 END, 'n': 1}, {'st': CASE WHEN st = 2 THEN 2 ELSE 3 END, 'n': 2}]) AS g FROM w) y) k
+ JOIN (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS t FROM f) f ON f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.i = k.i + 1) x WHERE e.cost < 1000000000 GROUP BY conv_id, i, e.st),
+ n AS (SELECT conv_id, max(i) AS n, sum((fault = 1)::INT) AS blank, sum((fault = 2)::INT) AS duplicate, sum((fault = 3)::INT) AS truncated, sum(illegal::INT) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY conv_id),
+ z AS (SELECT w.conv_id, min({'cost': w.best.cost + CASE w.st WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'audit': w.best.audit || CASE w.st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+ 'rows': w.best.rows || CASE w.st WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END}) AS best FROM w JOIN n ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.n GROUP BY w.conv_id)
+ SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.rows, chr(10)), '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+EXACT_TOP_K = """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND (q.vec_id, q.v) IS DISTINCT FROM (c.vec_id, c.v)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
