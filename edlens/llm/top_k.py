@@ -28,11 +28,13 @@ class Index:
 
     def __init__(self, values: np.ndarray):
         self.values = values  # rows x components, whole numbers
-        self.order = np.argsort(-values.astype(np.float64), axis=0, kind="stable").T.astype(np.int32)  # component x place
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1).astype(np.float64)
+        by_component = np.ascontiguousarray(values.T.astype(np.float64))
+        self.order = np.argsort(-by_component, axis=1, kind="stable").astype(np.intp)  # component x place
+        self.sorted = np.take_along_axis(by_component, self.order, axis=1)
         self.top = float(np.abs(values.astype(np.float64)).max(initial=0))
         step = max(1.0, 2 * self.top / LEVELS)
         self.edges = np.arange(-LEVELS // 2 - 1, LEVELS // 2 + 2) * step
+        self.places, self.gains = np.empty(self.order.size, np.intp), np.empty(self.order.size)  # used again by each search
         # Per component and edge e: rows of a value of at least e, and rows of a value above -e.
         shape = (len(self.sorted), len(self.edges))
         self.front = np.array([np.searchsorted(-x, -self.edges, side="right") for x in self.sorted], np.int64).reshape(shape)
@@ -43,32 +45,42 @@ class Index:
 
         Segments are read by falling contribution. A row's bound is its contributions so far plus, for each
         component not yet met, the best of that component's next segment. Reading ends once the rows whose bound
-        reaches the threshold are an eighth of the block, or all is read; only those are scored from their values.
+        reaches the threshold hold fewer components than there are postings left; only those are scored from their values.
         """
         n, weights = len(self.values), query.astype(np.float64)
         live = np.flatnonzero(weights)
         if n <= 4 * wanted or not len(live) or np.abs(weights).sum() * self.top >= EXACT:
             return np.arange(n), scored(self.values, query)
         w = weights[live]
-        best = np.where(w > 0, self.sorted[live, 0], self.sorted[live, -1]) * w
+        ahead = w > 0
+        best = np.where(ahead, self.sorted[live, 0], self.sorted[live, -1]) * w
         if best.sum() < floor:
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        # A first threshold from the highest postings of the heaviest components.
+        heavy = live[np.argsort(-np.abs(w))[:4]]
+        some = np.unique(np.concatenate([self.order[d, : 2 * wanted] if weights[d] > 0 else self.order[d, -2 * wanted :] for d in heavy]))
+        floor = max(floor, float(np.sort(scored(self.values[some], query))[-wanted]))
         heights = np.outer(np.abs(w), self.edges)
         for cut in (*(best.max() * p for p in PAUSES if best.max() > 0), -np.inf):
             edge = np.maximum((heights < cut).sum(axis=1) - 1, 0)  # the highest edge below the cut: whole segments
-            upper, places, gains = 0.0, [], []
-            for d, x, e in zip(live.tolist(), w.tolist(), edge.tolist()):
-                at = int(self.front[d, e]) if x > 0 else int(self.back[d, e])
-                read, unread = (slice(0, at), at) if x > 0 else (slice(at, n), at - 1)
-                rest = self.sorted[d, unread] * x if 0 <= unread < n else 0.0
-                upper += rest
-                places.append(self.order[d, read])
-                gains.append(self.sorted[d, read] * x - rest)
-            bound = upper + np.bincount(np.concatenate(places), weights=np.concatenate(gains), minlength=n)
+            at = np.where(ahead, self.front[live, edge], self.back[live, edge])
+            unread = np.where(ahead, at, at - 1)
+            rest = np.where((unread >= 0) & (unread < n), self.sorted[live, unread.clip(0, n - 1)] * w, 0.0)
+            if rest.sum() >= floor and cut > -np.inf:
+                continue  # even a row met nowhere would reach the threshold
+            size = 0
+            for d, x, i, r in zip(live.tolist(), w.tolist(), at.tolist(), rest.tolist()):
+                read = slice(0, i) if x > 0 else slice(i, n)
+                to = slice(size, size + read.stop - read.start)
+                self.places[to] = self.order[d, read]
+                np.multiply(self.sorted[d, read], x, out=self.gains[to])
+                self.gains[to] -= r
+                size = to.stop
+            bound = rest.sum() + np.bincount(self.places[:size], weights=self.gains[:size], minlength=n)
             first = np.argpartition(-bound, wanted - 1)[:wanted]
             floor = max(floor, float(scored(self.values[first], query).min()))
             rows = np.flatnonzero(bound >= floor)
-            if len(rows) <= n // 8:
+            if len(rows) * len(live) <= n * len(live) - size:
                 break
         return rows, scored(self.values[rows], query)
 
