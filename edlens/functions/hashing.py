@@ -7,6 +7,7 @@ and the seed gives the same value on every attempt and on every engine that has
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,36 +42,70 @@ def poisson_one(unit: Column) -> Column:
     return out.otherwise(12.0)
 
 
-def poisson_weight(unit: Column, rate: Column | float) -> Column:
-    """Poisson draw with a given rate.
+#: Rates from here on are drawn by transformed rejection, smaller ones by inversion.
+REJECTION_FROM = 10
+#: Inversion looks at this many counts (the rest has a mass below 1e-16), rejection tries as often (all fail in fewer than one of 1e19 draws).
+POISSON_STEPS, POISSON_TRIES = 50, 24
 
-    Rates up to 40 walk the exact distribution (90 terms leave less than 1e-8 of mass); above that
-    a rounded normal with the same mean and variance is used.
+
+def poisson_table(rate: Column) -> Column:
+    """Distribution function of a Poisson law at 0, 1, ..: an array for small rates, empty for those drawn by rejection."""
+    first = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("upto"), F.array(F.exp(-rate)).alias("out"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * rate / k
+        return F.struct(p.alias("p"), (acc["upto"] + p).alias("upto"), F.array_append(acc["out"], acc["upto"] + p).alias("out"))
+
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_STEPS)), first, step, lambda acc: acc["out"])
+    return F.when(rate < REJECTION_FROM, small).otherwise(F.array().cast("array<double>"))
+
+
+def log_poisson(k: Column, rate: Column) -> Column:
+    """Logarithm of a Poisson probability; without cancellation at large rates, where k lies near the rate."""
+    logs = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    d = (k - rate) / rate
+    # (1 + d) log(1 + d) - d, by its series near 0.
+    near = sum(((-1) ** j / (j * (j - 1))) * F.pow(d, F.lit(j)) for j in range(2, 11))
+    excess = F.when(F.abs(d) < 0.01, near).otherwise((1 + d) * F.log1p(F.greatest(d, F.lit(-1 + 1e-12))) - d)
+    stirling = 1 / (12 * k) - 1 / (360 * F.pow(k, F.lit(3))) + 1 / (1260 * F.pow(k, F.lit(5))) - 1 / (1680 * F.pow(k, F.lit(7)))
+    large = -rate * excess - 0.5 * F.log(2 * math.pi * k) - stirling
+    return F.when(k < 16, -rate + k * F.log(rate) - F.get(logs, k.cast("int"))).otherwise(large)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also inside lambda functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def poisson_draw(ids: list[str | Column], seed: int | str, rate: Column | float, table: Column | None = None) -> Column:
+    """Poisson draw of any rate, exact up to floating point, from hashes of the ids and the seed.
+
+    Small rates invert the distribution (``table``: their ``poisson_table``, worked out once where many draws share it);
+    larger ones take the first accepted try of transformed rejection, two uniforms of one digest each.
     """
     rate = F.lit(float(rate)) if not isinstance(rate, Column) else rate.cast("double")
-    state = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
-
-    def step(acc: Column, i: Column) -> Column:
-        grown = acc["p"] * rate / i
-        go = (acc["cdf"] <= unit) & (acc["k"] == i - 1)
-        return F.struct(
-            F.when(go, grown).otherwise(acc["p"]).alias("p"),
-            F.when(go, acc["cdf"] + grown).otherwise(acc["cdf"]).alias("cdf"),
-            F.when(go, i).otherwise(acc["k"]).alias("k"),
-        )
-
-    exact = F.aggregate(F.sequence(F.lit(1), F.lit(90)), state, step, lambda acc: acc["k"].cast("double"))
-    normal = F.greatest(F.lit(0.0), F.floor(rate + F.sqrt(rate) * probit(unit) + 0.5).cast("double"))
-    return F.when(rate == 1, poisson_one(unit)).when(rate <= 40, exact).otherwise(normal)
-
-
-def probit(unit: Column) -> Column:
-    """Standard normal quantile by the rational approximation of Abramowitz and Stegun 26.2.23."""
-    u = F.greatest(F.least(unit, F.lit(1 - 1e-12)), F.lit(1e-12))
-    tail = F.least(u, 1 - u)
-    t = F.sqrt(-2.0 * F.log(tail))
-    # The published coefficients.
-    top = 2.515517 + 0.802853 * t + 0.010328 * t * t
-    bottom = 1.0 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t
-    z = t - top / bottom
-    return F.when(u < 0.5, -z).otherwise(z)
+    unit = key_unit(ids, seed)
+    small = bound(unit, lambda u: F.size(F.filter(poisson_table(rate) if table is None else table, lambda c: c < u)).cast("double"))
+    # The published constants of the rejection method.
+    b = 0.931 + 2.53 * F.sqrt(rate)
+    a = -0.059 + 0.02483 * b
+    scale, accept = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2)
+
+    def judge(x: Column) -> Column:
+        u, v, edge, k = x["u"], x["v"], x["edge"], x["k"]
+        quick = (edge >= 0.07) & (v <= accept)
+        out = (k < 0) | ((edge < 0.013) & (v > edge))
+        fits = F.log(v) + F.log(scale) - F.log(a / (edge * edge) + b) <= log_poisson(k, rate)
+        return F.when(quick | (~out & fits), k)
+
+    def place(x: Column) -> Column:
+        k = F.floor((2 * a / x["edge"] + b) * x["u"] + rate + 0.43).cast("double")
+        return bound(F.struct(x["u"].alias("u"), x["v"].alias("v"), x["edge"].alias("edge"), k.alias("k")), judge)
+
+    def attempt(t: Column) -> Column:
+        pair = bound(key_digest([*ids, t], seed), lambda d: F.struct((digest_unit(d) - 0.5).alias("u"), F.greatest(digest_unit(d, 14), F.lit(1e-300)).alias("v")))
+        return bound(bound(pair, lambda x: F.struct(x["u"].alias("u"), x["v"].alias("v"), F.greatest(0.5 - F.abs(x["u"]), F.lit(1e-16)).alias("edge"))), place)
+
+    none = F.lit(None).cast("double")
+    large = F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_TRIES)), none, lambda got, t: F.coalesce(got, attempt(t)), lambda got: F.coalesce(got, F.floor(rate).cast("double")))
+    return F.when(rate == 1, poisson_one(unit)).when(rate < REJECTION_FROM, small).otherwise(large)

@@ -10,14 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edlens.functions.hashing import key_digest, key_unit, poisson_one, poisson_weight
+from edlens.functions.hashing import key_unit, poisson_draw, poisson_one, poisson_table
 from edlens.functions.pvalues import chi2_p, f_p, normal_p, t_p, t_quantile
-from edlens.operators.ordered import in_order
+from edlens.operators.metrics import ratio, score_cells
+from edlens.operators.ordered import in_order, null_safe_join
 from edlens.operators.quantiles import quantiles
-from edlens.session import fan_out
+from edlens.session import fan_out, materialise
 
 Metrics = Callable[[Column], dict[str, Column]]
 
@@ -33,7 +36,7 @@ def summarise_replicates(reps: DataFrame, by: list[str], names: list[str], level
     long = reps.unpivot([*by, "rep"], names, "metric", "value")
     q = quantiles(long, [*by, "metric"], "value", {"ci_lower": lo, "ci_upper": hi})
     m = long.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return m.join(q, [*by, "metric"]).withColumn("ci_width", F.col("ci_upper") - F.col("ci_lower"))
+    return null_safe_join(m, q, [*by, "metric"]).withColumn("ci_width", F.col("ci_upper") - F.col("ci_lower"))
 
 
 def bootstrap_replicates(df: DataFrame, by: list[str], cell: list[str], metrics: Metrics, reps: int = 1000, seed: int = 42) -> DataFrame:
@@ -41,9 +44,9 @@ def bootstrap_replicates(df: DataFrame, by: list[str], cell: list[str], metrics:
 
     A cell that stands for n equal rows gets one Poisson(n) weight, the sum of its n Poisson(1) weights.
     """
-    cells = df.groupBy(*by, *cell).agg(F.count(F.lit(1)).alias("__n"))
+    cells = fan_out(df.groupBy(*by, *cell).agg(F.count(F.lit(1)).cast("double").alias("__n")), *by, *cell).withColumn("__table", poisson_table(F.col("__n")))
     drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    drawn = drawn.withColumn("__w", poisson_weight(key_unit([*by, *cell, "rep"], seed), F.col("__n")))
+    drawn = drawn.withColumn("__w", poisson_draw([*by, *cell, "rep"], seed, F.col("__n"), F.col("__table")))
     return drawn.groupBy(*by, "rep").agg(*[c.alias(n) for n, c in metrics(F.col("__w")).items()])
 
 
@@ -76,6 +79,91 @@ def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], metr
     return summarise_replicates(totals.select("rep", *[c.alias(n) for n, c in wanted.items()]), [], list(wanted), level)
 
 
+#: Distinct scores that one task walks through at a time, with a weight per replicate for each.
+SCORE_RANGE = 1024
+
+
+def _ranges(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct scores of each group with ``__part``, the number of their range, from the highest score down."""
+    placed = in_order(cells.withColumn("__neg", -F.col("score")), by, ["__neg"], position="__at")
+    return placed.withColumn("__part", F.expr(f"(__at - 1) div {SCORE_RANGE}")).drop("__neg", "__at")
+
+
+def _score_metrics(drawn: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(by, rep) with accuracy, precision, recall, F1, ROC-AUC and average precision.
+
+    ``drawn``: ``score``, ``__part`` and the arrays ``wp``, ``wn``, the drawn positives and negatives of the score in
+    each replicate. A task adds up one range of scores for all replicates at once; what lies above a range
+    is carried into it as one sum per replicate.
+    """
+    kinds = [f"`{c}` {drawn.schema[c].dataType.simpleString()}" for c in by]
+    ranges = [*by, "__part"]
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[ranges].iloc[:1].assign(tp=[np.stack(pdf["wp"]).sum(axis=0)], fp=[np.stack(pdf["wn"]).sum(axis=0)])
+
+    sums = drawn.groupBy(*ranges).applyInPandas(total, ", ".join([*kinds, "__part bigint, tp array<double>, fp array<double>"]))
+    each = sums.select(*ranges, F.posexplode(F.arrays_zip("tp", "fp")).alias("rep", "s"))
+    above = Window.partitionBy(*by, "rep").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda c: F.coalesce(F.sum(f"s.{c}").over(above), F.lit(0.0)).alias(c)
+    each = each.select(*ranges, "rep", carried("tp"), carried("fp"))
+    carry = each.groupBy(*ranges).agg(F.array_sort(F.collect_list(F.struct("rep", "tp", "fp"))).alias("c")).select(*ranges, F.col("c.tp").alias("tp"), F.col("c.fp").alias("fp"))
+
+    def walk(cells: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("score", ascending=False)
+        wp, wn = np.stack(cells["wp"]), np.stack(cells["wn"])
+        tp = np.asarray(before["tp"].iloc[0]) + wp.cumsum(axis=0)
+        called = tp + np.asarray(before["fp"].iloc[0]) + wn.cumsum(axis=0)
+        hit = (cells["score"] >= threshold).to_numpy()
+        out = pd.DataFrame({"rep": np.arange(1, wp.shape[1] + 1), "pos": wp.sum(axis=0), "neg": wn.sum(axis=0), "area": (wn * (tp - wp / 2)).sum(axis=0),
+                            "ap": (wp * tp / np.maximum(called, 1)).sum(axis=0), "hits": wp[hit].sum(axis=0), "false": wn[hit].sum(axis=0)})
+        for c in by:
+            out[c] = pd.Series([cells[c].iloc[0]] * len(out), dtype=cells[c].dtype)
+        return out[[*by, "rep", "pos", "neg", "area", "ap", "hits", "false"]]
+
+    names = ["pos", "neg", "area", "ap", "hits", "false"]
+    schema = ", ".join([*kinds, "rep int", *(f"{n} double" for n in names)])
+    parts = drawn.groupBy(*ranges).cogroup(carry.groupBy(*ranges)).applyInPandas(walk, schema)
+    g = parts.groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names])
+    pos, neg, hits, false = (F.col(n) for n in ("pos", "neg", "hits", "false"))
+    precision, recall = ratio(hits, hits + false), ratio(hits, pos)
+    return g.select(*by, "rep", ratio(hits + neg - false, pos + neg).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), ratio(2 * hits, hits + false + pos).alias("f1"),
+                    ratio(F.col("area"), pos * neg, 0.5).alias("roc_auc"), ratio(F.col("ap"), pos).alias("average_precision"))
+
+
+SCORE_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "average_precision"]
+
+
+def bootstrap_scores(df: DataFrame, by: list[str], reps: int = 1000, seed: int = 42, level: float = 0.95, threshold: float = 0.5, y: str = "y", p: str = "p") -> DataFrame:
+    """Intervals of the threshold metrics, ROC-AUC and average precision of a score, all from the same resamples.
+
+    Positives and negatives are counted per distinct score; a replicate reweights these cells. Rows without label or score
+    take no part; null groups are groups; a replicate without positives or negatives has an AUC of one half.
+    """
+    cells = _ranges(score_cells(df, by, y, p), by)
+    counts = {"p": F.col("pos").cast("double"), "n": (F.col("n") - F.col("pos")).cast("double")}
+    cells = fan_out(cells.select("*", *(poisson_table(c).alias(f"__t{k}") for k, c in counts.items())), *by, "score")  # the shuffle keeps the tables, one per cell
+    draws = lambda k: F.transform(F.sequence(F.lit(1), F.lit(reps)), lambda r: poisson_draw([*by, "score", r, F.lit(k)], seed, counts[k], F.col(f"__t{k}")))
+    drawn = cells.select(*by, "score", "__part", draws("p").alias("wp"), draws("n").alias("wn"))
+    return summarise_replicates(_score_metrics(drawn, by, threshold), by, SCORE_METRICS, level)
+
+
+def cluster_bootstrap_scores(df: DataFrame, cluster: str, reps: int = 1000, seed: int = 42, with_multiplicity: bool = False, level: float = 0.95, threshold: float = 0.5, y: str = "y", p: str = "p") -> DataFrame:
+    """The same metrics when whole clusters are resampled, on the draws of ``cluster_bootstrap``.
+
+    A cluster's counts per score meet its draw of every replicate; sums per (score, replicate) are combined before
+    the shuffle, so neither a score nor a cluster in a third of all rows fills a task.
+    """
+    cells = score_cells(df, [cluster], y, p)
+    drawn = fan_out(cells, cluster, "score").select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    w = poisson_one(key_unit([cluster, "rep"], seed))
+    drawn = drawn.withColumn("__w", w if with_multiplicity else F.least(w, F.lit(1.0)))
+    sums = drawn.groupBy("score", "rep").agg(F.sum(F.col("pos") * F.col("__w")).alias("wp"), F.sum((F.col("n") - F.col("pos")) * F.col("__w")).alias("wn"))
+    arrays = sums.groupBy("score").agg(F.array_sort(F.collect_list(F.struct("rep", "wp", "wn"))).alias("a"))
+    arrays = materialise(_ranges(arrays.select("score", F.col("a.wp").alias("wp"), F.col("a.wn").alias("wn")), []))
+    return summarise_replicates(_score_metrics(arrays, [], threshold), [], SCORE_METRICS, level)
+
+
 def _p_value(reps: DataFrame, observed: Column, alternative: str) -> Column:
     hit = {
         "two-sided": F.abs(F.col("diff")) >= F.abs(observed), "greater": F.col("diff") >= observed, "less": F.col("diff") <= observed,
@@ -95,9 +183,9 @@ def bootstrap_two_sample(df: DataFrame, arm: str, value: str, reps: int = 1000,
     cells = df.where(F.col(arm).isin(0, 1)).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
     share = o["n1"] / (o["n1"] + o["n0"])
     cells = cells.select(value, (F.col("__n") * share).alias("__r1"), (F.col("__n") * (1 - share)).alias("__r0"))
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    w1 = poisson_weight(key_unit([value, "rep", F.lit("a")], seed), F.col("__r1"))
-    w0 = poisson_weight(key_unit([value, "rep", F.lit("b")], seed), F.col("__r0"))
+    drawn = fan_out(cells, value).select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    w1 = poisson_draw([value, "rep", F.lit("a")], seed, F.col("__r1"))
+    w0 = poisson_draw([value, "rep", F.lit("b")], seed, F.col("__r0"))
     diffs = drawn.groupBy("rep").agg((weighted_mean(value, w1) - weighted_mean(value, w0)).alias("diff"))
     return diffs.agg(F.first(observed).alias("observed"), _p_value(diffs, observed, alternative).alias("p_value"), F.count(F.lit(1)).alias("replicates"))
 
@@ -280,7 +368,7 @@ def wilcoxon(df: DataFrame, by: list[str], a: str, b: str, p_value: bool = True)
         F.sum(rank * F.col("__up")).alias("w_plus"), F.sum(rank * (F.col("__n") - F.col("__up"))).alias("w_minus"), F.sum("__n").alias("m"),
         F.sum(F.pow(F.col("__n"), F.lit(3)) - F.col("__n")).alias("__t"),
     )
-    g = g.join(sizes, by) if by else g.withColumn("n", sizes.scalar())
+    g = null_safe_join(g, sizes, by) if by else g.withColumn("n", sizes.scalar())
     w, m = F.least("w_plus", "w_minus"), F.col("m")
     z = (w - m * (m + 1) / 4) / F.sqrt((m * (m + 1) * (2 * m + 1) - F.col("__t") / 2) / 24)
     out = g.select(*by, "n", w.alias("statistic"), z.alias("z"), (1 - 2 * w / (F.col("n") * (F.col("n") + 1) / 2)).alias("effect_size"))

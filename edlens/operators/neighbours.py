@@ -1,9 +1,10 @@
 """Exact k-nearest-neighbour join and what rests on it.
 
-Reference rows are assigned to the nearest of a few hundred pivots. The triangle inequality then
-bounds, per query row, which pivot cells can hold a neighbour; only those (query, cell) pairs are
-shuffled. Cells are cut into shards of bounded size on both sides, so neither a dense region nor
-a popular cell ends up in one task. Distances are Euclidean; all rows take part.
+Reference vectors are placed in cells of a two-level pivot index whose size grows with the square root of their number. A
+first pass finds each query's exact k-th distance inside its nearest cells; a second visits only the cells that the
+triangle inequality cannot place beyond it. Cells are cut into shards of bounded size on both sides, and equal vectors
+count once, so neither a dense region nor a vector in a third of all rows ends up in one task. Distances are Euclidean;
+rows whose vector is null or holds null or NaN take no part.
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edlens.functions.hashing import digest_unit, key_digest, key_unit
-from edlens.operators.ordered import shuffled_position
-from edlens.session import fan_out
+from edlens.operators.ordered import null_safe_join, shuffled_position
+from edlens.session import fan_out, materialise
 
-MAX_PIVOTS = 512
 SHARD_ROWS = 4096
 
 
@@ -38,7 +38,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+def _nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per row of ``a`` the positions and distances of its k nearest rows of ``b``.
 
     A matrix product finds everything within rounding of the k-th distance; those few are then
@@ -50,10 +50,8 @@ def _nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, skip: np.nda
         part = a[i : i + 512]
         aa = (part * part).sum(axis=1)
         rough = aa[:, None] + bb[None, :] - 2 * part @ b.T
-        if skip is not None:
-            rough[skip[i : i + 512, None] == ids[None, :]] = np.inf
         kth = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-        near = (rough <= (kth + slack + 1e-9 * aa)[:, None]) & np.isfinite(rough)
+        near = rough <= (kth + slack + 1e-9 * aa)[:, None]
         for j in range(len(part)):
             at = np.nonzero(near[j])[0]
             d = np.sqrt(((b[at] - part[j]) ** 2).sum(axis=1))
@@ -66,68 +64,163 @@ def as_vector(cols: list[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qid", ref_id: str = "rid", vector: str = "v", exclude_same: bool = False, pivots: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(qid, rid, distance, rank) of the k nearest reference rows; equal distances rank by rid.
+def _points(df: DataFrame, id_col: str, vector: str, keep: int) -> DataFrame:
+    """Different vectors: ``pid``, ``v`` and the ``keep`` smallest ``ids`` that carry each."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and forall(v, x -> x is not null and not isnan(x))")
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= keep)
+    return materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("pid"), "v", "ids"))
+
+
+class PivotIndex:
+    """Fine pivots under coarse ones; for each the reference vectors' number and least and greatest distance.
 
-    Both tables hold an id and an array of doubles. ``exclude_same`` skips a row's own id.
+    Holds two vectors and a few numbers for each pivot; there are about sqrt(n) of them for n reference vectors.
     """
-    q = fan_out(queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v")), "qid")
-    r = fan_out(refs.select(F.col(ref_id).alias("rid"), F.col(vector).cast("array<double>").alias("v")), "rid")
-    n = r.count()
+
+    def __init__(self, pivots: np.ndarray):
+        self.fine = pivots
+        self.coarse = pivots[: math.ceil(len(pivots) ** 0.5)]
+        self.home = np.concatenate([_distances(pivots[i : i + 512], self.coarse).argmin(axis=1) for i in range(0, len(pivots), 512)])
+        self.members = [np.flatnonzero(self.home == c) for c in range(len(self.coarse))]
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell of each vector, the distance to its pivot and to the coarse pivot above."""
+        d = _distances(v, self.coarse)
+        at = d.argmin(axis=1)
+        cell, far = np.empty(len(v), np.int64), np.empty(len(v))
+        for c in np.unique(at):
+            rows = np.flatnonzero(at == c)
+            e = _distances(v[rows], self.fine[self.members[c]])
+            best = e.argmin(axis=1)
+            cell[rows], far[rows] = self.members[c][best], e[np.arange(len(rows)), best]
+        return cell, far, d[np.arange(len(v)), at]
+
+    def measure(self, stats: pd.DataFrame) -> None:
+        """Keep what ``stats`` (one row per cell) says; cells without rows are never visited."""
+        n = len(self.fine)
+        self.rows, self.reach, self.inner = np.zeros(n, np.int64), np.full(n, -np.inf), np.full(n, np.inf)
+        cell = stats["cell"].to_numpy()
+        self.rows[cell], self.reach[cell], self.inner[cell] = stats["n"], stats["far"], stats["near"]
+        self.members = [m[self.rows[m] > 0] for m in self.members]
+        self.coarse_rows = np.array([self.rows[m].sum() for m in self.members])
+        self.coarse_reach = np.full(len(self.coarse), -np.inf)
+        np.maximum.at(self.coarse_reach, self.home[cell], stats["above"].to_numpy())
+
+    def first(self, v: np.ndarray, d: np.ndarray, need: int) -> np.ndarray:
+        """The nearest cells that hold ``need`` vectors together; ``d``: distances to the coarse pivots."""
+        order = d.argsort(kind="stable")
+        enough = min(int(np.searchsorted(self.coarse_rows[order].cumsum(), need)), len(order) - 1) + 1
+        cells = np.concatenate([self.members[c] for c in order[:enough]])
+        cells = cells[_distances(v[None], self.fine[cells])[0].argsort(kind="stable")]
+        return cells[: int(np.searchsorted(self.rows[cells].cumsum(), need)) + 1]
+
+    def rest(self, v: np.ndarray, d: np.ndarray, limit: float) -> np.ndarray:
+        """Cells that can hold a vector at a distance of at most ``limit``."""
+        slack = limit * (1 + 1e-12) + 1e-12
+        cells = np.concatenate([np.empty(0, np.int64), *(self.members[c] for c in np.flatnonzero(d - self.coarse_reach <= slack))])
+        e = _distances(v[None], self.fine[cells])[0]
+        return cells[(e - self.reach[cells] <= slack) & (self.inner[cells] - e <= slack)]
+
+
+def _meet(asked: DataFrame, placed: DataFrame, need: int, shard_rows: int) -> DataFrame:
+    """``qp``, ``distance``, ``ids``: the nearest vectors of each visited shard."""
+    ids = placed.schema["ids"].dataType.simpleString()
+    shards = lambda df, n: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias(n))
+    both = shards(asked, "lots").join(shards(placed, "parts"), "cell")
+    cut = lambda df, of, into, across, name: df.join(both, "cell").withColumn(into, F.pmod(F.xxhash64(of), F.col(name)).cast("int")).withColumn(across[0], F.explode(F.sequence(F.lit(0), F.col(across[1]) - 1)))
+    left = cut(asked, "pid", "qs", ("rs", "parts"), "lots").select("cell", "qs", "rs", "pid", "v")
+    right = cut(placed, "pid", "rs", ("qs", "lots"), "parts").select("cell", "qs", "rs", "v", "ids")
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qp": a["pid"][:0], "distance": np.zeros(0), "ids": b["ids"][:0]})
+        low = np.empty(len(b), np.int64)
+        low[sorted(range(len(b)), key=[x[0] for x in b["ids"]].__getitem__)] = np.arange(len(b))
+        found = _nearest(_vectors(a["v"]), _vectors(b["v"]), low, need)
+        at = np.concatenate([f[0] for f in found])
+        return pd.DataFrame({"qp": np.repeat(a["pid"].to_numpy(), [len(f[0]) for f in found]), "distance": np.concatenate([f[1] for f in found]), "ids": b["ids"].to_numpy()[at]})
+
+    key = ["cell", "qs", "rs"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest, f"qp bigint, distance double, ids {ids}")
+
+
+def _merged(found: DataFrame, need: int) -> DataFrame:
+    """``qp``, ``near``: the ``need`` nearest (distance, id) of each query vector."""
+    w = Window.partitionBy("qp").orderBy("distance", F.col("ids")[0])
+    top = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= need)
+    pairs = F.transform("ids", lambda i: F.struct(F.col("distance"), i.alias("rid")))
+    return top.select("qp", pairs.alias("x")).groupBy("qp").agg(F.flatten(F.collect_list("x")).alias("x")).select("qp", F.slice(F.array_sort("x"), 1, need).alias("near"))
+
+
+def _search(places: DataFrame, points: DataFrame, need: int, pivots: int | None, shard_rows: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Nearest lists of the query vectors, the reference vectors in their cells, and the visits of both passes."""
+    n = points.count()
     if n == 0:
         raise ValueError("no reference rows")
-    want = pivots or int(min(MAX_PIVOTS, max(1, round(n**0.5))))
-    centres = _vectors(pd.Series([x["v"] for x in r.orderBy(key_digest(["rid"], "pivot"), "rid").limit(want).collect()]))
-    rtype, qtype = r.schema["rid"].dataType.simpleString(), q.schema["qid"].dataType.simpleString()
+    want = pivots or math.ceil(n**0.5)
+    index = PivotIndex(_vectors(pd.Series([x["v"] for x in points.select("v").orderBy(F.xxhash64("v"), "v").limit(want).collect()])))
+    ids = points.schema["ids"].dataType.simpleString()
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                d = _distances(_vectors(pdf["v"]), centres)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell, far=d[np.arange(len(d)), cell])[["rid", "v", "cell", "far"]]
-
-    placed = r.mapInPandas(assign, f"rid {rtype}, v array<double>, cell int, far double")
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # one row per pivot
-    cells = np.array([s["cell"] for s in stats])
-    counts = np.array([s["n"] for s in stats])
-    radius = np.array([s["far"] for s in stats])
-    need = k + int(exclude_same)
+                cell, far, above = index.place(_vectors(pdf["v"]))
+                yield pdf.assign(cell=cell, far=far, above=above)
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_vectors(pdf["v"]), centres)[:, cells]
-            upper = d + radius
-            order = upper.argsort(axis=1)
-            enough = (counts[order].cumsum(axis=1) >= min(need, n)).argmax(axis=1)
-            limit = upper[np.arange(len(d)), order[np.arange(len(d)), enough]]
-            row, at = np.nonzero(d - radius <= limit[:, None] * (1 + 1e-12) + 1e-12)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": cells[at]})
-
-    asked = q.mapInPandas(candidates, f"qid {qtype}, v array<double>, cell int")
-    shards = {int(c): int(-(-m // shard_rows)) for c, m in zip(cells, counts)}
-    per_cell = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pivot
-    lots = {x["cell"]: int(-(-x["n"] // shard_rows)) for x in per_cell}
-    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-    pick = lambda i, m: F.pmod(F.xxhash64(i), F.try_element_at(table(m), F.col("cell")))
-    span = lambda m: F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(table(m), F.col("cell")), F.lit(1)) - 1))
-    left = asked.withColumn("qs", pick("qid", lots).cast("int")).withColumn("rs", span(shards))
-    right = placed.withColumn("rs", pick("rid", shards).cast("int")).withColumn("qs", span(lots))
+    placed = materialise(fan_out(points, "pid").mapInPandas(assign, f"pid bigint, v array<double>, ids {ids}, cell bigint, far double, above double"))
+    index.measure(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.min("far").alias("near"), F.max("above").alias("above")).toPandas())  # one row per pivot
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"qid": a["qid"][:0], "rid": b["rid"][:0], "distance": np.zeros(0)})
-        rid, qid = b["rid"].to_numpy(), a["qid"].to_numpy()
-        found = _nearest(_vectors(a["v"]), _vectors(b["v"]), rid, k, qid if exclude_same else None)
-        at = np.concatenate([f[0] for f in found])
-        return pd.DataFrame({"qid": np.repeat(qid, [len(f[0]) for f in found]), "rid": rid[at], "distance": np.concatenate([f[1] for f in found])})
+    def visits(pdf: pd.DataFrame, limit: bool) -> pd.DataFrame:
+        v = _vectors(pdf["v"])
+        d = _distances(v, index.coarse)
+        cells = [index.first(v[i], d[i], need) for i in range(len(v))]
+        if limit:
+            cells = [np.setdiff1d(index.rest(v[i], d[i], x), cells[i], assume_unique=True) for i, x in enumerate(pdf["limit"])]
+        sizes = [len(c) for c in cells]
+        return pd.DataFrame({"pid": np.repeat(pdf["pid"].to_numpy(), sizes), "v": np.repeat(pdf["v"].to_numpy(), sizes), "cell": np.concatenate(cells)})
 
-    key = ["cell", "qs", "rs"]
-    part = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest, f"qid {qtype}, rid {rtype}, distance double")
-    w = Window.partitionBy("qid").orderBy("distance", "rid")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def near_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from (visits(pdf, False) for pdf in batches if len(pdf))
+
+    def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from (visits(pdf, True) for pdf in batches if len(pdf))
+
+    shape = "pid bigint, v array<double>, cell bigint"
+    first = materialise(fan_out(places, "pid").mapInPandas(near_cells, shape))
+    found = materialise(_meet(first, placed, need, shard_rows))
+    last = F.element_at("near", -1)["distance"]
+    limits = _merged(found, need).select("qp", F.when(F.size("near") == need, last).otherwise(F.lit(math.inf)).alias("limit"))
+    bound = places.join(limits, F.col("pid") == F.col("qp")).select("pid", "v", "limit")
+    second = materialise(fan_out(bound, "pid").mapInPandas(other_cells, shape))
+    return _merged(found.union(_meet(second, placed, need, shard_rows)), need), placed, [first, second]
+
+
+def _places(queries: DataFrame, query_id: str, vector: str) -> DataFrame:
+    return _points(queries, query_id, vector, 1).select("pid", "v")
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qid", ref_id: str = "rid", vector: str = "v", exclude_same: bool = False, pivots: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(qid, rid, distance, rank) of the k nearest reference rows; equal distances rank by rid.
+
+    Both tables hold an id and an array of doubles. ``exclude_same`` skips a row's own id. ``pivots``: cells of
+    the index, by default the square root of the reference vectors.
+    """
+    need = k + int(exclude_same)
+    places = _places(queries, query_id, vector)
+    near, _, _ = _search(places, _points(refs, ref_id, vector, need), need, pivots, shard_rows)
+    lists = places.join(near, F.col("pid") == F.col("qp")).select(F.col("v").alias("pv"), "near")
+    asked = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+    own = F.filter("near", lambda x: ~x["rid"].eqNullSafe(F.col("qid"))) if exclude_same else F.col("near")
+    rows = asked.join(lists, F.col("v") == F.col("pv")).select("qid", F.posexplode(F.slice(own, 1, k)).alias("at", "x"))
+    return rows.select("qid", "x.rid", "x.distance", (F.col("at") + 1).alias("rank"))
+
+
+def knn_work(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qid", ref_id: str = "rid", vector: str = "v", pivots: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(pass, cell, queries, refs) that ``knn_join`` compares; their products are the pairs it measures."""
+    _, placed, visits = _search(_places(queries, query_id, vector), _points(refs, ref_id, vector, k), k, pivots, shard_rows)
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("refs"))
+    count = lambda df, i: df.groupBy("cell").agg(F.count(F.lit(1)).alias("queries")).select(F.lit(i).alias("pass"), "cell", "queries")
+    return count(visits[0], 1).union(count(visits[1], 2)).join(sizes, "cell").select("pass", "cell", "queries", "refs")
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int, label: str = "label", **kw) -> DataFrame:

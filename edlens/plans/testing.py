@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from edlens.functions.hashing import poisson_draw
 from edlens.operators import calibration as C
 from edlens.operators import inference as I
 from edlens.plans.evaluation import LP, OPT, _opt, lp, wide
@@ -11,22 +12,41 @@ from edlens.plans.registry import query
 from edlens.plans.relational import rounded
 from edlens.plans.standins import MODELS
 
-UNIT = "CAST('0x' || substr(md5(concat_ws('|', {}, '42')), 1, 13) AS BIGINT) / 4503599627370496.0"
-# A normal draw in SQL for cells of more than 40 rows (every cell of these tables is larger).
-NORMAL = """SELECT *, greatest(0, floor(n + sqrt(n) * CASE WHEN u < 0.5 THEN -z ELSE z END + 0.5)) AS w FROM (SELECT *, tt - (2.515517 + 0.802853 * tt + 0.010328 * tt * tt) / (1.0 + 1.432788 * tt + 0.189269 * tt * tt + 0.001308 * tt * tt * tt) AS z
- FROM (SELECT *, sqrt(-2.0 * ln(least(greatest(least(u, 1 - 1e-12), 1e-12), 1 - greatest(least(u, 1 - 1e-12), 1e-12)))) AS tt FROM {}))"""
+UNIT = "CAST('0x' || substr(md5(concat_ws('|', {}, '42')), {}, 13) AS BIGINT) / 4503599627370496.0"
+
+
+def poisson_sql(name: str, rel: str, ids: str) -> str:
+    """CTE ``name``: the rows of ``rel`` with ``w``, the Poisson draw of rate ``n`` that the operators make from the same hashes."""
+    u, v = UNIT.format(f"{ids}, t", 1), UNIT.format(f"{ids}, t", 14)
+    cdf = "list_transform(range(0, 51), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: CASE WHEN n = 0 THEN (j = 0)::INT ELSE exp(-n + j * ln(n) - lgamma(j + 1)) END)))"
+    return f"""{name}_d AS (SELECT *, row_number() OVER () AS rid, {UNIT.format(ids, 1)} AS u FROM {rel}), {name}_t AS (SELECT n, {cdf} AS cdf FROM (SELECT DISTINCT n FROM {name}_d WHERE n < 10)),
+ {name}_l AS (SELECT rid, arg_min(k, t) AS k FROM (SELECT *, floor((2 * a / e + b) * uu + n + 0.43) AS k FROM (SELECT *, 0.5 - abs(uu) AS e, -0.059 + 0.02483 * b AS a FROM (SELECT rid, n, t, {u} - 0.5 AS uu, {v} AS v, 0.931 + 2.53 * sqrt(n) AS b FROM {name}_d, range(1, 25) r(t) WHERE n >= 10)))
+ WHERE (e >= 0.07 AND v <= 0.9277 - 3.6224 / (b - 2)) OR (k >= 0 AND NOT (e < 0.013 AND v > e) AND ln(v) + ln(1.1239 + 1.1328 / (b - 3.4)) - ln(a / (e * e) + b) <= -n + k * ln(n) - lgamma(greatest(k, 0) + 1)) GROUP BY rid),
+ {name} AS (SELECT d.*, CASE WHEN n < 10 THEN len(list_filter(cdf, lambda c: c < u)) ELSE k END::DOUBLE AS w FROM {name}_d d LEFT JOIN {name}_t USING (n) LEFT JOIN {name}_l USING (rid))"""
+
+
+def _summary(reps, by, metrics):
+    pre = f"{by}, " if by else ""
+    un = " UNION ALL ".join(f"SELECT {pre}'{m}' AS metric, {m} AS v FROM {reps}" for m in metrics)
+    return f"""SELECT {pre}metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS ci_lower, round(quantile_cont(v, 0.975), 6) AS ci_upper, round(quantile_cont(v, 0.975) - quantile_cont(v, 0.025), 6) AS ci_width FROM ({un}) GROUP BY {pre}metric"""
 
 
 def _boot(rel, by, reps, metrics):
     pre = f"{by}, " if by else ""
-    cols = f"{pre}y, pred, rep"
     sel = ", ".join(f"{e} AS {n}" for n, e in metrics.items())
-    un = " UNION ALL ".join(f"SELECT {pre}'{m}' AS metric, {m} AS v FROM reps" for m in metrics)
-    return f"""bcells AS (SELECT {pre}y, pred, count(*)::DOUBLE AS n FROM {rel} GROUP BY {pre}y, pred), dr AS (SELECT *, {UNIT.format(cols)} AS u FROM bcells, (SELECT unnest(range(1, {reps + 1})) AS rep)),
- ww AS ({NORMAL.format('dr')}), reps AS (SELECT {pre}rep, {sel} FROM ww GROUP BY {pre}rep), l AS ({un})
- SELECT {pre}metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS ci_lower, round(quantile_cont(v, 0.975), 6) AS ci_upper, round(quantile_cont(v, 0.975) - quantile_cont(v, 0.025), 6) AS ci_width FROM l GROUP BY {pre}metric"""
+    return f"""bcells AS (SELECT {pre}y, pred, count(*)::DOUBLE AS n FROM {rel} GROUP BY {pre}y, pred), dr AS (SELECT * FROM bcells, (SELECT unnest(range(1, {reps + 1})) AS rep)),
+ {poisson_sql('ww', 'dr', f'{pre}y, pred, rep')}, reps AS (SELECT {pre}rep, {sel} FROM ww GROUP BY {pre}rep) {_summary('reps', by, metrics)}"""
 
 
+def _score_boot(draws, by):
+    """Metrics per replicate from ``draws``: (by, score, rep, wp, wn)."""
+    pre = f"{by}, " if by else ""
+    return f"""run AS (SELECT *, sum(wp) OVER o AS tp, sum(wp + wn) OVER o AS called FROM {draws} WINDOW o AS (PARTITION BY {pre}rep ORDER BY score DESC)),
+ g AS (SELECT {pre}rep, sum(wp) AS P, sum(wn) AS N, sum(wn * (tp - wp / 2)) AS area, sum(CASE WHEN called > 0 THEN wp * tp / called ELSE 0 END) AS ap, coalesce(sum(wp) FILTER (score >= 0.5), 0) AS hit, coalesce(sum(wn) FILTER (score >= 0.5), 0) AS fls FROM run GROUP BY {pre}rep),
+ reps AS (SELECT {pre}rep, (hit + N - fls) / (P + N) AS accuracy, hit / (hit + fls) AS precision, hit / P AS recall, 2 * hit / (hit + fls + P) AS f1, area / (P * N) AS roc_auc, ap / P AS average_precision FROM g)"""
+
+
+SIX = ["accuracy", "precision", "recall", "f1", "roc_auc", "average_precision"]
 TP, FP, FN = ("sum(w) FILTER (WHERE y = 1 AND pred = 1)", "sum(w) FILTER (WHERE y = 0 AND pred = 1)", "sum(w) FILTER (WHERE y = 1 AND pred = 0)")
 LM = {"accuracy": "sum(w) FILTER (WHERE y = pred) / sum(w)", "precision": f"{TP} / ({TP} + {FP})", "recall": f"{TP} / ({TP} + {FN})", "f1": f"2 * {TP} / (2 * {TP} + {FP} + {FN})"}
 W = "w0 AS (SELECT y, sex, grp, id_student, prob_gru AS p, CASE WHEN prob_gru >= 0.5 THEN 1 ELSE 0 END AS pred FROM predictions)"
@@ -37,31 +57,34 @@ def _(t):
     return rounded(I.bootstrap_ci(wide(t), [], ["y", "pred"], I.label_metrics, reps=200))
 
 
-@query("bootstrap_model_comparison", LP, f"WITH w0 AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS pred FROM long_predictions), {_boot('w0', 'model', 100, LM)}")
+@query("bootstrap_model_comparison", LP, f"""WITH sc AS (SELECT model, p AS score, sum(y)::DOUBLE AS pos, (count(*) - sum(y))::DOUBLE AS neg FROM long_predictions GROUP BY model, p), rp AS (SELECT unnest(range(1, 101)) AS rep),
+ dp AS (SELECT model, score, rep, pos AS n, 'p' AS side FROM sc, rp UNION ALL SELECT model, score, rep, neg, 'n' FROM sc, rp), {poisson_sql('ww', 'dp', 'model, score, rep, side')},
+ dd AS (SELECT model, score, rep, sum(w) FILTER (side = 'p') AS wp, sum(w) FILTER (side = 'n') AS wn FROM ww GROUP BY model, score, rep), {_score_boot('dd', 'model')} {_summary('reps', 'model', SIX)}""")
 def _(t):
-    return rounded(I.bootstrap_ci(lp(t), ["model"], ["y", "pred"], I.label_metrics, reps=100))
+    return rounded(I.bootstrap_scores(lp(t), ["model"], reps=100))
 
 
-@query("mean_ci_by_model", LP, f"""WITH cells AS (SELECT model, floor(round(abs(p - y) * 3, 6)) / 3 AS err, count(*)::DOUBLE AS n FROM long_predictions GROUP BY 1, 2), dr AS (SELECT *, {UNIT.format('model, CAST(CAST(round(err * 3) AS BIGINT) AS VARCHAR), rep')} AS u FROM cells, (SELECT unnest(range(1, 101)) AS rep)),
- ww AS ({NORMAL.format('dr')}), reps AS (SELECT model, rep, sum(err * w) / sum(w) AS v FROM ww GROUP BY model, rep)
+@query("mean_ci_by_model", LP, f"""WITH cells AS (SELECT model, floor(round(abs(p - y) * 3, 6)) / 3 AS err, count(*)::DOUBLE AS n FROM long_predictions GROUP BY 1, 2), dr AS (SELECT * FROM cells, (SELECT unnest(range(1, 101)) AS rep)),
+ {poisson_sql('ww', 'dr', 'model, CAST(CAST(round(err * 3) AS BIGINT) AS VARCHAR), rep')}, reps AS (SELECT model, rep, sum(err * w) / sum(w) AS v FROM ww GROUP BY model, rep)
  SELECT model, 'mean_error' AS metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS ci_lower, round(quantile_cont(v, 0.975), 6) AS ci_upper, round(quantile_cont(v, 0.975) - quantile_cont(v, 0.025), 6) AS ci_width FROM reps GROUP BY model""")
 def _(t):
     cells = lp(t).withColumn("err", F.floor(F.round(F.abs(F.col("p") - F.col("y")) * 3, 6)).cast("bigint"))
     return rounded(I.bootstrap_ci(cells, ["model"], ["err"], lambda w: {"mean_error": I.weighted_mean(F.col("err") / 3, w)}, reps=100))
 
 
-@query("cluster_bootstrap", "predictions", f"""WITH {W}, c AS (SELECT id_student, sum(CASE WHEN y = pred THEN 1 ELSE 0 END)::DOUBLE AS ok, count(*)::DOUBLE AS n, sum((p - y) ** 2) AS se FROM w0 GROUP BY 1),
- d AS (SELECT *, CASE WHEN {UNIT.format('id_student, rep')} <= exp(-1) THEN 0.0 ELSE 1.0 END AS w FROM c, (SELECT unnest(range(1, 51)) AS rep)), r AS (SELECT rep, sum(ok * w) / sum(n * w) AS accuracy, sum(se * w) / sum(n * w) AS brier FROM d GROUP BY rep),
- l AS (SELECT 'accuracy' AS metric, accuracy AS v FROM r UNION ALL SELECT 'brier', brier FROM r)
- SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS ci_lower, round(quantile_cont(v, 0.975), 6) AS ci_upper, round(quantile_cont(v, 0.975) - quantile_cont(v, 0.025), 6) AS ci_width FROM l GROUP BY metric""")
+@query("cluster_bootstrap", "predictions", f"""WITH {W}, k AS (SELECT id_student, rep, CASE WHEN {UNIT.format('id_student, rep', 1)} <= exp(-1) THEN 0.0 ELSE 1.0 END AS w FROM (SELECT DISTINCT id_student FROM predictions), (SELECT unnest(range(1, 51)) AS rep)),
+ c AS (SELECT id_student, sum((p - y) ** 2) AS se, count(*)::DOUBLE AS n FROM w0 GROUP BY 1), b AS (SELECT rep, sum(se * w) / sum(n * w) AS brier FROM c JOIN k USING (id_student) GROUP BY rep),
+ sc AS (SELECT id_student, p AS score, sum(y)::DOUBLE AS pos, (count(*) - sum(y))::DOUBLE AS neg FROM w0 GROUP BY 1, 2), dd AS (SELECT score, rep, sum(pos * w) AS wp, sum(neg * w) AS wn FROM sc JOIN k USING (id_student) GROUP BY score, rep), {_score_boot('dd', '')},
+ all_reps AS (SELECT * FROM reps JOIN b USING (rep)) {_summary('all_reps', '', [*SIX, 'brier'])}""")
 def _(t):
-    sums = {"ok": F.sum((F.col("y") == F.col("pred")).cast("double")), "n": F.count(F.lit(1)).cast("double"), "se": F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2)))}
-    return rounded(I.cluster_bootstrap(wide(t), "id_student", sums, lambda: {"accuracy": F.col("ok") / F.col("n"), "brier": F.col("se") / F.col("n")}, reps=50))
+    sums = {"n": F.count(F.lit(1)).cast("double"), "se": F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2)))}
+    brier = I.cluster_bootstrap(wide(t), "id_student", sums, lambda: {"brier": F.col("se") / F.col("n")}, reps=50)
+    return rounded(brier.unionByName(I.cluster_bootstrap_scores(wide(t), "id_student", reps=50)))
 
 
 @query("bootstrap_two_sample", "predictions", f"""WITH v AS (SELECT CASE WHEN sex = 'F' THEN 1 ELSE 0 END AS arm, CAST(round(prob_gru * 10) AS BIGINT) AS v FROM predictions), o AS (SELECT avg(v) FILTER (WHERE arm = 1) - avg(v) FILTER (WHERE arm = 0) AS d, (count(*) FILTER (WHERE arm = 1))::DOUBLE / count(*) AS s FROM v),
- c AS (SELECT v, count(*)::DOUBLE AS k FROM v GROUP BY v), r AS (SELECT * FROM c, o, (SELECT unnest(range(1, 101)) AS rep)),
- a AS ({NORMAL.format("(SELECT *, k * s AS n, " + UNIT.format("v, rep, 'a'") + " AS u FROM r)")}), b AS ({NORMAL.format("(SELECT *, k * (1 - s) AS n, " + UNIT.format("v, rep, 'b'") + " AS u FROM r)")}),
+ c AS (SELECT v, count(*)::DOUBLE AS kk FROM v GROUP BY v), r AS (SELECT * FROM c, o, (SELECT unnest(range(1, 101)) AS rep)),
+ ra AS (SELECT *, kk * s AS n FROM r), rb AS (SELECT *, kk * (1 - s) AS n FROM r), {poisson_sql('a', 'ra', "v, rep, 'a'")}, {poisson_sql('b', 'rb', "v, rep, 'b'")},
  m AS (SELECT rep, (SELECT sum(a.v * a.w) / sum(a.w) FROM a WHERE a.rep = x.rep) - (SELECT sum(b.v * b.w) / sum(b.w) FROM b WHERE b.rep = x.rep) AS diff FROM (SELECT DISTINCT rep FROM r) x)
  SELECT round(any_value(d), 6) AS observed, round(avg(CASE WHEN abs(diff) >= abs(d) THEN 1 ELSE 0 END), 6) AS p_value, count(*) AS replicates FROM m, o""")
 def _(t):
@@ -78,6 +101,16 @@ def _(t):
     return rounded(I.permutation_test(v, "id", "arm", "v", reps=30))
 
 
+@query("poisson_cells", "predictions", f"""WITH cells AS (SELECT CAST(floor(prob_gru * 20) AS BIGINT) AS cell, y, count(*)::DOUBLE AS n FROM predictions WHERE id % 3 > 0 GROUP BY 1, 2), few AS (SELECT id_student % 997 AS cell, 2 AS y, count(*)::DOUBLE AS n FROM predictions GROUP BY 1),
+ dr AS (SELECT * FROM (SELECT * FROM cells UNION ALL SELECT * FROM few), (SELECT unnest(range(1, 6)) AS rep)), {poisson_sql('ww', 'dr', 'cell, y, rep')} SELECT cell, y, rep, n, w FROM ww""")
+def _(t):
+    p = t.predictions
+    cells = p.where("id % 3 > 0").groupBy(F.floor(F.col("prob_gru") * 20).cast("bigint").alias("cell"), "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    few = p.groupBy((F.col("id_student") % 997).alias("cell"), F.lit(2).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    drawn = cells.union(few).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return drawn.select("cell", "y", "rep", "n", poisson_draw(["cell", "y", "rep"], 42, F.col("n")).alias("w"))
+
+
 def calls(t):
     return t.predictions.select("y", *[(F.col(m) >= 0.5).cast("int").alias(m) for m in MODELS])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edlens.functions.hashing import key_unit, poisson_weight
+from edlens.functions.hashing import key_unit, poisson_draw
 from edlens.functions.scalars import clip
 
 
@@ -25,7 +25,7 @@ def synth_course_tables(spark: SparkSession, n: int, seed: int = 42) -> dict[str
         _choice(u("edu"), ["Lower Than A Level", "A Level or Equivalent", "HE Qualification"]).alias("highest_education"),
         _choice(u("imd"), ["0-10%", "10-20%", "20-30%", "30-40%", "40-50%"]).alias("imd_band"),
         _choice(u("age"), ["0-35", "35-55", "55<="]).alias("age_band"), _choice(u("dis"), ["N", "Y"]).alias("disability"),
-        poisson_weight(u("attempts"), 0.5).cast("bigint").alias("num_of_prev_attempts"), (F.floor(u("credits") * 8) * 30 + 30).alias("studied_credits"),
+        poisson_draw(["id_student"], f"{seed}-attempts", 0.5).cast("bigint").alias("num_of_prev_attempts"), (F.floor(u("credits") * 8) * 30 + 30).alias("studied_credits"),
     )
     reg = keyed.select("*", (-F.floor(u("reg") * 60)).cast("int").alias("date_registration"),
                        _choice(u("result"), ["Pass", "Fail", "Withdrawn", "Distinction"]).alias("final_result"))
@@ -41,7 +41,7 @@ def synth_mooc(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     u = lambda name: key_unit(["user_id"], f"{seed}-{name}")
     df = spark.range(1, n + 1).select(F.col("id").alias("user_id")).select(
         "user_id", _choice(u("sex"), ["M", "F"]).alias("sex"), u("video").alias("video_completion_rate"),
-        poisson_weight(u("assign"), 6.0).alias("assignments_submitted"), poisson_weight(u("forum"), 3.0).alias("forum_posts"),
+        poisson_draw(["user_id"], f"{seed}-assign", 6.0).alias("assignments_submitted"), poisson_draw(["user_id"], f"{seed}-forum", 3.0).alias("forum_posts"),
         (1 + F.floor(u("days") * 60)).alias("days_active"), (-300 * F.log(1 - u("time"))).alias("total_video_time"),
     )
     raw = 40 + 60 * u("score")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edlens.functions import tails
-from edlens.functions.hashing import key_unit, poisson_weight
+from edlens.functions.hashing import log_poisson, poisson_draw
 from edlens.operators import alignment as A
 from edlens.operators import inference as I
 from edlens.operators import neighbours as N
@@ -33,11 +33,32 @@ def test_p_value_columns(spark):
     assert m.p_value == pytest.approx(math.erfc(math.sqrt(m.statistic / 2)))
 
 
-def test_poisson_weights_have_the_right_moments(spark):
-    for rate in (0.5, 1.0, 7.0, 100.0):
-        w = spark.range(4000).select(poisson_weight(key_unit(["id"], f"p{rate}"), F.lit(rate)).alias("w"))
-        r = w.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
-        assert r.m == pytest.approx(rate, rel=0.06) and r.v == pytest.approx(rate, rel=0.12)
+def test_poisson_draws_follow_one_law(spark):
+    """Mean, variance and distribution function on both sides of the change of method, and at a rate of a million."""
+    for rate in (0.5, 1.0, 7.0, 9.5, 10.0, 39.0, 41.0, 100.0, 1e6):
+        n = 4000
+        w = sorted(r.w for r in spark.range(n).select(poisson_draw(["id"], f"p{rate}", F.lit(rate)).alias("w")).collect())
+        m = sum(w) / n
+        v = sum((x - m) ** 2 for x in w) / n
+        assert abs(m - rate) < 5 * math.sqrt(rate / n) and v == pytest.approx(rate, rel=0.12)
+        low = int(max(0, rate - 8 * math.sqrt(rate)))
+        upto, worst, i = 0.0, 0.0, 0
+        for k in range(low, int(rate + 8 * math.sqrt(rate) + 10)):
+            upto += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+            while i < n and w[i] <= k:
+                i += 1
+            worst = max(worst, abs(i / n - upto))
+        assert worst < 1.9 / math.sqrt(n)  # Kolmogorov distance of a correct sampler: fewer than one in a thousand
+
+
+def test_log_poisson_without_cancellation(spark):
+    rows = [(3.0, 10.0), (15.0, 20.0), (16.0, 12.0), (1e6 + 700, 1e6), (1e12 + 1e6, 1e12), (40.0, 100.0)]
+    got = spark.createDataFrame(rows, "k double, rate double").select("k", "rate", log_poisson(F.col("k"), F.col("rate")).alias("l")).collect()
+    for r in got:
+        if r.rate < 1e9:
+            assert r.l == pytest.approx(-r.rate + r.k * math.log(r.rate) - math.lgamma(r.k + 1), abs=1e-7)
+        else:
+            assert r.l == pytest.approx(-0.5 * math.log(2 * math.pi * r.rate) - (r.k - r.rate) ** 2 / (2 * r.rate), abs=1e-5)
 
 
 def test_beta_draws(spark):
