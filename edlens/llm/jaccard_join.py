@@ -7,14 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edlens.llm import shared as S
 from edlens.llm.components import components
 
-#: Cells of the document-frequency table that orders shingles: a fixed 4 MB in each task.
-LOAD_BITS = 20
+#: Cells of the document-frequency table that orders shingles, one byte each: a fixed 16 MB in each task.
+LOAD_BITS = 24
+#: Pieces in which a task hands in its counts.
+CHUNKS = 64
 #: Bits of a bitmap for each shingle of the longest set in its band.
 BITS_PER_SHINGLE = 4
 #: Members compared with one leader inside one task; larger sets of them are salted.
@@ -47,26 +50,50 @@ def cell(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64((1 << LOAD_BITS) - 1)).astype(np.int64)
 
 
+def load_code(count: np.ndarray) -> np.ndarray:
+    """Counts on a scale of one byte: exact below 16, then eight steps to a doubling."""
+    exact = np.maximum(count, 1)
+    return np.where(count < 16, count, np.minimum(16 + 8 * np.log2(exact / 16), 255)).astype(np.uint8)
+
+
 def cell_loads(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Shingles of all documents per hash cell: a table of fixed size, summed in Spark."""
-    size, chunks = 1 << LOAD_BITS, 256
+    """Shingles of all documents per hash cell, as codes: a table of fixed size, summed in Spark.
+
+    A task counts up to 255 in a cell and hands in the counts compressed; sums stream through sorted partitions.
+    """
+    size = 1 << LOAD_BITS
+    part = size // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint8)
         for batch in batches:
             for grams in shingle_sets(batch.column(0), words):
-                np.add.at(total, cell(grams), 1) if len(grams) < 1000 else np.add(total, np.bincount(cell(grams), minlength=size).astype(np.uint32), out=total)
+                at = cell(grams)
+                total[at] += total[at] < 255
         if total.any():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(chunks), pa.int32()), "loads": pa.array([x.tobytes() for x in total.reshape(chunks, -1)], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, t).astype(np.uint64) for x, t in ((y.as_buffer(), np.uint32) for y in table["loads"]))
-        return pa.table({"chunk": table["chunk"].slice(0, 1), "loads": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+            packer = zstandard.ZstdCompressor(level=1)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "loads": pa.array([packer.compress(x.tobytes()) for x in total.reshape(CHUNKS, -1)], pa.binary())})
 
-    parts = docs.select(S.text_of(text).alias("text")).mapInArrow(count, "chunk int, loads binary").groupBy("chunk").applyInArrow(add, "chunk int, loads binary").collect()
-    out = np.zeros((chunks, size // chunks), np.uint32)
-    for part in parts:
-        out[part["chunk"]] = np.frombuffer(part["loads"], np.uint32)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(part, np.int64)
+        packer, unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        out = lambda: pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int32()), "loads": pa.array([packer.compress(load_code(total).tobytes())], pa.binary())})
+        for batch in batches:
+            for chunk, loads in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if chunk != now and now is not None:
+                    yield out()
+                    total[:] = 0
+                now = chunk
+                total += np.frombuffer(unpacker.decompress(loads.as_buffer()), np.uint8)
+        if now is not None:
+            yield out()
+
+    counts = docs.select(S.text_of(text).alias("text")).mapInArrow(count, "chunk int, loads binary")
+    sums = counts.repartition(S.wide(docs), "chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, loads binary").collect()  # one row per chunk
+    out = np.zeros((CHUNKS, part), np.uint8)
+    unpacker = zstandard.ZstdDecompressor()
+    for row in sums:
+        out[row["chunk"]] = np.frombuffer(unpacker.decompress(bytes(row["loads"])), np.uint8)
     return out.reshape(-1)
 
 
@@ -278,7 +305,7 @@ def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose shingle sets, cut again from the texts, reach the threshold.
+    """A written table of the pairs whose shingle sets, cut again from the texts, reach the threshold.
 
     Sets meet at the smaller class: its text goes to every salt of its members, and members follow it.
     """
@@ -304,7 +331,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 good.append(100 * common >= percent * (len(mine) + len(grams) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return rows.select("a", "salt", "cls", "text", "rest").mapInArrow(check, "a long, b long").distinct()
+    links = S.written(rows.select("a", "salt", "cls", "text", "rest").mapInArrow(check, "a long, b long").distinct(), "near-links")
+    S.forget(seats)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -323,35 +352,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows share the mark). Shingles are equal when their 64-bit hashes are.
     """
     signs = S.written(signatures(docs, id_col, text, words, percent), "signatures")
+    documents = S.written(signs.select("id", "mark", "n", F.col("s1").alias("cls")), "documents")
     full = signs.where("n > 0")
-    classes = S.written(full.groupBy("s1", "s2", "n").agg(F.min_by(F.struct("id", "mark", "prefix", "bits"), F.struct(F.col("id").isNull(), "id", "mark")).alias("r"))
-                        .select(F.col("s1").alias("cls"), "n", "r.*"), "classes")
+    heads = F.min_by(F.struct("id", "mark", "prefix", "bits"), F.struct(F.col("id").isNull(), "id", "mark")).alias("r")
+    classes = S.written(full.groupBy("s1", "s2", "n").agg(heads).select(F.col("s1").alias("cls"), "n", "r.*"), "classes")
     rows = S.written(tiles(classes.select(F.explode("prefix").alias("key"), "n", "cls"), percent), "tiles")
+    S.forget(signs)
     stars = rows.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
     texts = class_texts(rows.select("cls").distinct(), classes, docs, id_col, text)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return S.written(verified(bounded(pairs, classes, percent), texts, words, percent), "near-links")
-
-    def rooted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        known = rows.join(roots, rows["cls"] == roots["node"], "left").select("key", "n", "cls", F.coalesce("root", "cls").alias("root"))
-        return roots, S.written(known, "rooted")
-
-    links = linked(stars)
-    roots, known = rooted(links)
-    while (found := linked(crossing(known, classes, percent, NEAREST))).take(1):
-        links = links.union(found)
-        roots, known = rooted(links)
-    found = linked(crossing(known, classes, percent))
-    if found.take(1):
-        roots = components(links.union(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = full.select("id", "mark", "n", F.col("s1").alias("cls"))
-    placed = placed.join(roots, placed["cls"] == roots["node"], "left").select("id", "mark", "n", "cls", F.coalesce("root", "cls").alias("root"))
-    names = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "cls", "mark")).alias("h"))
-    joined = placed.join(names, "root").select("id", "mark", F.col("n").alias("n_shingles"), placed["cls"], F.col("h.id").alias("component_id"),
-                                               (F.col("id").eqNullSafe(F.col("h.id")) & (placed["cls"] == F.col("h.cls")) & (F.col("mark") == F.col("h.mark"))).alias("head"))
-    alone = signs.where("n = 0").select("id", "mark", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("cls"), F.col("id").alias("component_id"), F.lit(True).alias("head"))
+        return verified(bounded(pairs, classes, percent), texts, words, percent)
+
+    def rooted(known: DataFrame, roots: DataFrame) -> DataFrame:
+        met = known.select("key", "n", "cls").join(roots, known["cls"] == roots["node"], "left")
+        return S.written(met.select("key", "n", "cls", F.coalesce("root", "cls").alias("root")), "rooted")
+
+    def joined_up(roots: DataFrame, found: DataFrame) -> DataFrame:
+        """Components of the stars so far and the new links."""
+        return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    found = linked(stars)
+    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = rooted(rows, roots)
+    for nearest in (NEAREST, None):
+        while (found := linked(crossing(known, classes, percent, nearest))).take(1):
+            roots = joined_up(roots, found)
+            if nearest is None:
+                break
+            old, known = known, rooted(known, roots)
+            S.forget(old, found)
+    # Names by class: the documents of a large class or component never meet in one task.
+    rooted_classes = classes.select("cls", "id", "mark").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "id", "mark", F.coalesce("root", "cls").alias("root"))
+    rooted_classes = S.written(rooted_classes, "class-roots")
+    names = S.written(rooted_classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "cls", "mark")).alias("h")), "names")
+    named = S.written(rooted_classes.select("cls", "root").join(names, "root").select(F.col("cls").alias("c"), "h"), "class-names")
+    S.forget(known, rows, texts)
+    joined = documents.where("n > 0").join(named, F.col("cls") == F.col("c")).select("id", "mark", F.col("n").alias("n_shingles"), "cls", F.col("h.id").alias("component_id"),
+                                               (F.col("id").eqNullSafe(F.col("h.id")) & (F.col("cls") == F.col("h.cls")) & (F.col("mark") == F.col("h.mark"))).alias("head"))
+    alone = documents.where("n = 0").select("id", "mark", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("cls"), F.col("id").alias("component_id"), F.lit(True).alias("head"))
     return joined.union(alone)
 
 
