@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from edlens.llm import shared as S
 
-#: Hashes of a paragraph; each gives eight lanes of one byte, summed two to a long, 32 bits apart.
+#: Hashes of a paragraph; each gives eight lanes of one byte. Their sums modulo 2 ** 32 are kept two to a long.
 HASHES = 4
-LANES = 0x000000FF000000FF
+MODULUS = 1 << 32
 #: Paragraphs end at line breaks and at the end of sentences.
 BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A\x0D]+"
-SUMS = tuple(f"s{k}_{j}" for k in range(HASHES) for j in range(4))
+LANES = tuple(f"s{k}_{j}" for k in range(HASHES) for j in range(8))
 
 
 def paragraphs(text: Column) -> Column:
@@ -20,26 +20,38 @@ def paragraphs(text: Column) -> Column:
 
 
 def lanes(part: Column) -> list[Column]:
-    """The vector of one paragraph, packed into longs."""
-    out = []
-    for k in range(HASHES):
-        h = F.xxhash64(F.lit(k), part)
-        out += [F.shiftrightunsigned(h, 8 * j).bitwiseAND(LANES).alias(f"s{k}_{j}") for j in range(4)]
-    return out
+    """The vector of one paragraph."""
+    return [F.shiftrightunsigned(F.xxhash64(F.lit(k), part), 8 * j).bitwiseAND(0xFF).alias(f"s{k}_{j}") for k in range(HASHES) for j in range(8)]
+
+
+def pack(low: Column, high: Column) -> Column:
+    """Two lanes modulo 2 ** 32 in one long."""
+    return F.shiftleft(F.pmod(high, F.lit(MODULUS)), 32).bitwiseOR(F.pmod(low, F.lit(MODULUS)))
+
+
+def unpack(s: Column) -> tuple[Column, Column]:
+    return s.bitwiseAND(MODULUS - 1), F.shiftrightunsigned(s, 32)
 
 
 def summed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, ``n``, ``sums`` of the paragraphs of one text per key; sums of repeated rows are divided by their number."""
-    parts = df.select(*keys, F.posexplode_outer(paragraphs(F.col(text))).alias("__at", "__p"))
-    some = F.col("__p").isNotNull()
-    parts = parts.select(*keys, some.cast("long").alias("__n"), (F.coalesce("__at", F.lit(0)) == 0).cast("long").alias("__rows"), *lanes(F.col("__p")))
-    total = parts.groupBy(*keys).agg(F.sum("__rows").alias("__rows"), F.sum("__n").alias("n"), *(F.sum(F.when(F.col("__n") == 1, F.col(s)).otherwise(F.lit(0))).alias(s) for s in SUMS))
-    return total.select(*keys, F.expr("n div __rows").alias("n"), F.array(*(F.expr(f"{s} div __rows") for s in SUMS)).alias("sums"))
+    """``keys``, ``n``, ``sums`` of the paragraphs of one text per key: rows of a key are added up one by one, then one of them stands for all."""
+    rows = df.select(*keys, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
+    parts = rows.select(*keys, "__row", F.explode_outer(paragraphs(F.col("__text"))).alias("__p"))
+    parts = parts.select(*keys, "__row", F.col("__p").isNotNull().cast("long").alias("__n"), *lanes(F.col("__p")))
+    each = parts.groupBy(*keys, "__row").agg(F.sum("__n").alias("n"), *(F.sum(F.when(F.col("__n") == 1, F.col(s)).otherwise(F.lit(0))).alias(s) for s in LANES))
+    pairs = [pack(F.col(f"s{k}_{j}"), F.col(f"s{k}_{j + 4}")) for k in range(HASHES) for j in range(4)]
+    one = each.select(*keys, F.struct("n", F.array(*pairs).alias("sums")).alias("__v")).groupBy(*keys).agg(F.min("__v").alias("__v"))
+    return one.select(*keys, "__v.n", "__v.sums")
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """Sums of two multisets together, or of ``a`` without the paragraphs of ``b`` (``sign`` -1)."""
-    return F.zip_with(a, b, lambda x, y: x + sign * y)
+    """Sums of two multisets together, or of ``a`` without the paragraphs of ``b`` (``sign`` -1), lane by lane modulo 2 ** 32."""
+
+    def both(x: Column, y: Column) -> Column:
+        (p, q), (r, s) = unpack(x), unpack(y)
+        return pack(p + sign * r, q + sign * s)
+
+    return F.zip_with(a, b, both)
 
 
 def digest(n: Column, sums: Column) -> Column:
@@ -51,7 +63,7 @@ def likeness(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
     """Cosine of the centred vectors, 0 to 1: about the share of common paragraphs. Empty ones equal each other."""
 
     def centred(n: Column, sums: Column) -> Column:
-        return F.flatten(F.transform(sums, lambda s: F.array(s.bitwiseAND(0xFFFFFFFF) - 127.5 * n, F.shiftrightunsigned(s, 32) - 127.5 * n)))
+        return F.flatten(F.transform(sums, lambda s: F.array(*(x - 127.5 * n for x in unpack(s)))))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
@@ -105,7 +117,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     kept = F.expr("substring(text, 1, int(length(text) - floor(length(text) / 4)))")
     edited = joined(heads, "to_id", "to_mark").select("id", "mark", F.concat(kept, "head").alias("text"))
     edited = summed(edited.withColumn("sha", F.sha2("text", 256)), ["id", "mark", "sha"], "text")
-    # equal texts have equal sums: one row per text, found again by its hash
+    # Equal texts have equal sums: one row per text, found again by its hash.
     own = S.written(summed(rows, ["mark"], "text"), "sums")
     e = edited.select(F.col("id").alias("e_id"), F.col("mark").alias("e_mark"), "sha", F.col("n").alias("e_n"), F.col("sums").alias("e_sums"))
     o = own.select(F.col("mark").alias("o_mark"), F.col("n").alias("o_n"), F.col("sums").alias("o_sums"))
