@@ -38,7 +38,7 @@ def vocabulary(name: str) -> str:
 @query("op1_secret_scan", "documents")
 def _(docs):
     found = secret_scan.find_secrets(docs.select("doc_id", "text", "source", "lang"))
-    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "n_owned", "n_shared")
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "n_owned", "n_shared", "owners", "repositories")
 
 
 @query("op2_substring_dedup", "documents", sql.SUBSTRING_DEDUP)

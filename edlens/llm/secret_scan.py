@@ -66,14 +66,14 @@ def listing(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = 2) -> DataFrame:
-    """One row per document: ``id``, ``mark``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``found``, ``n_added``, ``n_owned``, ``n_shared``.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = 2, max_repositories: int = 3) -> DataFrame:
+    """One row per document: ``id``, ``mark``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``found``, ``n_added``, ``n_owned``, ``n_shared``, ``owners``, ``repositories``.
 
     Base spans are the leftmost non-overlapping matches of each kind. Candidate values are hashed and counted over
-    the corpus by distinct repositories and owners: one known to more than ``max_owners`` owners is a widely
-    copied example, another looks live. Live-looking tokens that no base span touches are added as ``owned``.
-    ``n_owned`` and ``n_shared`` count the base spans of either sort. ``found`` holds the spans (start, kind,
-    end), sorted.
+    the corpus by distinct repositories and owners: one known to more than ``max_owners`` owners, or to more than
+    ``max_repositories`` repositories, is a widely copied example, another looks live. Live-looking tokens that no base
+    span touches are added as ``owned``. ``n_owned`` and ``n_shared`` count the base spans of either sort, ``owners`` and
+    ``repositories`` hold the most of them that a base span's value is known to. ``found`` holds the spans (start, kind, end), sorted.
 
     ``owner`` and ``repository`` default to the columns source and lang within source; a null counts as an owner
     of its own. Null text: empty, no spans. Repeated rows and null ids: a row each; repeated rows of one owner
@@ -85,7 +85,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ow
     hits = spans(rows).withColumn("hash", F.xxhash64("value")).drop("value")
     hits = S.written(hits, "spans")
     hits = hits.join(ownership(hits), "hash")
-    mine = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", (F.col("n_owners") <= max_owners).alias("live")))).alias("all"))
+    mine = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repositories)).alias("live")))).alias("all"),
+                                    *(F.coalesce(F.max(F.when(F.col("kind") < len(BASE), F.col(c))), F.lit(0)).alias(name) for c, name in (("n_owners", "owners"), ("n_repos", "repositories"))))
     mine = mine.withColumn("base", F.filter("all", lambda s: s["kind"] < len(BASE)))
     more = F.filter("all", lambda s: (s["kind"] == len(BASE)) & s["live"] & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     mine = mine.withColumn("more", more)
@@ -99,7 +100,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ow
     out = out.withColumn("found", both)
     counts = [count(of_kind(i)).alias(f"n_{name}") for i, (name, _, _) in enumerate(BASE)]
     return out.select("id", "mark", *counts, F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("found")).alias("spans"), "found",
-                      F.size("more").cast("long").alias("n_added"), count(lambda s: s["live"]).alias("n_owned"), count(lambda s: ~s["live"]).alias("n_shared"))
+                      F.size("more").cast("long").alias("n_added"), count(lambda s: s["live"]).alias("n_owned"), count(lambda s: ~s["live"]).alias("n_shared"),
+                      *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("owners", "repositories")))
 
 
 def masked(text: Column, found: Column) -> Column:
