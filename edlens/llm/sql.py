@@ -15,7 +15,7 @@ QUALITY_RULES = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coa
  s AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1)::BIGINT)) AS i, w FROM d),
  k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n FROM s),
  rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(range(5)) AS p FROM k WHERE n > 1) GROUP BY doc_id),
- l AS (SELECT doc_id, host, text, unnest(list_filter(ls, lambda x: length(x) <= 160)) AS line FROM d),
+ l AS (SELECT doc_id, host, text, unnest(ls) AS line FROM d),
  l2 AS (SELECT doc_id, host, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, length(line) AS chars FROM l),
  freq AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM l2 GROUP BY ALL) JOIN (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host) USING (host) WHERE n > 20 AND n > docs * 0.005),
  gone AS (SELECT doc_id, sum(chars) AS chars FROM l2 JOIN freq USING (host, norm) GROUP BY doc_id),

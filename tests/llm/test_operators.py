@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -92,6 +94,15 @@ def test_secrets_by_ownership(spark):
     assert found[1].spans == f"owned:4:{4 + len(live)}" and found[10].spans == "" and found[20].spans.startswith("assign:0:") and found[20].n_owned == 1
 
 
+def test_secrets_by_repositories(spark):
+    """One owner: a value in few repositories looks live, in many it is an example."""
+    live, copied = "aB3dE5gH7jK9mN1pQ3sT5", "Zz9Yy8Xx7Ww6Vv5Uu4Tt3"
+    rows = [(k, f"key {live} token={live}", "a", f"r{k}") for k in range(3)] + [(10 + k, f"see {copied} token={copied}", "a", f"r{k}") for k in range(4)] + [(20 + k, f"see {copied}", "a", "r1") for k in range(5)]
+    found = {r.id: r for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert found[0].n_added == 1 and (found[0].n_owned, found[0].n_shared, found[0].owners, found[0].repositories) == (1, 0, 1, 3)
+    assert found[10].n_added == 0 and (found[10].n_owned, found[10].n_shared, found[10].owners, found[10].repositories) == (0, 1, 1, 4) and found[20].spans == "" and found[20].repositories == 0
+
+
 def test_masking(docs):
     for r in secret_scan.mask_secrets(docs).collect():
         assert not base_spans((r.text or "").replace("<secret>", "\n"))
@@ -402,8 +413,51 @@ def test_fingerprints(docs):
 
 def test_fingerprints_add_up(spark):
     rows = [(1, "One a.\nTwo b.\nThree c."), (2, "Three c.\nOne a.\nTwo b."), (3, "Two b."), (4, "One a.\nThree c.")]
-    sums = {r.k: r for r in fingerprints.summed(spark.createDataFrame(rows, "k int, text string"), ["k"], "text").collect()}
-    assert sums[1].sums == sums[2].sums and [a - b for a, b in zip(sums[1].sums, sums[3].sums)] == sums[4].sums and sums[1].n == 3
+    table = fingerprints.summed(spark.createDataFrame(rows, "k int, text string"), ["k"], "text").orderBy("k")
+    sums = {r.k: r for r in table.collect()}
+    assert sums[1].sums == sums[2].sums and sums[1].n == 3
+    pair = spark.createDataFrame([(sums[1].sums, sums[3].sums, sums[4].sums)], "a array<long>, b array<long>, c array<long>")
+    r = pair.select(fingerprints.combine(F.col("a"), F.col("b"), -1).alias("less"), fingerprints.combine(F.col("c"), F.col("b")).alias("more")).first()
+    assert r.less == sums[4].sums and r.more == sums[1].sums
+    back = pair.select(fingerprints.combine(fingerprints.combine(F.col("b"), F.col("a"), -1), F.col("a")).alias("b2"), "b").first()
+    assert back.b2 == back.b  # also where a lane went below zero
+
+
+def plain_lanes(text):
+    """Number of paragraphs and their 32 lanes, summed modulo 2 ** 32."""
+    parts = [p for p in re.split(r"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A\x0D]+", text) if p]
+    total = [0] * 32
+    for p in parts:
+        for k in range(4):
+            seed = xxhash.xxh64(struct.pack("<i", k), seed=42).intdigest()
+            h = xxhash.xxh64(p.encode(), seed=seed).intdigest()
+            for j in range(8):
+                total[8 * k + j] = (total[8 * k + j] + (h >> 8 * j & 255)) % 2**32
+    return len(parts), total
+
+
+def plain_likeness(a, b):
+    if plain_lanes(a) == plain_lanes(b):
+        return 1.0
+    (n, x), (m, y) = plain_lanes(a), plain_lanes(b)
+    x, y = [v - 127.5 * n for v in x], [v - 127.5 * m for v in y]
+    size = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return max(0.0, min(1.0, sum(p * q for p, q in zip(x, y)) / size)) if size else 0.0
+
+
+def test_fingerprints_and_likeness(spark):
+    """Digest and likeness against a plain version; a text in many copies counts once."""
+    rng = random.Random(8)
+    sentences = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 99)) for _ in range(6)) + "." for _ in range(400)]
+    texts = ["", "One.", "\n".join(sentences), " ".join(sentences[:50]), " ".join(sentences[20:70]), "x", " ".join(reversed(sentences[:50]))] + [" ".join(sentences)] * 40
+    got = {r.id: r for r in fingerprints.fingerprint_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        n, lanes = plain_lanes(t)
+        assert got[i].fingerprint == f"{n:08X}" + "".join(f"{lanes[8 * k + j + 4]:08X}{lanes[8 * k + j]:08X}" for k in range(4) for j in range(4))
+        assert got[i].near_edited == pytest.approx(plain_likeness(t, edited), abs=1e-9) and got[i].near_next == pytest.approx(plain_likeness(t, after), abs=1e-9)
+    assert got[3].fingerprint == got[6].fingerprint
 
 
 def test_urls(spark):
