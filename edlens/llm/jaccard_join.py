@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, words: int, percent: int
                 s1.append((digest >> 64) - (1 << 63))
                 s2.append((digest & (2**64 - 1)) - (1 << 63))
                 keep = n + (-percent * n // 100) + 1 if n else 0
-                prefix.append(np.sort(grams[np.lexsort((grams, table[cell(grams)]))[:keep]]).view(np.int64))
+                prefix.append(grams[np.lexsort((grams, table[cell(grams)]))[:keep]].view(np.int64))
                 bits.append(bitmap(grams))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists, pa.array(bits, pa.binary())], names=["id", "mark", "n", "s1", "s2", "prefix", "bits"])
@@ -150,35 +150,38 @@ def signatures(docs: DataFrame, id_col: str, text: str, words: int, percent: int
 
 
 def tiles(prefixes: DataFrame, percent: int) -> DataFrame:
-    """``key``, ``n``, ``cls``, ``lead`` of the classes that share a prefix shingle, in size bands.
+    """``key``, ``n``, ``cls``, ``lead``, ``room`` of the classes that share a prefix shingle, in size bands.
 
     Rows of a key come sorted by size; the first opens a band and leads it, the first that is too large to
-    reach the threshold with it opens the next. Keys of one class are left out. Rows stream through: a task
-    holds a batch of them, the leader and its size.
+    reach the threshold with it opens the next. Keys of one class are left out. ``room``: were this the first common
+    shingle of a class and its leader, what stands behind its place ``at`` in either could still reach the
+    threshold; true in some key of every similar pair. Rows stream through: a task holds a batch of them, the leader, its size and place.
     """
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, now, size = None, 0, 0
-        waiting = [np.empty(0, np.int64)] * 3  # a first row of a key that may be its only one
+        last, now, size, place = None, 0, 0, 0
+        waiting = [np.empty(0, np.int64)] * 4  # a first row of a key that may be its only one
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, n, cls = (np.concatenate([w, batch.column(i).to_numpy()]) for i, w in enumerate(waiting))
+            key, n, cls, at = (np.concatenate([w, batch.column(i).to_numpy()]) for i, w in enumerate(waiting))
             new = np.append(last is None or key[0] != last, key[1:] != key[:-1])
             end = len(key) - int(new[-1])
-            waiting = [x[end:] for x in (key, n, cls)]
+            waiting = [x[end:] for x in (key, n, cls, at)]
             last = int(key[end - 1]) if end else last
             many = ~(new & np.append(new[1:], True))
-            key, n, cls, new = key[many], n[many], cls[many], new[many]
-            leads = np.empty(len(cls), np.int64)
-            for i, (first, m, c) in enumerate(zip(new.tolist(), n.tolist(), cls.tolist())):
+            key, n, cls, at, new = key[many], n[many], cls[many], at[many], new[many]
+            leads, sizes, places = (np.empty(len(cls), np.int64) for _ in range(3))
+            for i, (first, m, c, k) in enumerate(zip(new.tolist(), n.tolist(), cls.tolist(), at.tolist())):
                 if first or percent * m > 100 * size:
-                    now, size = c, m
-                leads[i] = now
+                    now, size, place = c, m, k
+                leads[i], sizes[i], places[i] = now, size, place
             if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(cls), pa.array(leads)], names=["key", "n", "cls", "lead"])
+                room = (100 + percent) * np.minimum(n - at, sizes - places) >= percent * (n + sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(cls), pa.array(leads), pa.array(room)], names=["key", "n", "cls", "lead", "room"])
 
-    return prefixes.repartition(S.wide(prefixes), "key").sortWithinPartitions("key", "n", "cls").mapInArrow(band, "key long, n long, cls long, lead long")
+    rows = prefixes.select("key", "n", "cls", "at").repartition(S.wide(prefixes), "key").sortWithinPartitions("key", "n", "cls")
+    return rows.mapInArrow(band, "key long, n long, cls long, lead long, room boolean")
 
 
 def seated(rows: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +213,7 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
 def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` of classes in a tile that are still in different components and of fitting size.
 
-    Members of a large tile carry their bitmaps, and only pairs with room for the threshold come out; with
+    Members of a large tile carry their bitmaps, and only pairs with room for the threshold come out (``seen``); with
     ``nearest``, large tiles alone are asked, and each member names just that many of the closest ones before it.
     Tiles of more than BLOCK members meet in pairs of blocks, so a task holds two blocks at most.
     """
@@ -268,17 +271,17 @@ def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: in
                     close = np.argsort(n[j] - 2 * bound, kind="stable")[:nearest]
                     j, bound = j[close], bound[close]
             if len(j):
-                out.append((np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i]), np.full(len(j), cls[i]), n[j] - 2 * bound))
+                out.append((np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i]), np.full(len(j), cls[i]), n[j] - 2 * bound, np.full(len(j), bool(widths[i]))))
                 held += len(j)
             if held > 50_000 or (held and i == len(tile) - 1):
-                a, b, late, gap = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_pydict({"key": np.full(held, key[0]), "a": a, "b": b, "late": late, "gap": gap})
+                a, b, late, gap, seen = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"key": np.full(held, key[0]), "a": a, "b": b, "late": late, "gap": gap, "seen": seen})
                 out, held = [], 0
 
-    pairs = large.repartition(S.wide(tile_rows), "key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "cls").mapInArrow(pair, "key long, a long, b long, late long, gap long")
+    pairs = large.repartition(S.wide(tile_rows), "key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "cls").mapInArrow(pair, "key long, a long, b long, late long, gap long, seen boolean")
     if nearest is not None:  # of all blocks that a member met
         pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("key", "late").orderBy("gap", "a", "b"))).where(F.col("rank") <= nearest)
-    return pairs.select("a", "b").distinct()
+    return pairs.groupBy("a", "b").agg(F.max("seen").alias("seen"))
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -309,6 +312,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     Sets meet at the smaller class: its text goes to every salt of its members, and members follow it.
     """
+    pairs = S.written(pairs, "candidates")
     salt = F.abs(F.hash("b")) % F.greatest(F.lit(1), F.ceil(F.col("m") / MEMBERS_PER_TASK)).cast("int")
     counts = pairs.groupBy("a").agg(F.count("*").alias("m"))
     seats = pairs.join(counts, "a").select("a", "b", salt.alias("salt"))
@@ -332,7 +336,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     links = S.written(rows.select("a", "salt", "cls", "text", "rest").mapInArrow(check, "a long, b long").distinct(), "near-links")
-    S.forget(seats)
+    S.forget(seats, pairs)
     return links
 
 
@@ -356,14 +360,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     full = signs.where("n > 0")
     heads = F.min_by(F.struct("id", "mark", "prefix", "bits"), F.struct(F.col("id").isNull(), "id", "mark")).alias("r")
     classes = S.written(full.groupBy("s1", "s2", "n").agg(heads).select(F.col("s1").alias("cls"), "n", "r.*"), "classes")
-    rows = S.written(tiles(classes.select(F.explode("prefix").alias("key"), "n", "cls"), percent), "tiles")
+    rows = S.written(tiles(classes.select(F.posexplode("prefix").alias("at", "key"), "n", "cls"), percent), "tiles")
     S.forget(signs)
-    stars = rows.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+    stars = rows.where("cls <> lead and room").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
     texts = class_texts(rows.select("cls").distinct(), classes, docs, id_col, text)
 
     def linked(pairs: DataFrame) -> DataFrame:
         return verified(bounded(pairs, classes, percent), texts, words, percent)
 
+    def crossed(nearest: int | None) -> DataFrame:
+        """Links among the pairs of tiles; those that met by bitmap are not bounded again."""
+        pairs = crossing(known, classes, percent, nearest)
+        if nearest is not None:
+            return verified(pairs.select("a", "b"), texts, words, percent)
+        pairs = S.written(pairs, "crossing")
+        links = verified(pairs.where("seen").select("a", "b").union(bounded(pairs.where("not seen"), classes, percent)), texts, words, percent)
+        S.forget(pairs)
+        return links
+
     def rooted(known: DataFrame, roots: DataFrame) -> DataFrame:
         met = known.select("key", "n", "cls").join(roots, known["cls"] == roots["node"], "left")
         return S.written(met.select("key", "n", "cls", F.coalesce("root", "cls").alias("root")), "rooted")
@@ -376,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = rooted(rows, roots)
     for nearest in (NEAREST, None):
-        while (found := linked(crossing(known, classes, percent, nearest))).take(1):
+        while (found := crossed(nearest)).take(1):
             roots = joined_up(roots, found)
             if nearest is None:
                 break

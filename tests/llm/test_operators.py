@@ -349,21 +349,21 @@ def test_nearest_of_all_blocks(spark, monkeypatch, block):
 
 
 def test_leaders_stream_across_batches(spark):
-    """The leader of a key and its size pass on from batch to batch; keys of one class are left out."""
+    """The leader of a key, its size and place pass on from batch to batch; keys of one class are left out."""
     rng = random.Random(8)
-    rows = [(k, rng.randint(10, 60), 1000 * k + c) for k in range(40) for c in range(rng.choice([1, 1, 2, 3, 90]))]
+    rows = [(k, rng.randint(10, 60), 1000 * k + c, rng.randint(0, 9)) for k in range(40) for c in range(rng.choice([1, 1, 2, 3, 90]))]
     want, of_key = [], defaultdict(list)
-    for k, n, c in sorted(rows):
-        of_key[k].append((n, c))
+    for k, n, c, at in sorted(rows):
+        of_key[k].append((n, c, at))
     for k, members in of_key.items():
-        for n, c in members:
-            if (n, c) == members[0] or 80 * n > 100 * size:
-                lead, size = c, n
-            want += [(k, n, c, lead)] * (len(members) > 1)
+        for n, c, at in members:
+            if (n, c, at) == members[0] or 80 * n > 100 * size:
+                lead, size, place = c, n, at
+            want += [(k, n, c, lead, 180 * min(n - at, size - place) >= 80 * (n + size))] * (len(members) > 1)
     for batch in (1, 2, 7, 10_000):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         try:
-            same(jaccard_join.tiles(spark.createDataFrame(rows, "key long, n long, cls long"), 80), want)
+            same(jaccard_join.tiles(spark.createDataFrame(rows, "key long, n long, cls long, at int"), 80), want)
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
