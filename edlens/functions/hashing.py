@@ -6,6 +6,7 @@ and the seed gives the same value on every attempt and on every engine that has
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
@@ -31,6 +32,11 @@ def key_unit(ids: list[str | Column], seed: int | str) -> Column:
     return digest_unit(key_digest(ids, seed))
 
 
+def hashed_unit(text: str) -> float:
+    """The same value outside Spark SQL: ``key_unit`` of the parts of ``text``, joined by |, seed last."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:UNIT_DIGITS], 16) / UNIT_RANGE
+
+
 def poisson_one(unit: Column) -> Column:
     """Poisson(1) draw by inverting its distribution at ``unit`` (12 steps leave less than 1e-9)."""
     out, mass, upto = None, math.exp(-1.0), math.exp(-1.0)

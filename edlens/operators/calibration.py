@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edlens.operators.features import join_dimension
 from edlens.operators.metrics import ratio, score_cells, score_curve
+from edlens.operators.ordered import null_safe_join
 from edlens.operators.quantiles import quantiles
 
 
@@ -28,7 +28,7 @@ def calibration_bins(
     elif strategy == "quantile":
         names = {f"e{i}": i / n_bins for i in range(n_bins + 1)}
         edges = quantiles(rows, by, "__p", names).select(*by, F.array(*names).alias("__edges"))
-        rows = join_dimension(rows, edges, by, "inner", unique=True) if by else rows.withColumn("__edges", edges.scalar())
+        rows = null_safe_join(rows, edges, by) if by else rows.withColumn("__edges", edges.scalar())
         rows = rows.withColumn("bin", F.size(F.filter("__edges", lambda e: e < F.col("__p"))))
         zero = (F.col("__p") == 0) & (F.col("__edges")[0] == 0)
     else:
@@ -143,7 +143,7 @@ def confidence_histogram(df: DataFrame, by: list[str], bins: int = 20, y: str =
 
 def calibration_summary(df: DataFrame, by: list[str], n_bins: int = 10, metrics: tuple[str, ...] = ("f1", "youden")) -> DataFrame:
     """One row per model: errors, Brier parts and best thresholds."""
-    out = calibration_error(df, by, n_bins=n_bins).join(brier_decomposition(df, by), by)
+    out = null_safe_join(calibration_error(df, by, n_bins=n_bins), brier_decomposition(df, by), by)
     best = best_thresholds(df, by, metrics)
     best = best.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("threshold"))).alias(f"{m}_threshold") for m in metrics])
-    return out.join(best, by)
+    return null_safe_join(out, best, by)

@@ -46,12 +46,12 @@ def simplex(k: int, steps: int) -> list[list[int]]:
     return [[i, *rest] for i in range(steps + 1) for rest in simplex(k - 1, steps - i)]
 
 
-def weight_search(df: DataFrame, cols: list[str], y: str = "y", steps: int = 20, metric: str = "log_loss", digits: int = 4) -> DataFrame:
+def weight_search(df: DataFrame, cols: list[str], y: str = "y", steps: int = 20, metric: str = "log_loss") -> DataFrame:
     """Score of every weight vector on the simplex grid, best first.
 
     Rows are counted per distinct (label, probabilities) cell, then expanded by the grid in the map
-    stage; log-loss is one number per grid point and task. Average precision needs an order, so
-    mixed scores are rounded to ``digits`` places, which leaves at most 10^digits + 1 cells per point.
+    stage; log-loss is one number per grid point and task. Average precision needs an order: the cells of a
+    grid point are counted per mixed score, as exact as doubles are, and ordered in ranges.
     """
     cells = df.groupBy(F.col(y).cast("int").alias("y"), *cols).agg(F.count(F.lit(1)).alias("n"))
     grid = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(u / steps) for u in g]).alias("w")) for i, g in enumerate(simplex(len(cols), steps))])
@@ -66,7 +66,7 @@ def weight_search(df: DataFrame, cols: list[str], y: str = "y", steps: int = 20,
     elif metric == "average_precision":
         from edlens.operators.ordered import in_order
 
-        cell = mixed.groupBy("id", "w", F.round("p", digits).alias("score")).agg(F.sum(F.col("y") * F.col("n")).alias("pos"), F.sum("n").alias("n"))
+        cell = mixed.groupBy("id", "w", F.col("p").alias("score")).agg(F.sum(F.col("y") * F.col("n")).alias("pos"), F.sum("n").alias("n"))
         run = in_order(cell.withColumn("__neg", -F.col("score")), ["id", "w"], ["__neg"], running={"tp": "pos", "called": "n"})
         scores = run.groupBy("id", "w").agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("called")), F.sum("pos")).alias("score"))
         order = [F.desc("score"), F.col("id")]

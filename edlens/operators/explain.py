@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edlens.operators.models import Fitted, evaluate
-from edlens.operators.ordered import shuffled_position
+from edlens.operators.ordered import null_safe_join, shuffled_position
 from edlens.operators.quantiles import quantiles
 
 
@@ -34,7 +34,7 @@ def permutation_importance(model: Fitted, df: DataFrame, key: list[str], label:
         s = model.score(long).select("feature", *by, label, "p", F.lit(r).alias("repeat"))
         scored = s if scored is None else scored.unionByName(s)
     shuffled = evaluate(scored, label, ["feature", "repeat", *by]).select("feature", "repeat", *by, F.col(metric).alias("value"))
-    j = shuffled.join(base, by) if by else shuffled.withColumn("baseline", base.scalar())
+    j = null_safe_join(shuffled, base, by) if by else shuffled.withColumn("baseline", base.scalar())
     drop = F.col("baseline") - F.col("value")
     return j.groupBy("feature", *by).agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
 

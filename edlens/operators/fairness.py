@@ -93,7 +93,7 @@ def group_thresholds(df: DataFrame, group: str, constraint: str = "demographic_p
     """
     on = {"demographic_parity": "selection_rate", "equalized_odds": "recall"}[constraint]
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    scan = threshold_scan(df, [group], steps, y, p).join(sizes, group)
+    scan = null_safe_join(threshold_scan(df, [group], steps, y, p), sizes, [group])
     slots = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("target")
     dist = F.round(F.abs(F.col(on) - F.col("target") / steps), 9)
     pick = scan.select("*", slots).groupBy("target", group).agg(

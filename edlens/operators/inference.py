@@ -7,7 +7,7 @@ replicate number. p-values come last, on tables with one row per test.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edlens.functions.hashing import key_unit, poisson_draw, poisson_one, poisson_table
+from edlens.functions.hashing import hashed_unit, key_unit, poisson_draw, poisson_one, poisson_table
 from edlens.functions.pvalues import chi2_p, f_p, normal_p, t_p, t_quantile
 from edlens.operators.metrics import ratio, score_cells
 from edlens.operators.ordered import in_order, null_safe_join
@@ -190,27 +190,74 @@ def bootstrap_two_sample(df: DataFrame, arm: str, value: str, reps: int = 1000,
     return diffs.agg(F.first(observed).alias("observed"), _p_value(diffs, observed, alternative).alias("p_value"), F.count(F.lit(1)).alias("replicates"))
 
 
+#: Value cells below one node of the tree along which relabelled rows are handed down.
+FAN = 1024
+
+
+def hypergeometric(good: int, bad: int, draws: int, u: float) -> int:
+    """How many of ``draws`` drawn without replacement are good, by inversion at ``u``.
+
+    Probabilities relative to the mode come from ratios of neighbours, out to where they vanish; their sum
+    normalises them, so populations of any size lose no digits.
+    """
+    low, high = max(0, draws - bad), min(draws, good)
+    if low == high:
+        return low
+    n = good + bad
+    mode = min(max((draws + 1) * (good + 1) // (n + 2), low), high)
+    reach = int(12 * (draws * (good / n) * (bad / n) * (n - draws) / max(1, n - 1)) ** 0.5) + 64
+    up = np.arange(mode, min(high, mode + reach), dtype=float)
+    rising = np.cumprod((good - up) / (up + 1) * ((draws - up) / (bad - draws + up + 1)))
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    falling = np.cumprod(down / (good - down + 1) * ((bad - draws + down) / (draws - down + 1)))
+    mass = np.concatenate([falling[::-1], [1.0], rising]).cumsum()
+    return mode - len(falling) + min(int(np.searchsorted(mass, u * mass[-1], side="right")), len(mass) - 1)
+
+
 def permutation_test(df: DataFrame, key: str, arm: str, value: str, reps: int = 1000, seed: int = 42, alternative: str = "two-sided") -> DataFrame:
     """Difference of means against exact random relabellings of n1 rows.
 
-    The rows with the n1 smallest hashes form the relabelled arm. Counts and sums per hash part are
-    combined before the shuffle; only the part in which the n1-th row falls is ranked row by row.
+    Rows are counted per distinct value. A relabelling takes a multivariate hypergeometric number of rows from
+    each cell: the n1 rows are handed down a tree over the cells, ``FAN`` children to a node, one draw to a child
+    on a hash of (replicate, child). Cost follows cells and replicates, not rows; ``key`` is kept for callers.
     """
-    rows = df.where(F.col(arm).isin(0, 1)).select(key, arm, F.col(value).cast("double").alias("__v"))
+    rows = df.where(F.col(arm).isin(0, 1)).select(arm, F.col(value).cast("double").alias("__v"))
     o = _observed(rows, arm, "__v").scalar()
-    # Narrow rows are spread over all tasks before they multiply: the input may sit in a few splits.
-    drawn = fan_out(rows.select(key, "__v"), key).select(key, "__v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    drawn = drawn.withColumn("__d", key_digest([key, "rep"], seed)).withColumn("__part", F.substring("__d", 1, 3))
-    parts = drawn.groupBy("rep", "__part").agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("s"))
-    w = Window.partitionBy("rep").orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.select("*", F.sum("n").over(w).alias("upto"))
-    whole = parts.groupBy("rep").agg(F.coalesce(F.sum(F.when(F.col("upto") <= o["n1"], F.col("s"))), F.lit(0.0)).alias("whole"))
-    edge = parts.where((F.col("upto") > o["n1"]) & (F.col("upto") - F.col("n") < o["n1"])).select("rep", "__part", (o["n1"] - F.col("upto") + F.col("n")).alias("need"))
-    inside = drawn.join(F.broadcast(edge), ["rep", "__part"])  # one row per replicate
-    rank = F.row_number().over(Window.partitionBy("rep", "__part").orderBy("__d", key))
-    rest = inside.withColumn("__r", rank).where(F.col("__r") <= F.col("need")).groupBy("rep").agg(F.sum("__v").alias("rest"))
-    sums = whole.join(rest, "rep", "left").select("rep", (F.col("whole") + F.coalesce("rest", F.lit(0.0))).alias("a"))
-    diffs = sums.select("rep", (F.col("a") / o["n1"] - (o["s"] - F.col("a")) / o["n0"]).alias("diff"))
+    counts = rows.groupBy("__v").agg(F.count(F.lit(1)).alias("n"))
+    cells = materialise(in_order(counts.where("__v is not null"), [], ["__v"], position="at").select((F.col("at") - 1).alias("cell"), "__v", "n"))
+    size = cells.count()
+    levels = 1
+    while FAN**levels < size:
+        levels += 1
+    first = rows.agg(F.count(F.when(F.col(arm) == 1, F.col("__v"))).alias("n1"))
+    handed = first.select(F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), F.lit(0).cast("bigint").alias("node"), "n1")
+    for level in range(levels, 0, -1):
+        node, child = F.expr(f"cell div {FAN**level}"), F.expr(f"cell div {FAN ** (level - 1)}")
+        under = cells.groupBy(node.alias("node"), child.alias("child")).agg(F.sum("n").alias("n"), F.min("__v").alias("v"))
+        under = under.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("child", "n", "v"))).alias("kids")).select("node", F.col("kids.child").alias("child"), F.col("kids.n").alias("n"), F.col("kids.v").alias("v"))
+        last = level == 1
+
+        def deal(batches: Iterator[pd.DataFrame], level=level, last=last) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for rep, left, child, n, v in zip(pdf["rep"], pdf["n1"], pdf["child"], pdf["n"], pdf["v"]):
+                    rest, total = int(sum(n)), 0.0
+                    for c, m, x in zip(child, n, v):
+                        rest -= int(m)
+                        k = hypergeometric(int(m), rest, int(left), hashed_unit(f"{rep}|{level - 1}|{c}|{seed}"))
+                        left -= k
+                        if last:
+                            total += k * x
+                        elif k:
+                            out.append((rep, c, k))
+                    if last:
+                        out.append((rep, total))
+                yield pd.DataFrame(out, columns=["rep", "sum"] if last else ["rep", "node", "n1"])
+
+        met = fan_out(handed.join(under, "node").select("rep", "n1", "child", "n", "v"), "rep")
+        handed = met.mapInPandas(deal, "rep int, sum double" if last else "rep int, node bigint, n1 bigint")
+    sums = handed.groupBy("rep").agg(F.sum("sum").alias("a"))
+    diffs = materialise(sums.select("rep", (F.col("a") / o["n1"] - (o["s"] - F.col("a")) / o["n0"]).alias("diff")))
     observed = o["m1"] - o["m0"]
     return diffs.agg(F.first(observed).alias("observed"), _p_value(diffs, observed, alternative).alias("p_value"), F.avg("diff").alias("mean_diff"), F.count(F.lit(1)).alias("replicates"))
 

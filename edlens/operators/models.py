@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edlens.functions.hashing import key_unit, poisson_one
+from edlens.operators import isotonic as I
 from edlens.operators.fairness import fairness_by_group, worst_group_accuracy
 from edlens.operators.metrics import classification_metrics, ranking_metrics, regression_metrics
-from edlens.operators.ordered import shuffled_position
+from edlens.operators.ordered import null_safe_join, shuffled_position
 from edlens.operators.profile import numeric_columns
 from edlens.operators.splits import stratified_kfold
 from edlens.session import materialise
@@ -106,7 +107,7 @@ def evaluate(scored: DataFrame, label: str, by: list[str] | None = None, p: str
     rows = scored.select(*by, F.col(label).cast("int").alias("y"), F.col(p).alias("p"), (F.col(p) >= 0.5).cast("int").alias("pred"))
     a = classification_metrics(rows, by).select(*by, "accuracy", "f1", "balanced_accuracy")
     b = ranking_metrics(rows, by).select(*by, "roc_auc")
-    return a.join(b, by) if by else a.withColumn("roc_auc", b.scalar())
+    return null_safe_join(a, b, by) if by else a.withColumn("roc_auc", b.scalar())
 
 
 def cross_predict(df: DataFrame, key: list[str], features: list[str], label: str, kind: str = "logistic", task: str = "classification", folds: int = 5, strata: list[str] | None = None, out: str = "p", **params) -> DataFrame:
@@ -128,9 +129,7 @@ def platt(cal: DataFrame, test: DataFrame, y: str = "y", p: str = "p", out: str
 
 def isotonic(cal: DataFrame, test: DataFrame, y: str = "y", p: str = "p", out: str = "calibrated") -> DataFrame:
     """Isotonic fit on rows averaged per distinct score; scores outside the fitted range take its ends."""
-    cells = cal.groupBy(F.col(p).alias("__x")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-    m = R.IsotonicRegression(featuresCol="__x", labelCol="label", weightCol="w", predictionCol=out).fit(cells)
-    return m.transform(test.withColumn("__x", F.col(p))).drop("__x")
+    return I.predict(test, I.fit(cal, y, p), p, out)
 
 
 def fit_stacking_calibrator(df: DataFrame, y: str, l2: float = 1e-3, prefix: str = "prob_") -> dict:

@@ -236,38 +236,61 @@ def nearest_distance_weights(source: DataFrame, target: DataFrame, **kw) -> Data
     return raw.select("qid", (F.col("__w") / raw.agg(F.avg("__w")).scalar()).alias("weight"))
 
 
-def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed: int = 42, neighbours_from: DataFrame | None = None) -> DataFrame:
-    """Synthetic rows that raise each class to the size of the largest.
+def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed: int = 42, neighbours_from: DataFrame | None = None, target: DataFrame | None = None,
+          intra_ratio: float = 0.7, domain_weight: float = 0.3) -> DataFrame:
+    """Synthetic rows that raise each class to the size of the largest; a null label is a class.
 
     Each synthetic row lies between a row and one of its k nearest rows of the same class, or of
     ``neighbours_from`` (key, vector) when given. Returns (label, base key, n-th copy, vector).
+
+    With ``target`` (key, vector), the rows of another domain, a share ``intra_ratio`` of the synthetic rows is made so
+    (``kind`` intra); each other one (cross) is moved further by ``domain_weight`` of the way from its base to one
+    of the base's k nearest target rows. An empty target leaves all rows intra.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}  # one row per class
-    top = max(sizes.values())
+    numbers = lambda d: d.select(F.col(key).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    top = max((r["n"] for r in sizes), default=0)
+    crossing = target is not None
+    far = numbers(target) if crossing and target.take(1) else None
     out = None
-    for cls, size in sorted(sizes.items()):
+    for cls, size in sorted(sizes, key=lambda r: (r[0] is None, r[0])):
         lack = top - size
         if lack == 0:
             continue
-        own = df.where(F.col(label) == F.lit(cls)).select(F.col(key).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+        own = numbers(df.where(F.col(label).isNull() if cls is None else F.col(label) == F.lit(cls)))
+        name = F.lit(cls).cast(df.schema[label].dataType).alias(label)
         if size < 2 and neighbours_from is None:  # no neighbour: the row itself is repeated
-            part = own.select(F.lit(cls).alias(label), F.col("qid").alias(key), F.explode(F.sequence(F.lit(1), F.lit(lack))).alias("copy"), F.col("v").alias(vector))
+            part = own.select(name, F.col("qid").alias(key), F.explode(F.sequence(F.lit(1), F.lit(lack))).alias("copy"), F.col("v").alias(vector), *([F.lit("intra").alias("kind")] if crossing else []))
             out = part if out is None else out.unionByName(part)
             continue
-        pool = own if neighbours_from is None else neighbours_from.select(F.col(key).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+        pool = own if neighbours_from is None else numbers(neighbours_from)
         near = knn_join(own, pool, k, query_id="qid", ref_id="qid", exclude_same=neighbours_from is None)
         found = near.groupBy("qid").agg(F.count(F.lit(1)).alias("found"))  # fewer than k in a tiny class
         placed = shuffled_position(own, [], ["qid"], seed).join(found, "qid")
         copies = F.lit(lack // size) + (F.col("__pos") <= lack % size).cast("int")
         made = placed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
         digest = key_digest(["qid", "copy"], seed)
-        made = made.select("qid", "v", "copy", F.least((F.floor(digest_unit(digest) * F.col("found")) + 1), F.col("found")).cast("int").alias("rank"), digest_unit(digest, 14).alias("alpha"))
-        other = pool.select(F.col("qid").alias("rid"), F.col("v").alias("nv"))
-        mixed = made.join(near.select("qid", "rank", "rid"), ["qid", "rank"]).join(other, "rid")
+        pick = lambda unit, of: F.least(F.floor(unit * F.col(of)) + 1, F.col(of)).cast("int")
+        made = made.select("qid", "v", "copy", pick(digest_unit(digest), "found").alias("rank"), digest_unit(digest, 14).alias("alpha"))
+        mixed = made.join(near.select("qid", "rank", "rid"), ["qid", "rank"]).join(pool.select(F.col("qid").alias("rid"), F.col("v").alias("nv")), "rid").drop("rid", "rank")
         between = F.transform(F.arrays_zip("v", "nv"), lambda s: s["v"] + F.col("alpha") * (s["nv"] - s["v"]))
-        part = mixed.select(F.lit(cls).alias(label), F.col("qid").alias(key), "copy", between.alias(vector))
+        mixed = mixed.select("qid", "copy", "v", between.alias("made"))
+        kind = F.lit("intra")
+        if far is not None:
+            aims = knn_join(own, far, k, query_id="qid", ref_id="qid").join(far.select(F.col("qid").alias("rid"), F.col("v").alias("tv")), "rid")
+            lists = aims.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "tv"))).alias("aims"))  # at most k
+            draw = key_digest(["qid", "copy"], f"{seed}-domain")
+            mixed = mixed.join(lists, "qid").withColumn("n", F.size("aims"))
+            aim = F.element_at("aims", pick(digest_unit(draw, 14), "n"))["tv"]
+            kind = F.when(digest_unit(draw) < intra_ratio, "intra").otherwise("cross")
+            mixed = mixed.select("qid", "copy", "v", "made", kind.alias("kind"), aim.alias("tv"))
+            moved = F.transform(F.arrays_zip("made", "v", "tv"), lambda s: s["made"] + domain_weight * (s["tv"] - s["v"]))
+            mixed, kind = mixed.withColumn("made", F.when(F.col("kind") == "cross", moved).otherwise(F.col("made"))), F.col("kind")
+        part = mixed.select(name, F.col("qid").alias(key), "copy", F.col("made").alias(vector), *([kind.alias("kind")] if crossing else []))
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.limit(0).select(label, key, F.lit(0).alias("copy"), F.col(vector).cast("array<double>").alias(vector))
+    if out is not None:
+        return out
+    return df.limit(0).select(label, key, F.lit(0).alias("copy"), F.col(vector).cast("array<double>").alias(vector), *([F.lit("intra").alias("kind")] if crossing else []))
 
 
 def log_gamma_draw(ids: list, a: float, seed: int | str, tries: int = 10) -> Column:
@@ -296,13 +319,38 @@ def beta_symmetric(ids: list, a: float, seed: int | str) -> Column:
 
 
 def mixup(df: DataFrame, key: str, vector: str, label: str, alpha: float = 0.2, seed: int = 42, same_class: bool = True) -> DataFrame:
-    """Each row mixed with the next one of a random cyclic order, inside its class if asked."""
+    """Each row mixed with the next one of a random cyclic order, inside its class if asked; a null label is a class."""
     strata = [label] if same_class else []
     placed = shuffled_position(df.select(key, F.col(vector).cast("array<double>").alias("v"), label), strata, [key], seed)
     nxt = placed.select(*strata, (F.when(F.col("__pos") == 1, F.col("__size")).otherwise(F.col("__pos") - 1)).alias("__pos"), F.col(key).alias("partner"), F.col("v").alias("nv"), F.col(label).alias("__y2"))
-    j = placed.join(nxt, [*strata, "__pos"])
+    j = null_safe_join(placed, nxt, [*strata, "__pos"])
     lam = beta_symmetric([key], alpha, seed)
     j = j.withColumn("lam", lam)
     mixed = F.transform(F.arrays_zip("v", "nv"), lambda s: F.col("lam") * s["v"] + (1 - F.col("lam")) * s["nv"])
     y = F.col("lam") * F.col(label) + (1 - F.col("lam")) * F.col("__y2")
     return j.select(key, "partner", "lam", mixed.alias(vector), y.alias("soft_label"))
+
+
+def mixup_domains(source: DataFrame, target: DataFrame, key: str, vector: str, label: str, alpha: float = 0.2, cross_ratio: float = 0.3, seed: int = 42) -> DataFrame:
+    """Mixtures of two rows, within the source or across to the target: half as many draws as the smaller side has rows.
+
+    A draw is cross with probability ``cross_ratio`` and kept if both rows have one class (null being one); else it
+    mixes two different source rows, and where their classes differ takes the first one's with probability ``lam``.
+    A target without the label column gives no cross draws. Returns (draw, kind, key, partner, lam, vector, label).
+    """
+    labelled = label in target.columns
+    rows = lambda df: shuffled_position(df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(label) if label in df.columns else F.lit(None).cast(source.schema[label].dataType)).alias("y")), [], ["k"], f"{seed}-order")
+    own, other = rows(source), rows(target)
+    n_source, n_target = source.count(), target.count()
+    kind, mate = key_digest(["draw"], f"{seed}-kind"), key_digest(["draw"], f"{seed}-partner")
+    draws = source.sparkSession.range(1, min(n_source, n_target) // 2 + 1).select(F.col("id").alias("draw"))
+    draws = draws.withColumn("cross", (digest_unit(kind) < cross_ratio) & F.lit(labelled)).select(
+        "draw", "cross", (F.floor(digest_unit(kind, 14) * n_source) + 1).alias("one"), (F.floor(digest_unit(mate) * F.when(F.col("cross"), n_target).otherwise(n_source)) + 1).alias("two"), digest_unit(mate, 14).alias("u"))
+    first = own.select(F.col("__pos").alias("one"), F.col("k").alias(key), F.col("v").alias("v1"), F.col("y").alias("y1"))
+    second = own.withColumn("cross", F.lit(False)).unionByName(other.withColumn("cross", F.lit(True))).select("cross", F.col("__pos").alias("two"), F.col("k").alias("partner"), F.col("v").alias("v2"), F.col("y").alias("y2"))
+    same = F.col("y1").eqNullSafe(F.col("y2"))
+    pairs = draws.join(first, "one").join(second, ["cross", "two"]).where(F.when(F.col("cross"), same).otherwise(F.col("one") != F.col("two")))
+    pairs = pairs.withColumn("lam", beta_symmetric(["draw"], alpha, seed))
+    mixed = F.transform(F.arrays_zip("v1", "v2"), lambda s: F.col("lam") * s["v1"] + (1 - F.col("lam")) * s["v2"])
+    y = F.when(same | (F.col("u") < F.col("lam")), F.col("y1")).otherwise(F.col("y2"))
+    return pairs.select("draw", F.when(F.col("cross"), "cross").otherwise("intra").alias("kind"), key, "partner", "lam", mixed.alias(vector), y.alias(label))

@@ -6,8 +6,10 @@ stratum come from ``shuffled_position``, which spreads even a two-value stratum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,16 +107,48 @@ def group_key(df: DataFrame, kind: str = "module_presentation") -> Column:
     raise ValueError(f"unknown group kind {kind}")
 
 
+def deal(loads: list[int], size: int, m: int) -> list[int]:
+    """Loads after ``m`` groups of ``size`` rows went one by one into the lightest fold (the first of several)."""
+    low, high = 0, m
+    while low < high:  # rounds for the lightest fold: the most that m groups allow
+        mid = (low + high + 1) // 2
+        level = min(loads) + mid * size
+        low, high = (mid, high) if sum(max(0, -(-(level - x) // size)) for x in loads) <= m else (low, mid - 1)
+    level = min(loads) + low * size
+    out = [x + max(0, -(-(level - x) // size)) * size for x in loads]
+    for _ in range(m - (sum(out) - sum(loads)) // size):  # fewer than one for each fold
+        at = out.index(min(out))
+        out[at] += size
+    return out
+
+
+def fold_of(loads: list[int], size: int, j: int) -> int:
+    """Fold of the group that comes ``j``-th (from 0) among those of its size, which find the folds at ``loads``."""
+    now = deal(loads, size, j)
+    return now.index(min(now))
+
+
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Fold per group, balanced by size: groups ranked by size are dealt to the folds back and forth.
+    """Fold per group, balanced by size: groups go by falling size (then by name) into the lightest fold so far.
 
-    One rule at every size, without a pass over groups on the driver. A greedy deal (the next group into the
-    lightest fold) can differ from it in single groups. A null group is a group.
+    The deal runs over one row per different size, of which n rows have at most sqrt(2 n); groups of one size fill
+    the folds in closed form, and each finds its fold from the loads its size met. A null group is a group.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ranked = in_order(sizes.withColumn("__neg", -F.col("n")), [], ["__neg", group], position="__p")
-    lap, at = F.floor((F.col("__p") - 1) / k), (F.col("__p") - 1) % k
-    folds = ranked.select(group, F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+    ranked = in_order(sizes, ["n"], [group], position="__p")
+    met, loads = [], [0] * k
+    for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect():  # one row per different size
+        met.append((r["n"], loads))
+        loads = deal(loads, r["n"], r["m"])
+    known = df.sparkSession.createDataFrame(met, "n long, loads array<long>")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fold = [fold_of(list(x), int(n), int(p) - 1) for x, n, p in zip(pdf["loads"], pdf["n"], pdf["__p"])]
+            yield pdf[[group]].assign(fold=fold)
+
+    kind = df.schema[group].dataType.simpleString()
+    folds = ranked.join(known, "n").select(group, "n", "__p", "loads").mapInPandas(find, f"`{group}` {kind}, fold int")
     return null_safe_join(df, folds, [group])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from edlens.operators import calibration as C
 from edlens.operators import ensembles as N
 from edlens.operators import explain as X
+from edlens.operators import isotonic as I
 from edlens.operators import models as M
 from edlens.plans.domains import dom
 from edlens.plans.evaluation import wide
@@ -88,12 +89,26 @@ def _(t):
     return rounded(C.calibration_error(M.platt(cal, test).drop("p").withColumnRenamed("calibrated", "p"), []), 4)
 
 
-@query("isotonic_calibration")
+# The rising fit at a score is the highest, over beginnings at or before it, of the lowest mean up to an end at or behind it.
+ISO = """cells AS (SELECT p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY p) AS i FROM cal GROUP BY p), sums AS (SELECT p, i, sum(s) OVER (ORDER BY i) AS s1, sum(w) OVER (ORDER BY i) AS w1, sum(s) OVER (ORDER BY i) - s AS s0, sum(w) OVER (ORDER BY i) - w AS w0 FROM cells),
+ low AS (SELECT a.i AS a, b.i AS b, min((b.s1 - a.s0) / (b.w1 - a.w0)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS v FROM sums a JOIN sums b ON a.i <= b.i), fit AS (SELECT s.p, max(v) AS value FROM low JOIN sums s ON s.i = low.b GROUP BY s.p)"""
+
+
+@query("isotonic_calibration", "predictions", f"""WITH cal AS (SELECT prob_gru AS p, y FROM predictions WHERE sex = 'F'), {ISO}, x AS (SELECT prob_gru AS p, y FROM predictions WHERE sex = 'M'),
+ l AS (SELECT x.*, f.p AS p0, f.value AS v0 FROM x ASOF LEFT JOIN fit f ON x.p >= f.p), h AS (SELECT l.*, f.p AS p1, f.value AS v1 FROM l ASOF LEFT JOIN fit f ON l.p <= f.p),
+ c AS (SELECT y, CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL OR p0 = p1 THEN v0 ELSE v0 + (p - p0) / (p1 - p0) * (v1 - v0) END AS q FROM h), b AS (SELECT CASE WHEN q = 0 THEN 1 ELSE ceil(round(q * 10, 9)) END AS bin, avg(q) AS mp, avg(y) AS ob, count(*) / (SELECT count(*) FROM c)::DOUBLE AS sh FROM c GROUP BY 1)
+ SELECT round(sum(abs(mp - ob) * sh), 4) AS ece, round(max(abs(mp - ob)), 4) AS mce FROM b WHERE bin > 0""")
 def _(t):
     cal, test = sides(t)
     return rounded(C.calibration_error(M.isotonic(cal, test).drop("p").withColumnRenamed("calibrated", "p"), []), 4)
 
 
+@query("isotonic_fit", "predictions", f"WITH cal AS (SELECT round(prob_lstm, 2) AS p, y FROM predictions), {ISO} SELECT p, round(value, 6) AS value FROM fit")
+def _(t):
+    rows = t.predictions.select(F.round("prob_lstm", 2).alias("p"), "y")
+    return rounded(I.predict(rows.select("p").distinct(), I.fit(rows), out="value"))
+
+
 @query("calibration_grid")
 def _(t):
     return rounded(M.calibration_grid(*sides(t)), 4)
@@ -128,9 +143,9 @@ def _(t):
     return rounded(N.weight_search(t.predictions, MODELS, steps=4))
 
 
-@query("ensemble_weight_search_ap", "predictions", f"WITH {GRID}, c AS (SELECT id, w1, w2, w3, w4, round(p, 5) AS p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM (SELECT * REPLACE (round(p, 9) AS p) FROM m) GROUP BY ALL), r AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS called FROM c WINDOW w AS (PARTITION BY id ORDER BY p DESC)) SELECT id::INTEGER AS id, {WS}, round(sum(pos * tp / called) / sum(pos), 4) AS score FROM r GROUP BY id, w1, w2, w3, w4")
+@query("ensemble_weight_search_ap", "predictions", f"WITH {GRID}, c AS (SELECT id, w1, w2, w3, w4, p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM m GROUP BY ALL), r AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS called FROM c WINDOW w AS (PARTITION BY id ORDER BY p DESC)) SELECT id::INTEGER AS id, {WS}, round(sum(pos * tp / called) / sum(pos), 4) AS score FROM r GROUP BY id, w1, w2, w3, w4")
 def _(t):
-    return rounded(N.weight_search(t.predictions, MODELS, steps=4, metric="average_precision", digits=5), 4)
+    return rounded(N.weight_search(t.predictions, MODELS, steps=4, metric="average_precision"), 4)
 
 
 @query("mean_ensemble", "predictions", """WITH m AS (SELECT id, y, round((prob_gru + prob_lstm) / 2, 9) AS p FROM predictions), c AS (SELECT p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM m GROUP BY p), r AS (SELECT p, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS called, sum(pos) OVER () AS pt FROM c),

@@ -115,14 +115,62 @@ def _(t):
     return rounded(N.nearest_distance_weights(v.where("label < 5"), v.where("label >= 5")))
 
 
-@query("smote", "", """WITH c AS (SELECT (label = 0)::INTEGER AS y, count(*) AS n FROM embeddings GROUP BY 1) SELECT 1 AS y, max(n) - min(n) AS made FROM c""")
-def _(t):
+UNIT = "CAST('0x' || substr(md5(concat_ws('|', {}, '{}')), {}, 13) AS BIGINT) / 4503599627370496.0"
+
+
+def _near(n: str, a: str, b: str, k: int, same: bool) -> str:
+    """CTEs ``n`` (the k nearest rows of ``b`` for each of ``a``) and ``n_found`` (how many there are)."""
+    return f"""{n} AS (SELECT * FROM (SELECT x.qid, y.qid AS rid, y.v AS nv, row_number() OVER (PARTITION BY x.qid ORDER BY list_distance(x.v, y.v), y.qid) AS r FROM {a} x JOIN {b} y ON {'x.qid <> y.qid' if same else 'true'}) WHERE r <= {k}),
+ {n}_found AS (SELECT qid, count(*) AS f FROM {n} GROUP BY qid)"""
+
+
+# Rows of labels below 8 are the source, the rest the target; label 0 is the small class.
+SMOTE = f"""src AS (SELECT vec_id AS qid, v, (label = 0)::INTEGER AS y FROM e WHERE label < 8), own AS (SELECT qid, v, row_number() OVER (ORDER BY md5(concat_ws('|', qid, '42')), qid) AS pos FROM src WHERE y = 1), tgt AS (SELECT vec_id AS qid, v FROM e WHERE label >= 8),
+ n AS (SELECT count(*) FILTER (y = 0) - count(*) FILTER (y = 1) AS lack, count(*) FILTER (y = 1) AS size FROM src), made AS (SELECT qid, v, unnest(range(1, lack // size + (pos <= lack % size)::BIGINT + 1)) AS copy FROM own, n),
+ {_near('near', 'own', 'own', 3, True)}, {_near('aims', 'own', 'tgt', 3, False)},
+ d AS (SELECT m.qid, m.copy, m.v, k.nv, a.nv AS tv, {UNIT.format('m.qid, copy', '42', 14)} AS alpha, CASE WHEN {UNIT.format('m.qid, copy', '42-domain', 1)} < 0.7 THEN 'intra' ELSE 'cross' END AS kind FROM made m JOIN near_found g ON g.qid = m.qid JOIN aims_found h ON h.qid = m.qid
+ JOIN near k ON k.qid = m.qid AND k.r = least(floor({UNIT.format('m.qid, copy', '42', 1)} * g.f) + 1, g.f) JOIN aims a ON a.qid = m.qid AND a.r = least(floor({UNIT.format('m.qid, copy', '42-domain', 14)} * h.f) + 1, h.f)),
+ x AS (SELECT *, list_transform(range(1, len(v) + 1), lambda i: v[i] + alpha * (nv[i] - v[i])) AS w FROM d)"""
+VECTOR = "round(list_sum({0}), 6) AS total, round({0}[1], 6) AS head, round(list_sum(list_transform({0}, lambda z: z * z)), 6) AS square"
+
+
+def shown(df):
+    return rounded(df.select(*[c for c in df.columns if c != "v"], F.aggregate("v", F.lit(0.0), lambda a, z: a + z).alias("total"), F.col("v")[0].alias("head"), F.aggregate("v", F.lit(0.0), lambda a, z: a + z * z).alias("square")))
+
+
+def domains(t):
     v = vectors(t).withColumn("y", (F.col("label") == 0).cast("int"))
-    return N.smote(v, "qid", "v", "y", 3).groupBy("y").agg(F.count(F.lit(1)).alias("made"))
+    return v.where("label < 8"), v.where("label >= 8")
+
+
+@query("smote", "", f"WITH {E}, {SMOTE} SELECT 1 AS y, qid, copy::INTEGER AS copy, {VECTOR.format('w')} FROM x")
+def _(t):
+    return shown(N.smote(domains(t)[0], "qid", "v", "y", 3))
+
+
+@query("smote_domains", "", f"WITH {E}, {SMOTE}, z AS (SELECT qid, copy, kind, CASE WHEN kind = 'cross' THEN list_transform(range(1, len(v) + 1), lambda i: w[i] + 0.3 * (tv[i] - v[i])) ELSE w END AS w FROM x) SELECT 1 AS y, qid, copy::INTEGER AS copy, kind, {VECTOR.format('w')} FROM z")
+def _(t):
+    source, target = domains(t)
+    return shown(N.smote(source, "qid", "v", "y", 3, target=target))
 
 
-@query("mixup", "", """SELECT label AS label, count(*) AS n FROM embeddings GROUP BY label""")
+@query("mixup", "", """WITH o AS (SELECT vec_id AS qid, label, row_number() OVER w AS pos, count(*) OVER (PARTITION BY label) AS size FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY md5(concat_ws('|', vec_id, '42')), vec_id))
+ SELECT a.qid, b.qid AS partner, round(a.label::DOUBLE, 6) AS soft_label, true AS between FROM o a JOIN o b ON a.label = b.label AND b.pos = a.pos % a.size + 1""")
 def _(t):
     v = vectors(t)
-    m = N.mixup(v, "qid", "v", "label", 0.2)
-    return m.where((F.size("v") == 64) & F.col("lam").between(0, 1)).groupBy(F.round("soft_label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    m = N.mixup(v, "qid", "v", "label", 0.2).join(v.select("qid", F.col("v")[0].alias("a")), "qid").join(v.select(F.col("qid").alias("partner"), F.col("v")[0].alias("b")), "partner")
+    on_line = F.abs(F.col("v")[0] - (F.col("lam") * F.col("a") + (1 - F.col("lam")) * F.col("b"))) < 1e-9
+    return rounded(m.select("qid", "partner", "soft_label", (on_line & F.col("lam").between(0, 1)).alias("between")))
+
+
+@query("mixup_domains", "", f"""WITH v AS (SELECT vec_id AS k, label % 3 AS y, label < 8 AS own FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY md5(concat_ws('|', k, '42-order')), k) AS pos FROM v),
+ n AS (SELECT count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM v), d AS (SELECT draw, s, t, {UNIT.format('draw', '42-kind', 1)} < 0.3 AS crossed FROM n, LATERAL (SELECT unnest(range(1, least(s, t) // 2 + 1)) AS draw)),
+ p AS (SELECT draw, crossed, floor({UNIT.format('draw', '42-kind', 14)} * s) + 1 AS one, floor({UNIT.format('draw', '42-partner', 1)} * CASE WHEN crossed THEN t ELSE s END) + 1 AS two FROM d)
+ SELECT draw, CASE WHEN crossed THEN 'cross' ELSE 'intra' END AS kind, a.k AS qid, b.k AS partner, CASE WHEN a.y = b.y THEN a.y END AS y, true AS between FROM p JOIN o a ON a.own AND a.pos = one JOIN o b ON b.own <> crossed AND b.pos = two WHERE CASE WHEN crossed THEN a.y = b.y ELSE one <> two END""")
+def _(t):
+    v = vectors(t).withColumn("y", F.col("label") % 3)
+    m = N.mixup_domains(v.where("label < 8"), v.where("label >= 8"), "qid", "v", "y")
+    first, second = v.select("qid", F.col("v")[0].alias("a"), F.col("y").alias("y1")), v.select(F.col("qid").alias("partner"), F.col("v")[0].alias("b"), F.col("y").alias("y2"))
+    on_line = F.abs(F.col("v")[0] - (F.col("lam") * F.col("a") + (1 - F.col("lam")) * F.col("b"))) < 1e-9
+    ok = on_line & F.col("lam").between(0, 1) & F.col("y").isin(F.col("y1"), F.col("y2"))
+    return m.join(first, "qid").join(second, "partner").select("draw", "kind", "qid", "partner", F.when(F.col("y1") == F.col("y2"), F.col("y")).alias("y"), ok.alias("between"))

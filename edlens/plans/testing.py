@@ -92,10 +92,15 @@ def _(t):
     return rounded(I.bootstrap_two_sample(v, "arm", "v", reps=100))
 
 
-@query("permutation_test", "predictions", """WITH v AS (SELECT id, CASE WHEN sex = 'F' THEN 1 ELSE 0 END AS arm, prob_gru AS v FROM predictions), o AS (SELECT avg(v) FILTER (WHERE arm = 1) - avg(v) FILTER (WHERE arm = 0) AS d, sum(arm) AS n1, count(*) - sum(arm) AS n0 FROM v),
- r AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', id, rep, '42'))) AS k FROM v, (SELECT unnest(range(1, 31)) AS rep)),
- m AS (SELECT rep, avg(v) FILTER (WHERE k <= n1) - avg(v) FILTER (WHERE k > n1) AS diff FROM r, o GROUP BY rep)
- SELECT round(any_value(d), 6) AS observed, round(avg(CASE WHEN abs(diff) >= abs(d) THEN 1 ELSE 0 END), 6) AS p_value, round(avg(diff), 6) AS mean_diff, count(*) AS replicates FROM m, o""")
+@query("permutation_test", "predictions", """WITH RECURSIVE v AS (SELECT CASE WHEN sex = 'F' THEN 1 ELSE 0 END AS arm, prob_gru AS v FROM predictions), o AS (SELECT avg(v) FILTER (WHERE arm = 1) - avg(v) FILTER (WHERE arm = 0) AS d, sum(arm)::BIGINT AS n1, (count(*) - sum(arm))::BIGINT AS n0, sum(v) AS s FROM v),
+ c AS (SELECT v, count(*)::BIGINT AS m, row_number() OVER (ORDER BY v) - 1 AS cell, (SELECT count(*) FROM v) - sum(count(*)) OVER (ORDER BY v) AS rest FROM v GROUP BY v),
+ w(rep, cell, n, a) AS (SELECT unnest(range(1, 31)), -1::BIGINT, n1, 0.0::DOUBLE FROM o UNION ALL
+ SELECT rep, cell, n - k, a + k * v FROM (SELECT x.*, low + least(len(list_filter(p, lambda q: q <= u * p[len(p)])), len(p) - 1) AS k FROM (SELECT y.*, list_transform(range(1, len(raw) + 1), lambda i: list_sum(raw[1:i])) AS p FROM (
+ SELECT w.rep, c.cell, w.n, w.a, c.v, greatest(0, w.n - c.rest)::BIGINT AS low, CAST('0x' || substr(md5(concat_ws('|', w.rep, 0, c.cell, '42')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u,
+ list_transform(range(greatest(0, w.n - c.rest)::BIGINT, least(w.n, c.m) + 1), lambda k: exp(lgamma(c.m + 1) - lgamma(k + 1) - lgamma(c.m - k + 1) + lgamma(c.rest + 1) - lgamma(w.n - k + 1) - lgamma(c.rest - w.n + k + 1) - lgamma(c.m + c.rest + 1) + lgamma(w.n + 1) + lgamma(c.m + c.rest - w.n + 1))) AS raw
+ FROM w JOIN c ON c.cell = w.cell + 1) y) x) z),
+ f AS (SELECT rep, a / n1 - (s - a) / n0 AS diff, d FROM w, o WHERE cell = (SELECT max(cell) FROM c))
+ SELECT round(any_value(d), 6) AS observed, round(avg(CASE WHEN abs(diff) >= abs(d) THEN 1 ELSE 0 END), 6) AS p_value, round(avg(diff), 6) AS mean_diff, count(*) AS replicates FROM f""")
 def _(t):
     v = t.predictions.select("id", (F.col("sex") == "F").cast("int").alias("arm"), F.col("prob_gru").alias("v"))
     return rounded(I.permutation_test(v, "id", "arm", "v", reps=30))
