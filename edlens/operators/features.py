@@ -49,6 +49,12 @@ def derive_labels(students: DataFrame, registrations: DataFrame, how: str = "lef
     )
 
 
+def at_risk_rows(df: DataFrame, label: str = "y", p: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """Rows labelled as not passing or, with a probability column ``p`` of passing, scored below ``threshold``; nulls are no sign of risk."""
+    low = F.coalesce(F.col(p) < threshold, F.lit(False)) if p else F.lit(False)
+    return df.where(F.coalesce(F.col(label) == 0, F.lit(False)) | low)
+
+
 def early_window(df: DataFrame, days: int = EARLY_DAY, on: str = "date") -> DataFrame:
     return df.where(F.col(on) <= days)
 

@@ -13,6 +13,7 @@ from pyspark.ml import evaluation as E
 from pyspark.ml import feature as T
 from pyspark.ml import regression as R
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from edlens.functions.hashing import key_unit, poisson_one
 from edlens.operators import isotonic as I
 from edlens.operators.fairness import fairness_by_group, worst_group_accuracy
-from edlens.operators.metrics import classification_metrics, ranking_metrics, regression_metrics
-from edlens.operators.ordered import null_safe_join, shuffled_position
+from edlens.operators.metrics import classification_metrics, rates, ratio, regression_metrics, score_cells
+from edlens.operators.ordered import in_order, shuffled_position
 from edlens.operators.profile import numeric_columns
 from edlens.operators.splits import stratified_kfold
 from edlens.session import materialise
@@ -89,7 +90,8 @@ class Fitted:
 
 
 def fit_model(df: DataFrame, features: list[str], label: str, kind: str = "logistic", task: str = "classification", weight: str | None = None, **params) -> Fitted:
-    cols = [F.col(c).cast("double").alias(c) for c in features]
+    vectors = {f.name for f in df.schema if isinstance(f.dataType, VectorUDT)}
+    cols = [F.col(c) if c in vectors else F.col(c).cast("double").alias(c) for c in features]
     data = df.select(*cols, F.col(label).cast("double").alias("label"), *([F.col(weight).alias("__weight")] if weight else []))
     data = data.hint("rebalance")  # even partitions, as many as the size needs: training passes over them many times
     if weight:
@@ -102,12 +104,18 @@ def fit_model(df: DataFrame, features: list[str], label: str, kind: str = "logis
 
 
 def evaluate(scored: DataFrame, label: str, by: list[str] | None = None, p: str = "p") -> DataFrame:
-    """Accuracy, F1, balanced accuracy and AUC at a threshold of .5."""
+    """Accuracy, F1, balanced accuracy and AUC at a threshold of .5, all from one table of score cells: rows are scored once."""
     by = by or []
-    rows = scored.select(*by, F.col(label).cast("int").alias("y"), F.col(p).alias("p"), (F.col(p) >= 0.5).cast("int").alias("pred"))
-    a = classification_metrics(rows, by).select(*by, "accuracy", "f1", "balanced_accuracy")
-    b = ranking_metrics(rows, by).select(*by, "roc_auc")
-    return null_safe_join(a, b, by) if by else a.withColumn("roc_auc", b.scalar())
+    rows = scored.select(*by, F.col(label).cast("int").alias("y"), F.col(p).alias("p"))
+    cells = materialise(score_cells(rows, by)).withColumn("__neg", -F.col("score"))
+    run = in_order(cells, by, ["__neg"], running={"above": "pos"})
+    called, pos = F.col("score") >= 0.5, F.col("pos")
+    g = run.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(called, pos)), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(called, F.col("n") - pos)), F.lit(0)).alias("fp"),
+        F.coalesce(F.sum(F.when(~called, F.col("n") - pos)), F.lit(0)).alias("tn"), F.coalesce(F.sum(F.when(~called, pos)), F.lit(0)).alias("fn"),
+        F.sum((F.col("n") - pos) * (F.col("above") - pos / 2.0)).alias("area"))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    return g.select(*by, *[rates()[c].alias(c) for c in ("accuracy", "f1", "balanced_accuracy")], ratio(F.col("area"), (tp + fn) * (fp + tn), 0.5).alias("roc_auc"))
 
 
 def cross_predict(df: DataFrame, key: list[str], features: list[str], label: str, kind: str = "logistic", task: str = "classification", folds: int = 5, strata: list[str] | None = None, out: str = "p", **params) -> DataFrame:
@@ -225,17 +233,18 @@ def pca_features(df: DataFrame, features: list[str], k: int = 5) -> DataFrame:
 
 
 def train_regression(df: DataFrame, key: list[str], target: str | None = None, candidates: tuple[str, ...] = ("final_score", "score", "G3"), test: float = 0.2) -> DataFrame:
-    """Linear regression with one-hot strings on a hold-out share; the target is the first candidate present."""
-    from edlens.operators.prep import levels_of, one_hot
+    """Linear regression with one-hot strings (sparse, of any number of values) on a hold-out share; the target is the first candidate present."""
+    from edlens.operators.prep import one_hot_vectors
     from edlens.operators.profile import string_columns
 
     target = target or next((c for c in candidates if c in df.columns), None)
     if target is None:
         raise ValueError(f"none of {candidates} present")
     data = df.dropna(subset=[target])
-    for c in [c for c in string_columns(data) if c not in key]:
-        data = one_hot(data, c, levels_of(data, c), drop_first=True)
     features = [c for c in numeric_columns(data) if c not in (*key, target)]
+    for c in [c for c in string_columns(data) if c not in key]:
+        data = one_hot_vectors(data, data, c, f"{c}_levels", drop_base=True)
+        features.append(f"{c}_levels")
     placed = shuffled_position(data, [], key, SEED)
     cut = F.round(F.col("__size") * test)
     m = fit_model(placed.where(F.col("__pos") > cut), features, target, "linear", "regression")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from edlens.operators.features import join_dimension
 from edlens.operators.ordered import in_order
 from edlens.operators.quantiles import quantiles
 from edlens.operators.sequences import first_per_key
+from edlens.session import materialise
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -104,6 +106,20 @@ def one_hot(df: DataFrame, c: str, levels: list, *, drop_first: bool = False, pr
     return df.select(*[x for x in df.columns if x != c], *flags)
 
 
+def one_hot_vectors(df: DataFrame, fitted_on: DataFrame, c: str, out: str, *, drop_base: bool = False) -> DataFrame:
+    """A sparse vector with a one at the value's code in ``fitted_on``, for any number of values.
+
+    Codes fall with frequency and are joined, never collected. Null and unseen values give the zero vector; with
+    ``drop_base`` so does the rarest value.
+    """
+    codes = materialise(vocabulary(fitted_on, c, "frequency").withColumnRenamed("code", "__code"))
+    rest = codes.count() - int(drop_base)
+    last = max(rest, 1)  # the code without a place in the vector
+    coded = join_dimension(df, codes, [c], unique=True).withColumn("__code", F.when(F.col("__code") < rest, F.col("__code")).otherwise(last).cast("double"))
+    every = df.sparkSession.range(last + 1).select(F.col("id").cast("double").alias("__code"))
+    return OneHotEncoder(inputCols=["__code"], outputCols=[out], dropLast=True).fit(every).transform(coded).drop("__code")
+
+
 def top_levels(df: DataFrame, c: str, n: int, other: str = "other") -> DataFrame:
     """Keep the n most frequent values, the rest becomes ``other``."""
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))

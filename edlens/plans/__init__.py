@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 PLAN_MODULES: list[str] = [
-    "relational", "columns", "ordered", "splitting", "profiling", "evaluation", "testing", "domains", "preparing", "modelling",
+    "relational", "columns", "ordered", "splitting", "profiling", "evaluation", "testing", "domains", "preparing", "modelling", "sourcing",
 ]
 
 

@@ -199,4 +199,4 @@ def _(t):
 
 @query("at_risk_rows", "predictions", "SELECT id, id_student, prob_gru FROM predictions WHERE y = 0 OR prob_gru < 0.5")
 def _(t):
-    return t.predictions.where((F.col("y") == 0) | (F.col("prob_gru") < 0.5)).select("id", "id_student", "prob_gru")
+    return X.at_risk_rows(t.predictions, "y", "prob_gru").select("id", "id_student", "prob_gru")

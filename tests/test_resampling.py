@@ -20,7 +20,9 @@ from edlens.operators import fairness as B
 from edlens.operators import inference as I
 from edlens.operators import isotonic as O
 from edlens.operators import models as M
+from edlens.operators import metrics
 from edlens.operators import neighbours as N
+from edlens.operators import prep as P
 from edlens.operators import splits as L
 
 
@@ -214,3 +216,29 @@ def test_average_precision_without_rounding(spark):
     df = spark.createDataFrame(rows, "y int, a double, b double")
     got = {r.w_a: r.score for r in E.weight_search(df, ["a", "b"], steps=1, metric="average_precision").collect()}
     assert got[1.0] == pytest.approx((1 + 2 / 3) / 2) and got[0.0] == pytest.approx((1 / 2 + 2 / 4) / 2)
+
+
+def test_vectors_of_many_values(spark):
+    """Thousands of values encode without a list of them on the driver; null and unseen ones are the zero vector."""
+    rows = [(i, f"v{i % 5000}" if i % 11 else None, float(i % 7)) for i in range(12_000)]
+    df = spark.createDataFrame([*rows, (-1, "v1", 0.0)], "id long, c string, x double")
+    out = P.one_hot_vectors(df, df, "c", "vec")
+    got = {r.id: r.vec for r in out.where("id < 40").collect()}
+    n = df.where("c is not null").select("c").distinct().count()
+    assert all(v.size == n for v in got.values()) and got[0].numNonzeros() == 0 and got[1].numNonzeros() == 1
+    assert got[1].indices[0] == 0 and len({int(got[i].indices[0]) for i in range(1, 40) if i % 11}) == 36  # v1 is the most frequent
+    new = P.one_hot_vectors(spark.createDataFrame([(1, "unseen"), (2, None), (3, "v1")], "id long, c string"), df, "c", "vec").collect()
+    assert {r.id: r.vec.numNonzeros() for r in new} == {1: 0, 2: 0, 3: 1}
+    base = P.one_hot_vectors(df, df, "c", "vec", drop_base=True).select("vec").first().vec
+    assert base.size == n - 1
+    one = P.one_hot_vectors(spark.createDataFrame([(1, "a"), (2, None)], "id long, c string"), spark.createDataFrame([("a",)], "c string"), "c", "vec", drop_base=True).collect()
+    assert all(r.vec.numNonzeros() == 0 for r in one)
+
+
+def test_evaluate_scores_rows_once(spark):
+    df = grouped(spark)
+    got = {r.g: r for r in M.evaluate(df, "y", ["g"]).collect()}
+    for r in metrics.ranking_metrics(df, ["g"]).join(metrics.classification_metrics(df, ["g"]).withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).collect():
+        assert (got[r.g].accuracy, got[r.g].f1, got[r.g].balanced_accuracy, got[r.g].roc_auc) == pytest.approx((r.accuracy, r.f1, r.balanced_accuracy, r.roc_auc))
+    whole = M.evaluate(df, "y").first()
+    assert whole.roc_auc == pytest.approx(metrics.ranking_metrics(df, []).first().roc_auc)
