@@ -40,11 +40,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark removes the shuffle files of a query when it has ended, not when the driver next collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, read again after a lost executor."""
+    """``df`` as a Parquet table in the shared folder: computed once, read again after a lost executor.
+
+    Nothing reads the shuffles behind a table once it is written, so their files go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
