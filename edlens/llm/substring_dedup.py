@@ -15,8 +15,10 @@ from edlens.llm import shared as S
 
 #: Rounds of run and pair naming. Two leave symbols whose context is 5 to 10 words, the best fit to 20-word windows.
 ROUNDS = 2
-#: Place of windows in one number: 19 bits of the text's hash, 28 of the first word, 16 of their number.
-TIE, COUNT = 44, 16
+#: Place of windows in one number: the first word, and 16 bits of their number.
+COUNT = 16
+#: What is mixed into word hashes for the second half of a window's hash.
+SECOND = np.uint64(0xD1B54A32D192ED03)
 
 
 class Level:
@@ -112,106 +114,114 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
 
 
 def source(docs: DataFrame, id_col: str, text: str, carry: list[str]) -> DataFrame:
-    """``id``, ``tie`` (a hash of the text), ``row`` (text and carried columns): the same shuffle serves both joins."""
-    tie = F.xxhash64(S.text_of(text)).bitwiseAND((1 << 63 - TIE) - 1)
-    return docs.select(F.col(id_col).alias("id"), tie.alias("tie"), F.struct(F.col(text).cast("string").alias("__text"), *carry).alias("row"))
+    """``id``, ``doc`` (a hash of id and text), ``row`` (text and carried columns): the same shuffle serves both joins."""
+    doc = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), S.text_of(text))
+    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.struct(F.col(text).cast("string").alias("__text"), *carry).alias("row"))
 
 
-def equal_rows(batch: pa.RecordBatch) -> np.ndarray:
-    """Whether each row but the first has the id and place of the one before it."""
-    ids, place = batch.column(1), batch.column(2).to_numpy()
-    one, two = ids.slice(0, len(ids) - 1), ids.slice(1)
-    same = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(pc.is_null(one), pc.is_null(two)))
-    return same.to_numpy(zero_copy_only=False).astype(bool) & (place[1:] == place[:-1])
+def equal_to_last(*columns: pa.Array) -> np.ndarray:
+    """Whether each row but the first equals the one before it in all columns; nulls are equal."""
+    same = np.ones(len(columns[0]) - 1, bool)
+    for c in columns:
+        one, two = c.slice(0, len(c) - 1), c.slice(1)
+        equal = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(pc.is_null(one), pc.is_null(two)))
+        same &= equal.to_numpy(zero_copy_only=False).astype(bool)
+    return same
 
 
-def repeats(rows: DataFrame, all_but_first: bool) -> DataFrame:
-    """``id``, ``place`` of the rows whose ``key`` occurs again; the first of each key only if asked.
+def repeats(rows: DataFrame, keys: list[str], first_by: list[str] | None = None) -> DataFrame:
+    """The other columns of the rows whose ``keys`` occur again; without the first of each key in the order of
+    ``first_by``, if given.
 
-    Rows of a key stream past in order, whatever their number; one key is held.
+    Rows of a key stream past in order, whatever their number; one row is held.
     """
-    kind = rows.schema["id"].dataType.simpleString()
+    out = [f for f in rows.schema.fields if f.name not in keys]
+    names = [f.name for f in out]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row so far: it may have a partner in the next batch
         before = False
         for batch in batches:
+            if not batch.num_rows:
+                continue
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            key = batch.column(0).to_numpy()
-            same = np.append(before, key[1:] == key[:-1])
-            if all_but_first:  # a repeated row stands where the first stands
-                at = np.flatnonzero(np.append(True, ~(same[1:] & equal_rows(batch))))
-                same = np.repeat(same[at], np.diff(np.append(at, len(key))))
-            keep = same[:-1] if all_but_first else same[:-1] | same[1:]
-            yield batch.slice(0, len(keep)).select(["id", "place"]).filter(pa.array(keep))
-            held, before = batch.slice(len(key) - 1, 1), bool(same[-1])
+            same = np.append(before, equal_to_last(*(batch.column(k) for k in keys)))
+            if first_by:  # a repeated row stands where the first stands
+                at = np.flatnonzero(np.append(True, ~(same[1:] & equal_to_last(*(batch.column(c) for c in names)))))
+                same = np.repeat(same[at], np.diff(np.append(at, batch.num_rows)))
+            keep = same[:-1] if first_by else same[:-1] | same[1:]
+            yield batch.slice(0, len(keep)).select(names).filter(pa.array(keep))
+            held, before = batch.slice(batch.num_rows - 1, 1), bool(same[-1])
         if held is not None and before:
-            yield held.select(["id", "place"])
+            yield held.select(names)
 
-    order = ["key", F.col("id").asc_nulls_first(), "place"] if all_but_first else ["key"]
-    return rows.repartition(S.wide(rows), "key").sortWithinPartitions(*order).mapInArrow(scan, f"id {kind}, place long")
-
-
-def by_document(rows: DataFrame) -> DataFrame:
-    tie = F.shiftrightunsigned("place", TIE)
-    return rows.groupBy("id", tie.alias("tie")).agg(F.collect_list(F.col("place").bitwiseAND((1 << TIE) - 1)).alias("places"))
+    order = [*keys, *(F.col(c).asc_nulls_first() for c in first_by or ())]
+    return rows.repartition(S.wide(rows), *keys).sortWithinPartitions(*order).mapInArrow(scan, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out))
 
 
 def attach(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    found = found.select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), "places")
-    return texts.join(found, texts["id"].eqNullSafe(found["__id"]) & (texts["tie"] == found["__tie"]), how).drop("__id", "__tie")
+    """Texts with their ``places``: both sides are dealt by ``doc`` alone, ids that differ under one hash stay apart."""
+    ids = "id" in found.columns
+    found = found.select(F.col("doc").alias("__doc"), *([F.col("id").alias("__id")] if ids else []), "places")
+    on = texts["doc"] == found["__doc"]
+    if ids:  # not as a join key, so that one shuffle of texts serves both joins
+        on = on & F.coalesce(texts["id"] == found["__id"], texts["id"].isNull() & found["__id"].isNull())
+    return texts.join(found, on, how).select("id", "doc", "row", "places")
 
 
-def first_in_row(row: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
+def first_in_row(row: np.ndarray, key: np.ndarray, two: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Indices of the first of equal keys within each row."""
-    order = np.lexsort((start, key, row))
-    return order[np.append(True, (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1]))[: len(order)]]
+    order = np.lexsort((start, two, key, row))
+    row, key, two = row[order], key[order], two[order]
+    return order[np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (two[1:] != two[:-1]))[: len(order)]]
 
 
 def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
-    """``id``, ``tie``, ``places``: the first words of windows that also start in an earlier document.
+    """``id``, ``doc``, ``places``: the first words of windows that also start in an earlier document.
 
     Symbols named in rounds (runs, then pairs) by hashing are the same everywhere without a common
-    dictionary. Those that occur again point to the candidate windows, which are then compared by a hash of all
+    dictionary. Those that occur again point to the candidate windows, which are then compared by 128 bits of hash of all
     their words; the first place stays. Of equal windows within a document only the first is compared with others.
-    Sorted rows stream through both comparisons.
+    Sorted rows stream through both comparisons. Where two documents share the hash ``doc``, each is asked for the
+    candidates of both, which changes no result.
     """
     kind = texts.schema["id"].dataType.simpleString()
-    shape = f"key long, id {kind}, place long"
-    names = ["key", "id", "place"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ties = batch.column(1).to_numpy()
+            docs = batch.column(1).to_numpy()
             for i, j, data, at in S.blocks(batch.column(2).field(0)):
                 starts, ends, first = S.word_bounds(data, at)
                 row, key, begin, n = anchors(S.word_hashes(data, starts, ends), first, window)
                 if len(row):
-                    place = (ties[i:j][row] << TIE) | (begin << COUNT) | n
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(place)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs[i:j][row]), pa.array((begin << COUNT) | n)], names=["key", "doc", "place"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ties, places = batch.column(1).to_numpy(), batch.column(3)
+            docs, places = batch.column(1).to_numpy(), batch.column(3)
             flat, offsets = places.flatten().to_numpy(), np.append(0, np.cumsum(places.value_lengths().to_numpy()))
             for i, j, data, at in S.blocks(batch.column(2).field(0)):
                 starts, ends, first = S.word_bounds(data, at)
-                grams = S.window_hashes(S.word_hashes(data, starts, ends), window)
+                h = S.word_hashes(data, starts, ends)
+                one, two = S.window_hashes(h, window), S.window_hashes(S.mix(h ^ SECOND), window)
                 mine = flat[offsets[i] : offsets[j]]
                 row = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
                 begin, n = mine >> COUNT, mine & ((1 << COUNT) - 1)
                 row = np.repeat(row, n)
                 start = np.repeat(begin - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-                key = grams[first[:-1][row] + start]
-                some = first_in_row(row, key, start)
-                row, key, start = row[some], key[some], start[some]
-                place = (ties[i:j][row] << TIE) | start
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(place)], names=names)
+                own = start <= np.diff(first)[row] - window  # others belong to a document of the same hash
+                row, start = row[own], start[own]
+                key, other = one[first[:-1][row] + start], two[first[:-1][row] + start]
+                some = first_in_row(row, key, other, start)
+                row, key, other, start = row[some], key[some], other[some], start[some]
+                ids = batch.column(0).slice(i, j - i).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), ids, pa.array(docs[i:j][row]), pa.array(start)], names=["key", "other", "id", "doc", "place"])
 
-    shared = by_document(repeats(texts.mapInArrow(name, shape), False))
-    windows = attach(texts, shared, "inner").select("id", "tie", "row", "places").mapInArrow(candidates, shape)
-    return by_document(repeats(windows, True))
+    named = texts.mapInArrow(name, "key long, doc long, place long")
+    shared = S.written(repeats(named, ["key"]).groupBy("doc").agg(F.collect_list("place").alias("places")), "shared-symbols")
+    windows = attach(texts, shared, "inner").mapInArrow(candidates, f"key long, other long, id {kind}, doc long, place long")
+    return repeats(windows, ["key", "other"], ["id", "doc", "place"]).groupBy("id", "doc").agg(F.collect_list("place").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, carry: list[str] | None = None) -> DataFrame:
@@ -222,12 +232,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nothing goes. Overlapping copies within a document count as they stand.
 
     Null or empty text: no words, empty kept text. Null ids come before all others. Rows of one id and one text
-    are one document and fare alike; other texts of the same id are ordered by hash. Further columns matter only
+    are one document and fare alike; other texts of the same id are ordered by a 64-bit hash. Further columns matter only
     if named in ``carry`` (by default the id alone) and stay within ``row``, so names cannot clash.
     """
     carry = [id_col] if carry is None else carry
     texts = source(docs, id_col, text, carry)
-    joined = attach(texts, repeated_windows(texts, window), "left").select("id", "tie", "row", "places")
+    joined = attach(texts, repeated_windows(texts, window), "left")
     kind = docs.select(F.struct(*carry).alias("row")).schema["row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,6 +125,27 @@ def kept_words(rows, window=20):
     return [(i, *out[i, t or ""]) for i, t in rows]
 
 
+@pytest.mark.parametrize("number", [None, 7])
+def test_repeated_passages_of_one_id(spark, number):
+    """3,000 texts of different lengths under no id, or one: every passage stays in just one of them."""
+    importable(spark)
+    rng = random.Random(11)
+    passages = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(25 + k % 9)) for k in range(50)]
+    rows = [(number, " ".join([*(f"r{i}t{k}" for k in range(i % 300)), passages[i % 50]])) for i in range(3000)] * 2
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), carry=["doc_id", "text"]).select("row.text", "n_words", "n_removed", "kept_text").collect()
+    assert len(got) == 6000
+    stays = defaultdict(set)
+    for text, n, removed, kept in got:
+        k = int(re.search(r"p(\d+)w", text)[1])
+        assert n == len(text.split())
+        if removed:
+            assert removed == 25 + k % 9 and kept == " ".join(w for w in text.split() if w[0] == "r")
+        else:
+            assert kept is None
+            stays[k].add(text)
+    assert all(len(stays[k]) == 1 for k in range(50))
+
+
 def test_repeated_passages(docs):
     rows = [(i, t) for i, t in TEXTS if i is not None]  # one order of equal ids only
     same(substring_dedup.remove_repeats(docs.where("doc_id is not null")).select("row.doc_id", "n_words", "n_removed", "kept_sha256"), kept_words(rows))
