@@ -414,8 +414,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     Rows without words all stay; of equal repeated rows one stays.
     """
     found = near_duplicates(docs, id_col, text, words, percent)
-    heads = found.where("head").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), (F.col("n_shingles") == 0).alias("__bare")).distinct()
-    marked = docs.withColumn("__mark", F.xxhash64(S.text_of(text)))
-    kept = marked.join(heads.withColumnRenamed("__mark", "__m"), marked[id_col].eqNullSafe(heads["__id"]) & (F.col("__mark") == F.col("__m")))
-    bare = kept.where("__bare").select(*docs.columns)
-    return kept.where("not __bare").dropDuplicates([id_col, "__mark"]).select(*docs.columns).union(bare)
+    row, mark, own, bare = S.free(docs.columns, "head_id", "head_mark", "mark", "bare")
+    heads = found.where("head").select(F.col("id").alias(row), F.col("mark").alias(mark), (F.col("n_shingles") == 0).alias(bare)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(S.text_of(text)))
+    kept = marked.join(heads, marked[id_col].eqNullSafe(heads[row]) & (F.col(own) == F.col(mark)))
+    wordless = kept.where(F.col(bare)).select(*docs.columns)
+    return kept.where(~F.col(bare)).dropDuplicates([id_col, own]).select(*docs.columns).union(wordless)

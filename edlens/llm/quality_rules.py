@@ -95,7 +95,8 @@ def without_lines(text: Column, gone: Column) -> Column:
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", docs_limit: int = LINE_DOCS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
     """``docs`` without the documents that the rules reject; texts lose the lines that are frequent in their host."""
     found = verdicts(docs, id_col, text, host, docs_limit, share, left_share).where("kept")
-    good = found.groupBy(F.col("id").alias("__id"), F.col("host").alias("__host"), F.col("mark").alias("__mark")).agg(F.first("gone").alias("__gone"))
+    row, home_of, mark, gone = S.free(docs.columns, "id", "host", "mark", "gone")
+    good = found.groupBy(F.col("id").alias(row), F.col("host").alias(home_of), F.col("mark").alias(mark)).agg(F.first("gone").alias(gone))
     home = F.coalesce(docs[host].cast("string"), F.lit(""))
-    joined = docs.join(good, docs[id_col].eqNullSafe(good["__id"]) & (home == good["__host"]) & (F.xxhash64(S.text_of(text)) == good["__mark"]))
-    return joined.select(*(without_lines(docs[c], F.col("__gone")).alias(c) if c == text else docs[c] for c in docs.columns))
+    joined = docs.join(good, docs[id_col].eqNullSafe(good[row]) & (home == good[home_of]) & (F.xxhash64(S.text_of(text)) == good[mark]))
+    return joined.select(*(without_lines(docs[c], F.col(gone)).alias(c) if c == text else docs[c] for c in docs.columns))

@@ -119,7 +119,8 @@ def masked(text: Column, found: Column) -> Column:
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` with the secrets of every text masked; rows without any stay as they are."""
-    hits = find_secrets(docs, id_col, text, **how).where("size(found) > 0").groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max("found").alias("__found"))
+    row, mark, found = S.free(docs.columns, "id", "mark", "found")
+    hits = find_secrets(docs, id_col, text, **how).where("size(found) > 0").groupBy(F.col("id").alias(row), F.col("mark").alias(mark)).agg(F.max("found").alias(found))
     body = S.text_of(text)
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & (F.xxhash64(body) == hits["__mark"]), "left")
-    return joined.select(*(F.when(F.col("__found").isNull(), docs[c]).otherwise(masked(docs[c], F.col("__found"))).alias(c) if c == text else docs[c] for c in docs.columns))
+    joined = docs.join(hits, docs[id_col].eqNullSafe(hits[row]) & (F.xxhash64(body) == hits[mark]), "left")
+    return joined.select(*(F.when(F.col(found).isNull(), docs[c]).otherwise(masked(docs[c], F.col(found))).alias(c) if c == text else docs[c] for c in docs.columns))

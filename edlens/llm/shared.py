@@ -69,6 +69,17 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so, in either case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def wide(df: DataFrame) -> int:
     """Partitions for an explicit shuffle: the session's number, or the cores if they are more."""
     spark = df.sparkSession

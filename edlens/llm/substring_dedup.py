@@ -116,7 +116,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
 def source(docs: DataFrame, id_col: str, text: str, carry: list[str]) -> DataFrame:
     """``id``, ``doc`` (a hash of id and text), ``row`` (text and carried columns): the same shuffle serves both joins."""
     doc = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), S.text_of(text))
-    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.struct(F.col(text).cast("string").alias("__text"), *carry).alias("row"))
+    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.struct(F.col(text).cast("string").alias(S.free(carry, "words")[0]), *carry).alias("row"))
 
 
 def equal_to_last(*columns: pa.Array) -> np.ndarray:

@@ -125,6 +125,22 @@ def kept_words(rows, window=20):
     return [(i, *out[i, t or ""]) for i, t in rows]
 
 
+def test_columns_of_temporary_names(spark):
+    """Columns called as the operators' own ones come back with their values."""
+    importable(spark)
+    names = ["id", "host", "mark", "gone", "found", "head_id", "head_mark", "bare", "Words", "row", "__mark", "__id", "__before", "before"]
+    body = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, t, "s", "en", *(f"{n}{i}" for n in names)) for i, t in enumerate([body, body + " tail", "password = abcdef1234 " + " ".join(f"other{i}" for i in range(40))])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} string" for n in names))
+    same(quality_rules.keep_good(df), rows)
+    same(jaccard_join.keep_one(df), [rows[0], rows[2]])
+    same(secret_scan.mask_secrets(df).drop("text"), [r[:1] + r[2:] for r in rows])
+    same(substring_dedup.remove_repeats(df, carry=df.columns).select("row.*"), rows)
+    wide = df.withColumn("n_chars", F.length("text"))
+    same(corpus_pipeline.rules(spark, wide, "").select(*names), [r[4:] for r in rows])
+    same(corpus_pipeline.secrets(spark, wide, "").select(*names), [r[4:] for r in rows])
+
+
 @pytest.mark.parametrize("number", [None, 7])
 def test_repeated_passages_of_one_id(spark, number):
     """3,000 texts of different lengths under no id, or one: every passage stays in just one of them."""
