@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from edlens.llm import jaccard_join, packing, quality_rules, secret_scan, substring_dedup
 from edlens.llm.queries import vocabulary
-from edlens.llm.shared import importable, written
+from edlens.llm.shared import free, importable, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines frequent in their host; n_chars follows."""
     kind = docs.schema["n_chars"].dataType
-    kept = quality_rules.keep_good(docs.withColumn("__before", F.length("text")))
-    return kept.withColumn("n_chars", F.when(F.length("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
+    (before,) = free(docs.columns, "before")
+    kept = quality_rules.keep_good(docs.withColumn(before, F.length("text")))
+    return kept.withColumn("n_chars", F.when(F.length("text") == F.col(before), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets masked; n_chars follows."""
     kind = docs.schema["n_chars"].dataType
-    masked = secret_scan.mask_secrets(docs.withColumn("__before", F.length("text")))
-    return masked.withColumn("n_chars", F.when(F.length("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
+    (before,) = free(docs.columns, "before")
+    masked = secret_scan.mask_secrets(docs.withColumn(before, F.length("text")))
+    return masked.withColumn("n_chars", F.when(F.length("text") == F.col(before), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
