@@ -416,9 +416,9 @@ def wilcoxon(df: DataFrame, by: list[str], a: str, b: str, p_value: bool = True)
         F.sum(F.pow(F.col("__n"), F.lit(3)) - F.col("__n")).alias("__t"),
     )
     g = null_safe_join(g, sizes, by) if by else g.withColumn("n", sizes.scalar())
-    w, m = F.least("w_plus", "w_minus"), F.col("m")
+    w, m, n = F.least("w_plus", "w_minus"), F.col("m").cast("double"), F.col("n").cast("double")  # cubes of counts leave the long range
     z = (w - m * (m + 1) / 4) / F.sqrt((m * (m + 1) * (2 * m + 1) - F.col("__t") / 2) / 24)
-    out = g.select(*by, "n", w.alias("statistic"), z.alias("z"), (1 - 2 * w / (F.col("n") * (F.col("n") + 1) / 2)).alias("effect_size"))
+    out = g.select(*by, "n", w.alias("statistic"), z.alias("z"), (1 - 2 * w / (n * (n + 1) / 2)).alias("effect_size"))
     return out.withColumn("p_value", normal_p("z")) if p_value else out
 
 

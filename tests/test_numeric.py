@@ -139,3 +139,15 @@ def test_coral_aligns_second_moments(points):
         assert np.allclose(np.cov(out, rowvar=False), np.cov(x[150:], rowvar=False), atol=1e-6)
     assert A.alignment_metrics(wide, model).first().frobenius_after < 1e-6
     assert A.coral_loss(wide, cols).first()[0] == pytest.approx(np.linalg.norm(np.cov(x[:150], rowvar=False) - np.cov(x[150:], rowvar=False)))
+
+
+def test_wilcoxon_of_two_million_pairs(spark):
+    """The cube of the count does not fit a long."""
+    n = 2_000_000
+    d = spark.range(n).select(((F.col("id") % 4) - 1.0).alias("a"), F.lit(0.0).alias("b"))
+    got = I.wilcoxon(d, [], "a", "b", p_value=False).first()
+    ones, twos = n // 2, n // 4  # half of the rest is 1 or -1, a quarter of all 2; zeros take no rank
+    w, m = n // 4 * (ones + 1) / 2, ones + twos
+    ties = ones**3 - ones + twos**3 - twos
+    z = (w - m * (m + 1) / 4) / math.sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24)
+    assert (got.n, got.statistic) == (n, w) and got.z == pytest.approx(z) and got.effect_size == pytest.approx(1 - 2 * w / (n * (n + 1) / 2))
