@@ -2,8 +2,9 @@
 
 Reference vectors are placed in cells of a two-level pivot index whose size grows with the square root of their number. A
 first pass finds each query's exact k-th distance inside its nearest cells; a second visits only the cells that the
-triangle inequality cannot place beyond it. Cells are cut into shards of bounded size on both sides, and equal vectors
-count once, so neither a dense region nor a vector in a third of all rows ends up in one task. Distances are Euclidean;
+triangle inequality cannot place beyond it. Neighbouring cells are packed into bins of bounded size, larger ones cut; a query is sent once to each bin
+with a cell to visit, in lots of bounded size, and equal vectors count once, so neither a dense region nor a vector in a third
+of all rows ends up in one task, and what a task holds does not grow with the tables. Distances are Euclidean;
 rows whose vector is null or holds null or NaN take no part.
 """
 
@@ -21,7 +22,10 @@ from edlens.functions.hashing import digest_unit, key_digest, key_unit
 from edlens.operators.ordered import null_safe_join, shuffled_position
 from edlens.session import fan_out, materialise
 
-SHARD_ROWS = 4096
+#: Least and most vectors in a bin and in a lot of queries that meet there; between them an eighth of the vectors.
+SHARD_ROWS = (4096, 16_384)
+#: Numbers in the blocks of one step (16 MB), pairs in those of a matrix product (1 MB).
+BLOCK_VALUES, BLOCK_PAIRS = 2_000_000, 131_072
 
 
 def _vectors(s: pd.Series) -> np.ndarray:
@@ -31,33 +35,44 @@ def _vectors(s: pd.Series) -> np.ndarray:
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances between two small sets, by differences (no cancellation)."""
     out = np.empty((len(a), len(b)))
-    rows = max(1, 2_000_000 // max(1, b.size))
+    rows = max(1, BLOCK_VALUES // max(1, b.size))
     for i in range(0, len(a), rows):
         d = a[i : i + rows, None, :] - b[None, :, :]
         out[i : i + rows] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
     return out
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per row of ``a`` the positions and distances of its k nearest rows of ``b``.
+def _first(i: np.ndarray, d: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs are among the k first of their query ``i``, by distance and ``low``; in that order."""
+    order = np.lexsort((low, d, i))
+    i = i[order]
+    begins = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    return order[np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)])) < k]
 
-    A matrix product finds everything within rounding of the k-th distance; those few are then
-    measured exactly and ordered by distance and id.
+
+def _nearest(a: np.ndarray, b: np.ndarray, low: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of ``a``, row of ``b``, distance): the k nearest of each row of ``a`` that lie within its ``limit``.
+
+    A matrix product finds everything within rounding of the limit, or of the k-th distance where that would be
+    many; those few are then measured exactly and ordered by distance and ``low``. Both go in blocks of fixed size.
     """
-    out, bb = [], (b * b).sum(axis=1)
-    slack = 1e-9 * (1.0 + bb.max(initial=0.0))
-    for i in range(0, len(a), 512):
-        part = a[i : i + 512]
+    found, bb, turned = [], (b * b).sum(axis=1), np.ascontiguousarray(-2 * b.T)
+    slack, k = 1e-9 * (1.0 + bb.max(initial=0.0)), min(k, len(b))
+    rows, pairs = max(1, BLOCK_PAIRS // len(b)), max(1, BLOCK_VALUES // max(1, b.shape[1]))
+    for start in range(0, len(a), rows):
+        part = a[start : start + rows]
         aa = (part * part).sum(axis=1)
-        rough = aa[:, None] + bb[None, :] - 2 * part @ b.T
-        kth = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-        near = rough <= (kth + slack + 1e-9 * aa)[:, None]
-        for j in range(len(part)):
-            at = np.nonzero(near[j])[0]
-            d = np.sqrt(((b[at] - part[j]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[at], d))[:k]
-            out.append((at[order], d[order]))
-    return out
+        rough = part @ turned
+        rough += bb  # the squared distance without aa
+        room = slack + 1e-9 * aa
+        near = rough <= (limit[start : start + rows] ** 2 * (1 + 1e-9) + room - aa)[:, None]
+        if near.sum() > 8 * k * len(part):
+            near &= rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + room)[:, None]
+        i, j = np.nonzero(near)
+        d = np.concatenate([np.empty(0), *(np.sqrt(((b[j[n : n + pairs]] - part[i[n : n + pairs]]) ** 2).sum(axis=1)) for n in range(0, len(i), pairs))])
+        keep = _first(i, d, low[j], k) if len(i) else slice(0)
+        found.append((i[keep] + start, j[keep], d[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def as_vector(cols: list[str]) -> Column:
@@ -95,7 +110,7 @@ class PivotIndex:
             cell[rows], far[rows] = self.members[c][best], e[np.arange(len(rows)), best]
         return cell, far, d[np.arange(len(v)), at]
 
-    def measure(self, stats: pd.DataFrame) -> None:
+    def measure(self, stats: pd.DataFrame, shard_rows: int) -> None:
         """Keep what ``stats`` (one row per cell) says; cells without rows are never visited."""
         n = len(self.fine)
         self.rows, self.reach, self.inner = np.zeros(n, np.int64), np.full(n, -np.inf), np.full(n, np.inf)
@@ -103,9 +118,33 @@ class PivotIndex:
         self.rows[cell], self.reach[cell], self.inner[cell] = stats["n"], stats["far"], stats["near"]
         self.members = [m[self.rows[m] > 0] for m in self.members]
         self.coarse_rows = np.array([self.rows[m].sum() for m in self.members])
+        self._pack(shard_rows)
         self.coarse_reach = np.full(len(self.coarse), -np.inf)
         np.maximum.at(self.coarse_reach, self.home[cell], stats["above"].to_numpy())
 
+    def _pack(self, shard_rows: int) -> None:
+        """Bins of at most ``shard_rows`` vectors: cells in the order of their coarse pivots, larger ones in bins of their own."""
+        self.bin, self.lots, self.bins = np.full(len(self.fine), -1, np.int64), np.ones(len(self.fine), np.int64), []
+        room = 0
+        for c in np.concatenate(self.members):
+            n = int(self.rows[c])
+            if n > shard_rows:
+                self.lots[c], room = -(-n // shard_rows), 0
+                self.bin[c] = len(self.bins)
+                self.bins += [[c]] * int(self.lots[c])
+                continue
+            if n > room:
+                self.bins.append([])
+                room = shard_rows
+            self.bin[c], room = len(self.bins) - 1, room - n
+            self.bins[-1].append(c)
+        self.bins = [np.array(b) for b in self.bins]
+
+    def bins_of(self, cells: np.ndarray) -> np.ndarray:
+        """The bins that hold vectors of ``cells``."""
+        whole = self.lots[cells] == 1
+        return np.unique(np.concatenate([self.bin[cells[whole]], *(self.bin[c] + np.arange(self.lots[c]) for c in cells[~whole])]))
+
     def first(self, v: np.ndarray, d: np.ndarray, need: int) -> np.ndarray:
         """The nearest cells that hold ``need`` vectors together; ``d``: distances to the coarse pivots."""
         order = d.argsort(kind="stable")
@@ -114,36 +153,69 @@ class PivotIndex:
         cells = cells[_distances(v[None], self.fine[cells])[0].argsort(kind="stable")]
         return cells[: int(np.searchsorted(self.rows[cells].cumsum(), need)) + 1]
 
+    def within(self, v: np.ndarray, limit: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Which of ``cells`` can hold a vector at a distance of at most ``limit`` from each row of ``v``."""
+        slack = (limit * (1 + 1e-12) + 1e-12)[:, None]
+        e = _distances(v, self.fine[cells])
+        return (e - self.reach[cells] <= slack) & (self.inner[cells] - e <= slack)
+
     def rest(self, v: np.ndarray, d: np.ndarray, limit: float) -> np.ndarray:
-        """Cells that can hold a vector at a distance of at most ``limit``."""
+        """All cells that ``within`` holds for one vector; ``d``: distances to the coarse pivots."""
         slack = limit * (1 + 1e-12) + 1e-12
         cells = np.concatenate([np.empty(0, np.int64), *(self.members[c] for c in np.flatnonzero(d - self.coarse_reach <= slack))])
-        e = _distances(v[None], self.fine[cells])[0]
-        return cells[(e - self.reach[cells] <= slack) & (self.inner[cells] - e <= slack)]
+        return cells[self.within(v[None], np.array([limit]), cells)[0]]
 
 
-def _meet(asked: DataFrame, placed: DataFrame, need: int, shard_rows: int) -> DataFrame:
-    """``qp``, ``distance``, ``ids``: the nearest vectors of each visited shard."""
+def _visited(index: PivotIndex, v: np.ndarray, limit: np.ndarray | None, own: list[np.ndarray], cells: np.ndarray) -> np.ndarray:
+    """Queries x ``cells``: first pass (no ``limit``) the cells in ``own``; second pass those within the limit, without ``own``."""
+    at = np.full(len(index.fine), -1)
+    at[cells] = np.arange(len(cells))
+    row, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), at[np.concatenate(own)]
+    seen = np.zeros((len(v), len(cells)), bool)
+    seen[row[col >= 0], col[col >= 0]] = True
+    return seen if limit is None else index.within(v, limit, cells) & ~seen
+
+
+def _meet(index: PivotIndex, asked: DataFrame, placed: DataFrame, need: int, shard_rows: int) -> DataFrame:
+    """``qp``, ``distance``, ``ids``: the nearest vectors of each visited bin."""
     ids = placed.schema["ids"].dataType.simpleString()
-    shards = lambda df, n: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias(n))
-    both = shards(asked, "lots").join(shards(placed, "parts"), "cell")
-    cut = lambda df, of, into, across, name: df.join(both, "cell").withColumn(into, F.pmod(F.xxhash64(of), F.col(name)).cast("int")).withColumn(across[0], F.explode(F.sequence(F.lit(0), F.col(across[1]) - 1)))
-    left = cut(asked, "pid", "qs", ("rs", "parts"), "lots").select("cell", "qs", "rs", "pid", "v")
-    right = cut(placed, "pid", "rs", ("qs", "lots"), "parts").select("cell", "qs", "rs", "v", "ids")
+    second = "limit" in asked.columns
+    asked = asked.withColumn("bin", F.explode("bins")).drop("bins")
+    lots = asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("lots"))
+    left = asked.join(lots, "bin").withColumn("lot", F.pmod(F.xxhash64("pid"), "lots").cast("int")).drop("lots")
+    right = placed.select("bin", "cell", "v", "ids").join(lots, "bin").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"qp": a["pid"][:0], "distance": np.zeros(0), "ids": b["ids"][:0]})
         low = np.empty(len(b), np.int64)
         low[sorted(range(len(b)), key=[x[0] for x in b["ids"]].__getitem__)] = np.arange(len(b))
-        found = _nearest(_vectors(a["v"]), _vectors(b["v"]), low, need)
-        at = np.concatenate([f[0] for f in found])
-        return pd.DataFrame({"qp": np.repeat(a["pid"].to_numpy(), [len(f[0]) for f in found]), "distance": np.concatenate([f[1] for f in found]), "ids": b["ids"].to_numpy()[at]})
-
-    key = ["cell", "qs", "rs"]
+        q, v, home = _vectors(a["v"]), _vectors(b["v"]), b["cell"].to_numpy()
+        cells = np.unique(home)
+        limit = a["limit"].to_numpy() if second else None
+        visits = _visited(index, q, limit, list(a["own"]), cells)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for n, c in enumerate(cells):
+            rows, at = np.flatnonzero(visits[:, n]), np.flatnonzero(home == c)
+            if len(rows):
+                i, j, d = _nearest(q[rows], v[at], low[at], need, limit[rows] if second else np.full(len(rows), math.inf))
+                found.append((rows[i], at[j], d))
+            if len(found) > 16:  # no more than the need of each query is held
+                found = [_best(found, low, need)]
+        i, j, d = _best(found, low, need)
+        return pd.DataFrame({"qp": a["pid"].to_numpy()[i], "distance": d, "ids": b["ids"].to_numpy()[j]})
+
+    key = ["bin", "lot"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest, f"qp bigint, distance double, ids {ids}")
 
 
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], low: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (query, reference, distance) of several cells, cut to the ``need`` nearest of each query."""
+    i, j, d = (np.concatenate(x) for x in zip(*found))
+    keep = _first(i, d, low[j], need) if len(i) else slice(0)
+    return i[keep], j[keep], d[keep]
+
+
 def _merged(found: DataFrame, need: int) -> DataFrame:
     """``qp``, ``near``: the ``need`` nearest (distance, id) of each query vector."""
     w = Window.partitionBy("qp").orderBy("distance", F.col("ids")[0])
@@ -152,12 +224,13 @@ def _merged(found: DataFrame, need: int) -> DataFrame:
     return top.select("qp", pairs.alias("x")).groupBy("qp").agg(F.flatten(F.collect_list("x")).alias("x")).select("qp", F.slice(F.array_sort("x"), 1, need).alias("near"))
 
 
-def _search(places: DataFrame, points: DataFrame, need: int, pivots: int | None, shard_rows: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _search(places: DataFrame, points: DataFrame, need: int, pivots: int | None, shard_rows: int | None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Nearest lists of the query vectors, the reference vectors in their cells, and the visits of both passes."""
     n = points.count()
     if n == 0:
         raise ValueError("no reference rows")
     want = pivots or math.ceil(n**0.5)
+    shard_rows = shard_rows or sorted((*SHARD_ROWS, n // 8))[1]
     index = PivotIndex(_vectors(pd.Series([x["v"] for x in points.select("v").orderBy(F.xxhash64("v"), "v").limit(want).collect()])))
     ids = points.schema["ids"].dataType.simpleString()
 
@@ -168,42 +241,59 @@ def _search(places: DataFrame, points: DataFrame, need: int, pivots: int | None,
                 yield pdf.assign(cell=cell, far=far, above=above)
 
     placed = materialise(fan_out(points, "pid").mapInPandas(assign, f"pid bigint, v array<double>, ids {ids}, cell bigint, far double, above double"))
-    index.measure(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.min("far").alias("near"), F.max("above").alias("above")).toPandas())  # one row per pivot
+    index.measure(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.min("far").alias("near"), F.max("above").alias("above")).toPandas(), shard_rows)  # one row per pivot
 
-    def visits(pdf: pd.DataFrame, limit: bool) -> pd.DataFrame:
+    def shelve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cell = pdf["cell"].to_numpy()
+            yield pdf.assign(bin=index.bin[cell] + pdf["deal"].to_numpy() % index.lots[cell])[["bin", "cell", "v", "ids"]]
+
+    binned = placed.select("cell", "v", "ids", F.pmod(F.xxhash64("pid"), F.lit(2**31)).alias("deal")).mapInPandas(shelve, f"bin bigint, cell bigint, v array<double>, ids {ids}")
+
+    def to_visit(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
+        """The cells each query visits: the nearest, or those that its limit leaves besides them."""
         v = _vectors(pdf["v"])
         d = _distances(v, index.coarse)
-        cells = [index.first(v[i], d[i], need) for i in range(len(v))]
-        if limit:
-            cells = [np.setdiff1d(index.rest(v[i], d[i], x), cells[i], assume_unique=True) for i, x in enumerate(pdf["limit"])]
-        sizes = [len(c) for c in cells]
-        return pd.DataFrame({"pid": np.repeat(pdf["pid"].to_numpy(), sizes), "v": np.repeat(pdf["v"].to_numpy(), sizes), "cell": np.concatenate(cells)})
+        if "limit" in pdf:
+            return (np.setdiff1d(index.rest(v[i], d[i], x), pdf["own"].iloc[i], assume_unique=True) for i, x in enumerate(pdf["limit"]))
+        return (index.first(v[i], d[i], need) for i in range(len(v)))
 
-    def near_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from (visits(pdf, False) for pdf in batches if len(pdf))
+    def near_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                own = list(to_visit(pdf))
+                yield pdf.assign(own=own, bins=[index.bins_of(x) for x in own])
 
-    def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from (visits(pdf, True) for pdf in batches if len(pdf))
+    def other_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(bins=[index.bins_of(x) for x in to_visit(pdf)])
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                yield pd.DataFrame({"cell": np.concatenate(list(to_visit(pdf[i : i + 256])))})
 
-    shape = "pid bigint, v array<double>, cell bigint"
-    first = materialise(fan_out(places, "pid").mapInPandas(near_cells, shape))
-    found = materialise(_meet(first, placed, need, shard_rows))
+    shape = "pid bigint, v array<double>, own array<bigint>, {}bins array<bigint>"
+    first = materialise(fan_out(places, "pid").mapInPandas(near_bins, shape.format("")))
+    found = materialise(_meet(index, first, binned, need, shard_rows))
     last = F.element_at("near", -1)["distance"]
     limits = _merged(found, need).select("qp", F.when(F.size("near") == need, last).otherwise(F.lit(math.inf)).alias("limit"))
-    bound = places.join(limits, F.col("pid") == F.col("qp")).select("pid", "v", "limit")
-    second = materialise(fan_out(bound, "pid").mapInPandas(other_cells, shape))
-    return _merged(found.union(_meet(second, placed, need, shard_rows)), need), placed, [first, second]
+    bound = first.join(limits, F.col("pid") == F.col("qp")).select("pid", "v", "own", "limit")
+    second = materialise(fan_out(bound, "pid").mapInPandas(other_bins, shape.format("limit double, ")))
+    visits = [x.drop("bins").mapInPandas(cells, "cell bigint") for x in (first.drop("own"), second)]
+    return _merged(found.union(_meet(index, second, binned, need, shard_rows)), need), placed, visits
 
 
 def _places(queries: DataFrame, query_id: str, vector: str) -> DataFrame:
     return _points(queries, query_id, vector, 1).select("pid", "v")
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qid", ref_id: str = "rid", vector: str = "v", exclude_same: bool = False, pivots: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qid", ref_id: str = "rid", vector: str = "v", exclude_same: bool = False, pivots: int | None = None, shard_rows: int | None = None) -> DataFrame:
     """(qid, rid, distance, rank) of the k nearest reference rows; equal distances rank by rid.
 
     Both tables hold an id and an array of doubles. ``exclude_same`` skips a row's own id. ``pivots``: cells of
-    the index, by default the square root of the reference vectors.
+    the index, by default the square root of the reference vectors; ``shard_rows``: vectors of either side in one task.
     """
     need = k + int(exclude_same)
     places = _places(queries, query_id, vector)
@@ -215,7 +305,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qi
     return rows.select("qid", "x.rid", "x.distance", (F.col("at") + 1).alias("rank"))
 
 
-def knn_work(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qid", ref_id: str = "rid", vector: str = "v", pivots: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def knn_work(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "qid", ref_id: str = "rid", vector: str = "v", pivots: int | None = None, shard_rows: int | None = None) -> DataFrame:
     """(pass, cell, queries, refs) that ``knn_join`` compares; their products are the pairs it measures."""
     _, placed, visits = _search(_places(queries, query_id, vector), _points(refs, ref_id, vector, k), k, pivots, shard_rows)
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("refs"))

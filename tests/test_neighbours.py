@@ -61,6 +61,26 @@ def test_work_grows_below_the_square(spark):
     assert pairs[5000] < 17 * pairs[1000]
 
 
+def test_rows_between_tasks_stay_few(spark, monkeypatch):
+    """Where no cell can be left out a query still goes once to each bin, not to each cell; a bin holds no more than asked."""
+    sent, n = [], 400
+    write = N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df: sent.append(write(df)) or sent[-1])
+    x = np.random.default_rng(4).normal(0, 1, (n, 24)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = N.knn_join(df, df, 3, query_id="id", ref_id="id", exclude_same=True, shard_rows=150).collect()
+    assert sorted((r.qid, r.rid, r["rank"]) for r in got) == brute(rows, rows, 3, True)
+    assert max(d.count() for d in sent) < 6 * n  # k + 1 candidates of each query, in one bin or two; there are 20 cells
+    index = N.PivotIndex(x[:20])
+    cell, far, above = index.place(x)
+    index.measure(spark.createDataFrame([(int(c), float(f), float(a)) for c, f, a in zip(cell, far, above)], "cell long, far double, above double").groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.min("far").alias("near"), F.max("above").alias("above")).toPandas(), 60)
+    held = [sum(-(-index.rows[c] // index.lots[c]) for c in b) for b in index.bins]
+    assert max(held) <= 60 and sorted({int(c) for b in index.bins for c in b}) == sorted(set(cell.tolist()))
+    assert all(c in index.bins[b] for c in set(cell.tolist()) for b in index.bins_of(np.array([c])))
+
+
 def plain_replicates(cells, draws):
     """Metrics of one resample: cells (score, positives, negatives), drawn counts in the same order."""
     tp = fp = area = ap = 0.0
