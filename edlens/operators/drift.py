@@ -73,6 +73,7 @@ def shift_report(df: DataFrame, cols: list[str], bins: int = 10, p_value: bool =
 
 
 def shift_summary(report: DataFrame) -> DataFrame:
+    report = materialise(report)  # one row per feature, read three times
     mid = quantiles(report, [], "psi", {"median_psi": 0.5}).scalar()
     return report.agg(F.avg("psi").alias("mean_psi"), F.max("psi").alias("max_psi"), F.avg("ks").alias("mean_ks"), F.max("ks").alias("max_ks"),
                       F.count_if(F.col("psi") > 0.2).alias("shifted_features")).withColumn("median_psi", mid)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_GROUP_ROWS = 4_000_000
+MAX_GROUP_ROWS = 1_000_000  # a window takes about 400 bytes a row in one task
 MAX_RANGES = 10_000
 WHOLE = -2  # range id of groups that are not cut
 

@@ -9,7 +9,7 @@ from edlens.operators import drift as D
 from edlens.operators import events as E
 from edlens.operators import metrics as M
 from edlens.operators import sequences as Q
-from edlens.operators.ordered import cut_large_groups, in_order, shuffled_position
+from edlens.operators.ordered import MAX_GROUP_ROWS, cut_large_groups, in_order, shuffled_position
 from edlens.operators.quantiles import quantiles
 
 
@@ -141,3 +141,10 @@ def test_nan_and_boolean_order_in_both_branches(spark):
 def test_null_keys_of_last_steps(spark):
     df = spark.createDataFrame([(k, i) for k in ("a", None) for i in range(5)], "k string, i int")
     assert Q.last_steps(df, ["k"], ["i"], 3).count() == Q.last_steps(df, ["k"], ["i"], 1500).count() - 4 == 6
+
+
+def test_no_window_holds_a_million_rows(spark):
+    """A continuous column of 1.2 million values is cut with the settings as they are."""
+    df = spark.range(1_200_000).select(F.lit("f").alias("feature"), F.col("id").cast("double").alias("value"))
+    cut = cut_large_groups(df, ["feature"], ["value"], MAX_GROUP_ROWS)
+    assert cut is not None and cut.groupBy("feature", "__range").count().agg(F.max("count")).first()[0] < 600_000
