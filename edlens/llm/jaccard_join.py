@@ -225,8 +225,6 @@ def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: in
     if split.where("cut").take(1):
         large = large.union(meetings(tile_rows.join(split.where("cut"), "key"), percent).select(fields))
     large = large.join(classes.select("cls", "bits"), "cls").select(*fields, "bits")
-    if nearest is None:
-        large = large.union(rows.where("not large").select(*fields, F.lit(None).cast("binary")))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tile = None, []
@@ -242,8 +240,8 @@ def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: in
         if not tile:
             return
         n, cls, root, block = (np.array([r[i] for r in tile], np.int64) for i in range(4))
-        widths = np.array([len(r[4]) if r[4] else 0 for r in tile])
-        packed = {w: np.frombuffer(b"".join(r[4] for r in tile if r[4] and len(r[4]) == w), np.uint64).reshape(-1, w // 8) for w in set(widths.tolist()) if w}
+        widths = np.array([len(r[4]) for r in tile])
+        packed = {w: np.frombuffer(b"".join(r[4] for r in tile if len(r[4]) == w), np.uint64).reshape(-1, w // 8) for w in set(widths.tolist())}
         place = np.array([0] * len(tile))
         for w in packed:
             place[widths == w] = np.arange(int((widths == w).sum()))
@@ -256,7 +254,7 @@ def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: in
             j = j[np.searchsorted(j, first[i]) : np.searchsorted(j, i)]
             j = j[root[j] != root[i]]
             bound = np.zeros(len(j), np.int64)
-            if len(j) and widths[i]:
+            if len(j):
                 mine = packed[widths[i]][place[i]]
                 for w in (widths[i], widths[i] // 2):
                     some = widths[j] == w
@@ -271,16 +269,40 @@ def crossing(tile_rows: DataFrame, classes: DataFrame, percent: int, nearest: in
                     close = np.argsort(n[j] - 2 * bound, kind="stable")[:nearest]
                     j, bound = j[close], bound[close]
             if len(j):
-                out.append((np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i]), np.full(len(j), cls[i]), n[j] - 2 * bound, np.full(len(j), bool(widths[i]))))
+                out.append((np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i]), np.full(len(j), cls[i]), n[j] - 2 * bound))
                 held += len(j)
             if held > 50_000 or (held and i == len(tile) - 1):
-                a, b, late, gap, seen = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_pydict({"key": np.full(held, key[0]), "a": a, "b": b, "late": late, "gap": gap, "seen": seen})
+                a, b, late, gap = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"key": np.full(held, key[0]), "a": a, "b": b, "late": late, "gap": gap})
                 out, held = [], 0
 
-    pairs = large.repartition(S.wide(tile_rows), "key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "cls").mapInArrow(pair, "key long, a long, b long, late long, gap long, seen boolean")
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4  # the last tile so far: it may go on in the next batch
+        for batch in batches:
+            rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            end = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            held = [x[end:] for x in rows]
+            yield from steps(*(x[:end] for x in rows))
+        yield from steps(*held)
+
+    def steps(key: np.ndarray, n: np.ndarray, cls: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Each row with the row one, two, ... places on, as far as a tile reaches."""
+        i, step = np.arange(len(key)), 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(key)]
+            i = i[key[i + step] == key[i]]
+            x = i[(root[i] != root[i + step]) & (100 * n[i] >= percent * n[i + step])]
+            one, two = cls[x], cls[x + step]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    pairs = large.repartition(S.wide(tile_rows), "key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "cls").mapInArrow(pair, "key long, a long, b long, late long, gap long")
     if nearest is not None:  # of all blocks that a member met
         pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("key", "late").orderBy("gap", "a", "b"))).where(F.col("rank") <= nearest)
+    pairs = pairs.select("a", "b", F.lit(True).alias("seen"))
+    if nearest is None:
+        small = rows.where("not large").select("key", "n", "cls", "root").repartition(S.wide(tile_rows), "key").sortWithinPartitions("key", "n", "cls")
+        pairs = pairs.union(small.mapInArrow(beside, "a long, b long").withColumn("seen", F.lit(False)))
     return pairs.groupBy("a", "b").agg(F.max("seen").alias("seen"))
 
 
@@ -360,15 +382,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     full = signs.where("n > 0")
     heads = F.min_by(F.struct("id", "mark", "prefix", "bits"), F.struct(F.col("id").isNull(), "id", "mark")).alias("r")
     classes = S.written(full.groupBy("s1", "s2", "n").agg(heads).select(F.col("s1").alias("cls"), "n", "r.*"), "classes")
-    rows = S.written(tiles(classes.select(F.posexplode("prefix").alias("at", "key"), "n", "cls"), percent), "tiles")
     S.forget(signs)
+    rows = S.written(tiles(classes.select(F.posexplode("prefix").alias("at", "key"), "n", "cls"), percent), "tiles")
     stars = rows.where("cls <> lead and room").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
     texts = class_texts(rows.select("cls").distinct(), classes, docs, id_col, text)
 
     def linked(pairs: DataFrame) -> DataFrame:
         return verified(bounded(pairs, classes, percent), texts, words, percent)
 
-    def crossed(nearest: int | None) -> DataFrame:
+    def crossed(known: DataFrame, nearest: int | None) -> DataFrame:
         """Links among the pairs of tiles; those that met by bitmap are not bounded again."""
         pairs = crossing(known, classes, percent, nearest)
         if nearest is not None:
@@ -388,20 +410,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     found = linked(stars)
     roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = rooted(rows, roots)
-    for nearest in (NEAREST, None):
-        while (found := crossed(nearest)).take(1):
-            roots = joined_up(roots, found)
-            if nearest is None:
-                break
-            old, known = known, rooted(known, roots)
-            S.forget(old, found)
+    known = rooted(rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_TILE).select("key"), "key", "left_semi"), roots)
+    while (found := crossed(known, NEAREST)).take(1):  # asks large tiles alone
+        roots = joined_up(roots, found)
+        old, known = known, rooted(known, roots)
+        S.forget(old, found)
+    old, known = known, rooted(rows, roots)
+    S.forget(old)
+    if (found := crossed(known, None)).take(1):
+        roots = joined_up(roots, found)
     # Names by class: the documents of a large class or component never meet in one task.
     rooted_classes = classes.select("cls", "id", "mark").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "id", "mark", F.coalesce("root", "cls").alias("root"))
     rooted_classes = S.written(rooted_classes, "class-roots")
     names = S.written(rooted_classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "cls", "mark")).alias("h")), "names")
     named = S.written(rooted_classes.select("cls", "root").join(names, "root").select(F.col("cls").alias("c"), "h"), "class-names")
-    S.forget(known, rows, texts)
+    S.forget(known, rows, texts, classes, rooted_classes, names)
     joined = documents.where("n > 0").join(named, F.col("cls") == F.col("c")).select("id", "mark", F.col("n").alias("n_shingles"), "cls", F.col("h.id").alias("component_id"),
                                                (F.col("id").eqNullSafe(F.col("h.id")) & (F.col("cls") == F.col("h.cls")) & (F.col("mark") == F.col("h.mark"))).alias("head"))
     alone = documents.where("n = 0").select("id", "mark", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("cls"), F.col("id").alias("component_id"), F.lit(True).alias("head"))

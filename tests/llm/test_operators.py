@@ -385,6 +385,47 @@ def test_nearest_of_all_blocks(spark, monkeypatch, block):
         assert sorted(gap(x, c) for x in got[c]) == sorted(gap(x, c) for x in before)[:2]
 
 
+def test_rounds_read_large_tiles_alone(spark, monkeypatch):
+    """Rounds of nearest partners get the rows of large tiles only; the last round gets all of them."""
+    monkeypatch.setattr(jaccard_join, "LARGE_TILE", 4)
+    rng = random.Random(4)
+    text = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        text = list(text)
+        text[rng.randrange(40)] = f"v{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, " ".join(f"u{i // 3}x{k if k < 38 or i % 3 == 0 else k + 100 * i}" for k in range(40))) for i in range(30)]
+    asked, crossing = [], jaccard_join.crossing
+
+    def seen(tile_rows, classes, percent, nearest=None):
+        sizes = [r["count"] for r in tile_rows.groupBy("key").count().collect()]
+        asked.append((nearest, min(sizes, default=99), max(sizes, default=99)))
+        return crossing(tile_rows, classes, percent, nearest)
+
+    monkeypatch.setattr(jaccard_join, "crossing", seen)
+    same(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "component_id"), brute_components(rows))
+    assert all(nearest and low > 4 for nearest, low, _ in asked[:-1]) and any(high < 99 for _, _, high in asked[:-1])
+    assert asked[-1][0] is None and asked[-1][1] <= 4 < asked[-1][2]
+
+
+def test_pairs_of_small_tiles(spark):
+    """All pairs of fitting size and different roots, also of tiles that go on in the next batch."""
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(k, rng.randint(10, 16), 100 * k + c, rng.randint(0, 3)) for k in range(60) for c in range(rng.randint(1, 32))]
+    want = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[3] != b[3] and min(a[1], b[1]) * 100 >= 80 * max(a[1], b[1])}
+    classes = spark.createDataFrame([(r[2], bytearray(jaccard_join.bitmap(np.arange(r[1], dtype=np.uint64)))) for r in rows], "cls long, bits binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = jaccard_join.crossing(spark.createDataFrame(rows, "key long, n long, cls long, root long"), classes, 80).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert Counter(tuple(r) for r in got) == Counter((a, b, False) for a, b in want)
+
+
 def test_leaders_stream_across_batches(spark):
     """The leader of a key, its size and place pass on from batch to batch; keys of one class are left out."""
     rng = random.Random(8)
