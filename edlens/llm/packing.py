@@ -6,7 +6,7 @@ import bisect
 import json
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +18,14 @@ from edlens.llm import shared as S
 #: Words whose tokens a Python worker remembers, half of them new and half older; results do not depend on it.
 REMEMBERED = 800_000
 #: Bytes of text tokenised at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 #: Pieces packed in one task, and the fill (in eighths) under which a sequence is opened again in the next round.
 GROUP, OPEN_EIGHTHS = 8192, 7
 
 TOKENIZERS: dict = {}
 
 
-class WordIds(dict):
+class WordIds:
     """Little-endian 32-bit token ids of words, for a tokenizer in which white space ends every token.
 
     If the tokenizer's file says that it takes small letters and parts letters from signs (``APART``), a word's signs
@@ -44,7 +44,7 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         tokenizer = Tokenizer.from_file(path)
         self.batch = tokenizer.encode_batch_fast
@@ -58,48 +58,55 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
+    def __getitem__(self, word: bytes) -> bytes:
+        return self.known[word]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.batch(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
         """Makes the ids of all the words known."""
-        if len(self) > REMEMBERED // 2:
-            self.older = dict(self)
-            self.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
         fresh = self.unknown(words)
         if not self.apart:
             return self.learn_alone(fresh)
-        letters = [w for w in fresh if w.isalpha() and w.islower()]
-        others = [w for w in fresh if not (w.isalpha() and w.islower())]
-        added = set(filter(self.holds_added, others)) if self.holds_added(b" ".join(others)) else ()
-        parted = [(w, w, b"") if w in added else (w, *self.part(w)) for w in others]
+        letters = list(filter(bytes.islower, filter(bytes.isalpha, fresh)))
+        others = list(fresh.difference(letters))
         self.learn_joined(letters)
-        wanted = self.unknown({x for _, *both in parted for x in both})
+        if not others:
+            return
+        added = set(filter(self.holds_added, others)) if self.holds_added(b" ".join(others)) else ()
+        cores, signs = self.part(others, added)
+        wanted = self.unknown({*cores, *signs})
         letters = [w for w in wanted if w.isalpha() or ((t := w.decode()).isalpha() and t.islower())]
         self.learn_alone(wanted.difference(letters))
         self.learn_joined(letters)
-        self.update([(w, self[a] + self[b]) for w, a, b in parted if b or a != w])
+        ids = self.known.__getitem__
+        self.known.update(zip(others, map(bytes.__add__, map(ids, cores), map(ids, signs))))
 
     def unknown(self, words: set[bytes]) -> set[bytes]:
         """The words neither known nor remembered; the remembered ones become known."""
-        missing = words.difference(filter(self.__contains__, words))
-        again = [w for w in missing if w in self.older]
-        self.update(zip(again, map(self.older.__getitem__, again)))
-        return missing.difference(again)
+        missing = words.difference(self.known)  # as a plain dict, looked up by the hashes that the set holds
+        new = missing.difference(self.older)
+        again = missing.difference(new)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        return new
 
     def holds_added(self, text: bytes) -> bool:
         low = text.lower()
         return any(x in low for x in self.added)
 
-    def part(self, w: bytes) -> tuple[bytes, bytes]:
-        """The word in ASCII small letters and its signs at the end, if the tokenizer surely parts them."""
-        core = w.rstrip(self.SIGNS)
-        if core.isascii():
-            return (core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, b"")
-        if len(core) == len(w):
-            return w, b""
-        last = core.decode()[-1]
-        return (core, w[len(core) :]) if last.isalpha() and last.islower() else (w, b"")
+    def part(self, words: list[bytes], whole: Collection[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Each word in ASCII small letters and its signs at the end, if the tokenizer surely parts them; not those in ``whole``."""
+        cores = [w.rstrip(self.SIGNS) for w in words]
+        signs = [w[len(x) :] if len(x) < len(w) else b"" for w, x in zip(words, cores)]
+        small = b"\n".join(cores).lower().split(b"\n")
+        for i in [i for i, x in enumerate(cores) if words[i] in whole or not (x.isascii() and x[-1:].isalnum())]:
+            w, core = words[i], cores[i]
+            ends = w not in whole and len(core) < len(w) and not core.isascii() and (last := core.decode()[-1]).isalpha() and last.islower()
+            small[i], signs[i] = (core, signs[i]) if ends else (w, b"")
+        return small, signs
 
     def learn_joined(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 20 * self.JOINED):
@@ -110,26 +117,27 @@ class WordIds(dict):
                     self.learn_alone(group)
                     continue
                 raw = ids.tobytes()
-                self.update(zip(group, [raw[x:y] for x, y in zip([0, *edges], edges)]))
+                self.known.update(zip(group, [raw[x:y] for x, y in zip([0, *edges], edges)]))
 
     def learn_alone(self, words: Iterable[bytes]) -> None:
         words = list(words)
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            self.update(zip(part, [ids.tobytes() for ids in self.encode([w.decode() for w in part])]))
+            self.known.update(zip(part, [ids.tobytes() for ids in self.encode([w.decode() for w in part])]))
 
 
 def token_bytes(column: pa.Array, path: str) -> Iterator[bytes]:
     """The token ids of each text. ASCII white space bounds tokens here, so words are encoded once each."""
     if path not in TOKENIZERS:
         TOKENIZERS[path] = WordIds(path)
-    known = TOKENIZERS[path]
+    tokenizer = TOKENIZERS[path]
     for i, j, data, at in S.blocks(column, AT_ONCE):
         raw = data.tobytes()
         texts = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        known.learn(set().union(*texts))
+        tokenizer.learn(set().union(*texts))
+        ids = tokenizer.known.__getitem__
         for words in texts:
-            yield b"".join(map(known.__getitem__, words))
+            yield b"".join(map(ids, words))
 
 
 def pieces(docs: DataFrame, id_col: str, text: str, path: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:

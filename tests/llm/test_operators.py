@@ -599,3 +599,20 @@ def test_word_ids_equal_the_library():
     known = packing.WordIds(path)
     known.learn(words)
     assert [w for w in words if known[w] != struct.pack(f"<{len(x := encode(w.decode(), add_special_tokens=False).ids)}I", *x)] == []
+
+
+def test_word_ids_part_many_words(monkeypatch):
+    """Words are parted as one list; those that were forgotten or are looked up again keep their ids."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    encode = Tokenizer.from_file(path).encode
+    known = packing.WordIds(path)
+    given = [b"Ab,", b"a.b", b"...", b"abc", "\u00e9t\u00e9!".encode(), "\u00c9T!".encode(), "\u00e9t\u00e9".encode(), b"Kept!", b"7%"]
+    assert known.part(given, {b"Kept!"}) == ([b"ab", b"a.b", b"...", b"abc", "\u00e9t\u00e9".encode(), "\u00c9T!".encode(), "\u00e9t\u00e9".encode(), b"Kept!", b"7"], [b",", b"", b"", b"", b"!", b"", b"", b"", b"%"])
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    draw = random.Random(5)
+    for _ in range(60):
+        words = {"".join(draw.choices("abA,!\u00e9", k=draw.randint(1, 3))).encode() for _ in range(12)}
+        known.learn(words)
+        assert [w for w in words if known[w] != struct.pack(f"<{len(x := encode(w.decode(), add_special_tokens=False).ids)}I", *x)] == []
