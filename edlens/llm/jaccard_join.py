@@ -24,6 +24,8 @@ BITS_PER_SHINGLE = 4
 MEMBERS_PER_TASK = 256
 #: Members from which a tile brings bitmaps, and the partners each of them names before all others are tried.
 LARGE_TILE, NEAREST = 32, 2
+#: Pairs from which texts are picked by a table of bits before they are sent anywhere, and the bits of that table (2 MB).
+MANY_PAIRS, PICK_BITS = 4096, 24
 #: Members, on average, of a block of a tile; a task holds two blocks at a time.
 BLOCK = 1024
 
@@ -321,18 +323,37 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(room, "a long, b long")
 
 
-def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``cls`` and the text of its first document, of the classes in ``wanted``: a written table."""
-    heads = classes.select("cls", F.col("id").alias("head"), F.col("mark").alias("head_mark")).join(wanted, "cls", "left_semi")
+def class_texts(members: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``cls`` and the text of its first document (repeated if that row is): a written table."""
+    heads = members.select("cls", F.col("id").alias("head"), F.col("mark").alias("head_mark"))
     body = S.text_of(text)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("mark"), body.alias("text"))
     return S.written(source.join(heads, source["id"].eqNullSafe(heads["head"]) & (source["mark"] == heads["head_mark"])).select("cls", "text"), "texts")
 
 
+def picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose class may be in ``wanted``: by a bit for each of 2^PICK_BITS cells, so a few others stay."""
+    part = 1 << 15  # bits of one of Spark's bitmaps
+    at = F.col("cls").bitwiseAND((1 << PICK_BITS) - 1)
+    found = wanted.select(F.shiftright(at, 15).alias("part"), (at % part).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    table = np.zeros(((1 << PICK_BITS) // part, part // 8), np.uint8)
+    for row in found:
+        table[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    bits = texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy() & ((1 << PICK_BITS) - 1)
+            yield batch.filter(pa.array((bits.value[x >> 3] >> (x & 7)) & 1 == 1))
+
+    return texts.select("cls", "text").mapInArrow(keep, "cls long, text string")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """A written table of the pairs whose shingle sets, cut again from the texts, reach the threshold.
 
-    Sets meet at the smaller class: its text goes to every salt of its members, and members follow it.
+    Sets meet at the smaller class: its text goes to every salt of its members, and members follow it. The texts of
+    repeated rows come one after the other, and the first counts.
     """
     pairs = S.written(pairs, "candidates")
     salt = F.abs(F.hash("b")) % F.greatest(F.lit(1), F.ceil(F.col("m") / MEMBERS_PER_TASK)).cast("int")
@@ -340,15 +361,21 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     seats = pairs.join(counts, "a").select("a", "b", salt.alias("salt"))
     seats = S.written(seats, "pairs")
     asked = seats.select("a", "salt", F.col("b").alias("cls")).union(seats.select("a", "salt", F.col("a").alias("cls")).distinct())
+    if pairs.count() > MANY_PAIRS:
+        texts = picked(texts, pairs.select(F.explode(F.array("a", "b")).alias("cls")))
     rows = asked.join(texts, "cls").select("a", "salt", "cls", "text").repartition(S.wide(pairs), "a", "salt")
     rows = rows.withColumn("rest", F.col("a") != F.col("cls")).sortWithinPartitions("a", "salt", "rest", "cls")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, mine = None, None
+        head, mine, last = None, None, None
         for batch in batches:
             a, cls, rest = (batch.column(i).to_pylist() for i in (0, 2, 4))
             good = []
             for i, grams in enumerate(shingle_sets(batch.column(3), words)):
+                again, last = (a[i], cls[i]) == last, (a[i], cls[i])
+                if again:
+                    good.append(False)
+                    continue
                 if not rest[i]:
                     head, mine = a[i], grams
                     good.append(False)
@@ -357,7 +384,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 good.append(100 * common >= percent * (len(mine) + len(grams) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = S.written(rows.select("a", "salt", "cls", "text", "rest").mapInArrow(check, "a long, b long").distinct(), "near-links")
+    links = S.written(rows.select("a", "salt", "cls", "text", "rest").mapInArrow(check, "a long, b long"), "near-links")
     S.forget(seats, pairs)
     return links
 
@@ -385,18 +412,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     S.forget(signs)
     rows = S.written(tiles(classes.select(F.posexplode("prefix").alias("at", "key"), "n", "cls"), percent), "tiles")
     stars = rows.where("cls <> lead and room").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    texts = class_texts(rows.select("cls").distinct(), classes, docs, id_col, text)
+    members = S.written(classes.select("cls", "n", "id", "mark", "bits").join(rows.select("cls").distinct(), "cls", "left_semi"), "members")
+    texts = class_texts(members, docs, id_col, text)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return verified(bounded(pairs, classes, percent), texts, words, percent)
+        return verified(bounded(pairs, members, percent), texts, words, percent)
 
-    def crossed(known: DataFrame, nearest: int | None) -> DataFrame:
+    def crossed(known: DataFrame, members: DataFrame, nearest: int | None) -> DataFrame:
         """Links among the pairs of tiles; those that met by bitmap are not bounded again."""
-        pairs = crossing(known, classes, percent, nearest)
+        pairs = crossing(known, members, percent, nearest)
         if nearest is not None:
             return verified(pairs.select("a", "b"), texts, words, percent)
         pairs = S.written(pairs, "crossing")
-        links = verified(pairs.where("seen").select("a", "b").union(bounded(pairs.where("not seen"), classes, percent)), texts, words, percent)
+        links = verified(pairs.where("seen").select("a", "b").union(bounded(pairs.where("not seen"), members, percent)), texts, words, percent)
         S.forget(pairs)
         return links
 
@@ -411,20 +439,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = linked(stars)
     roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = rooted(rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_TILE).select("key"), "key", "left_semi"), roots)
-    while (found := crossed(known, NEAREST)).take(1):  # asks large tiles alone
+    near = S.written(members.select("cls", "bits").join(known.select("cls").distinct(), "cls", "left_semi"), "near-members")
+    while (found := crossed(known, near, NEAREST)).take(1):  # asks large tiles alone
         roots = joined_up(roots, found)
         old, known = known, rooted(known, roots)
         S.forget(old, found)
     old, known = known, rooted(rows, roots)
-    S.forget(old)
-    if (found := crossed(known, None)).take(1):
+    S.forget(old, near)
+    if (found := crossed(known, members, None)).take(1):
         roots = joined_up(roots, found)
     # Names by class: the documents of a large class or component never meet in one task.
     rooted_classes = classes.select("cls", "id", "mark").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "id", "mark", F.coalesce("root", "cls").alias("root"))
     rooted_classes = S.written(rooted_classes, "class-roots")
     names = S.written(rooted_classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "cls", "mark")).alias("h")), "names")
     named = S.written(rooted_classes.select("cls", "root").join(names, "root").select(F.col("cls").alias("c"), "h"), "class-names")
-    S.forget(known, rows, texts, classes, rooted_classes, names)
+    S.forget(known, rows, members, texts, classes, rooted_classes, names)
     joined = documents.where("n > 0").join(named, F.col("cls") == F.col("c")).select("id", "mark", F.col("n").alias("n_shingles"), "cls", F.col("h.id").alias("component_id"),
                                                (F.col("id").eqNullSafe(F.col("h.id")) & (F.col("cls") == F.col("h.cls")) & (F.col("mark") == F.col("h.mark"))).alias("head"))
     alone = documents.where("n = 0").select("id", "mark", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("cls"), F.col("id").alias("component_id"), F.lit(True).alias("head"))

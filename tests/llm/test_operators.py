@@ -409,6 +409,70 @@ def test_rounds_read_large_tiles_alone(spark, monkeypatch):
     assert asked[-1][0] is None and asked[-1][1] <= 4 < asked[-1][2]
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """Up to ONE_TASK edges are joined up by one task: two written tables however long a chain; more go through rounds."""
+    from edlens.llm import components as parts
+
+    rng = random.Random(21)
+    order = list(range(300))
+    rng.shuffle(order)
+    edges = [(a, b) for i, (a, b) in enumerate(zip(order, order[1:])) if i % 60 != 59]
+    groups = [order[i : i + 60] for i in range(0, 300, 60)]
+    want = [(x, min(g)) for g in groups for x in g if x != min(g)]
+    rows = [*edges, *edges[:20], *((b, a) for a, b in edges[:20]), (7, 7), (500, 500), (None, 3), (4, None)]
+    labels, written = [], parts.written
+    monkeypatch.setattr(parts, "written", lambda df, label: labels.append(label) or written(df, label))
+    df = spark.createDataFrame(rows, "u long, v long")
+    same(parts.components(df), want)
+    assert len(labels) == 2
+    same(parts.components(df.limit(0)), [])
+    monkeypatch.setattr(parts, "ONE_TASK", 0)
+    same(parts.components(df), want)
+    assert len(labels) > 6
+
+
+def test_members_of_tiles_alone_meet(spark, monkeypatch):
+    """Rounds of nearest partners get the bitmaps of large tiles' members, the last round those of all tiles; repeated rows add nothing."""
+    monkeypatch.setattr(jaccard_join, "LARGE_TILE", 4)
+    rng = random.Random(14)
+    text = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(40):
+        text = list(text)
+        text[rng.randrange(40)] = f"v{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, " ".join(f"u{i // 2}x{k if k < 38 or i % 2 else k + 100 * i}" for k in range(40))) for i in range(10)]
+    rows += [(200 + i, " ".join(f"alone{i}x{k}" for k in range(30))) for i in range(50)]
+    asked, found, crossing, verified = [], [], jaccard_join.crossing, jaccard_join.verified
+
+    def seen(tile_rows, classes, percent, nearest=None):
+        asked.append((nearest, classes.count(), tile_rows.select("cls").distinct().count()))
+        return crossing(tile_rows, classes, percent, nearest)
+
+    def links(*args):
+        found.append(verified(*args))
+        assert found[-1].count() == found[-1].distinct().count()
+        return found[-1]
+
+    monkeypatch.setattr(jaccard_join, "crossing", seen)
+    monkeypatch.setattr(jaccard_join, "verified", links)
+    twice = rows + rows[:30] + rows[:10]
+    same(jaccard_join.near_duplicates(spark.createDataFrame(twice, "doc_id long, text string")).select("id", "n_shingles", "component_id"), brute_components(twice))
+    assert len(asked) > 1 and all(held == members < 90 for _, held, members in asked)
+    assert asked[0][1] < asked[-1][1]
+
+
+def test_texts_are_picked_before_a_join(spark, monkeypatch):
+    """All texts of the classes asked for stay, hardly any other; the links are those without it."""
+    rng = random.Random(2)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(3000)]
+    texts = spark.createDataFrame([(c, f"t{i}") for i, c in enumerate(ids)] + [(ids[0], "t0")], "cls long, text string")
+    got = Counter(tuple(r) for r in jaccard_join.picked(texts, spark.createDataFrame([(c,) for c in ids[:500] * 2], "cls long")).collect())
+    assert got[ids[0], "t0"] == 2 and all(got[c, f"t{i}"] for i, c in enumerate(ids[:500])) and got.total() < 520
+    monkeypatch.setattr(jaccard_join, "MANY_PAIRS", 0)
+    same(jaccard_join.near_duplicates(spark.createDataFrame(TEXTS, "doc_id long, text string")).select("id", "n_shingles", "component_id"), brute_components(TEXTS))
+
+
 def test_pairs_of_small_tiles(spark):
     """All pairs of fitting size and different roots, also of tiles that go on in the next batch."""
     import numpy as np
